@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from cinestat.functions.bind import let
+
 BINS = 600
 
 # Coefficients of Abramowitz-Stegun 7.1.26.
@@ -67,7 +69,7 @@ def ordinal_encode(cls: Column, n_classes: int = 4) -> Column:
 def ordinal_decode(code: Column) -> Column:
     """Number of leading non-zero entries."""
     first_zero = F.array_position(F.transform(code, lambda v: (v != 0).cast("int")), 0)
-    return F.when(first_zero == 0, F.size(code)).otherwise(first_zero - 1).cast("int")
+    return let(first_zero, lambda at: F.when(at == 0, F.size(code)).otherwise(at - 1).cast("int"))
 
 
 def running_max(p: Column) -> Column:

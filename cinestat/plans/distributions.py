@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from cinestat.functions import cdf
-from cinestat.operators import histograms, scoring
+from cinestat.operators import histograms, pixels, scoring
 from cinestat.operators.keyed import attach_group
 from cinestat.plans.registry import query, table
 
@@ -66,9 +66,8 @@ def crps_by_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cdf_running_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("px"))
-    top = px.withColumn("top", F.array_max("px"))
-    scaled = F.transform("px", lambda v: F.try_divide(v, F.col("top")))
-    return top.select("vec_id", F.posexplode(cdf.running_max(scaled)).alias("bin", "p")).select(
+    scaled = pixels.rescale_max(F.col("px"))
+    return px.select("vec_id", F.posexplode(cdf.running_max(scaled)).alias("bin", "p")).select(
         "vec_id", "bin", F.round("p", 6).alias("p")
     )
 

@@ -127,7 +127,7 @@ def annotated_only(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT a.target, bin, round(count(*) FILTER (b <= bin) / any_value(n), 5) AS q
         FROM a JOIN c USING (target), bins GROUP BY ALL) GROUP BY ALL)
     SELECT t.study || '_' || t.target AS id, own.total IS NULL AS missed,
-           round(coalesce(own.total, fb.total), 4) AS total, round(coalesce(own.weighted, fb.weighted), 2) AS weighted
+           round(coalesce(own.total, fb.total), 6) AS total, round(coalesce(own.weighted, fb.weighted), 6) AS weighted
     FROM t JOIN fb USING (target) LEFT JOIN own USING (study, target)
     """,
 )
@@ -144,8 +144,8 @@ def submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.aggregate("p", F.lit(0.0), lambda a, v: a + v)
     weights = F.zip_with("p", cdf.bins(), lambda p, j: p * j)
     return rows.select(
-        "id", "missed", F.round(total, 4).alias("total"),
-        F.round(F.aggregate(weights, F.lit(0.0), lambda a, v: a + v), 2).alias("weighted"),
+        "id", "missed", F.round(total, 6).alias("total"),
+        F.round(F.aggregate(weights, F.lit(0.0), lambda a, v: a + v), 6).alias("weighted"),
     )
 
 

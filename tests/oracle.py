@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -47,10 +48,9 @@ def compare(df, rows, con, sql: str) -> str | None:
         return f"rows {len(rows)} != {len(other)}"
     order = sorted(names)
     idx = [names.index(c) for c in order]
-    a = sorted(tuple(_norm(r[c]) for c in order) for r in rows)
-    b = sorted(tuple(_norm(r[i]) for i in idx) for r in other)
-    for x, y in zip(a, b):
-        if x != y:
-            diff = sum(p != q for p, q in zip(a, b))
-            return f"{diff} rows differ, first spark={dict(zip(order, x))} duck={dict(zip(order, y))}"
+    a = Counter(tuple(_norm(r[c]) for c in order) for r in rows)
+    b = Counter(tuple(_norm(r[i]) for i in idx) for r in other)
+    if a != b:
+        mine, theirs = sorted((a - b).elements()), sorted((b - a).elements())
+        return f"{len(mine)} rows differ {order} spark={mine[:2]} duck={theirs[:2]}"
     return f"types {wrong}" if wrong else None
