@@ -39,16 +39,30 @@ def cross(a: Vec, b: Vec) -> Vec:
 
 @dataclass
 class Plane:
-    """Oriented image plane; ``spacing`` holds the pixel size along row and column."""
+    """Oriented image plane; ``spacing`` holds the pixel size along row and column.
+
+    ``pack`` turns a plane into a struct column that carries its normal; project it
+    and read it back with ``unpack``, so that later formulas stay short.
+    """
 
     row: Vec
     col: Vec
     pos: Vec
     spacing: list[Column]
+    known_normal: Vec | None = None
 
     @property
     def normal(self) -> Vec:
-        return cross(self.row, self.col)
+        return self.known_normal or cross(self.row, self.col)
+
+    def pack(self) -> Column:
+        named = {"r": self.row, "c": self.col, "p": self.pos, "n": self.normal, "s": self.spacing[:2]}
+        return F.struct(*[v.alias(f"{k}{i}") for k, vs in named.items() for i, v in enumerate(vs)])
+
+    @staticmethod
+    def unpack(packed: Column) -> Plane:
+        r, c, p, n = ([packed[f"{k}{i}"] for i in range(3)] for k in "rcpn")
+        return Plane(r, c, p, [packed["s0"], packed["s1"]], n)
 
     @property
     def axes(self) -> tuple[Vec, Vec, Vec]:

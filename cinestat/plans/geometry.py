@@ -21,6 +21,12 @@ def _plane(s: str, n) -> g.Plane:
     )
 
 
+def _packed(df: DataFrame, *structs: str) -> DataFrame:
+    """Add a packed plane column for every struct of sequence columns."""
+    planes = [_plane(c, F.col(c)["l_linenumber"].cast("double")).pack().alias(f"{c}_plane") for c in structs]
+    return df.select("*", *planes)
+
+
 SEQ = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 PLANES_SQL = """
@@ -67,10 +73,12 @@ def plane_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
         last(1).alias("a"), last(2).alias("b"), F.count("*").alias("rows_in_key")
     )
     sax = attach_group(li.where(kind == 0), views, ["l_orderkey"], "rows_in_key")
-    p, a, b = (_plane(c, F.col(c)["l_linenumber"].cast("double")) for c in ("s", "a", "b"))
+    ok = F.col("a").isNotNull() & F.col("b").isNotNull()
+    sax = _packed(sax.withColumn("ok", ok), "s", "a", "b")
+    p, a, b = (g.Plane.unpack(F.col(f"{c}_plane")) for c in ("s", "a", "b"))
     point = g.plane_point(p, a, b)
     centre = p.to_space(F.lit(32.0), F.lit(32.0))
-    ok = F.col("a").isNotNull() & F.col("b").isNotNull()
+    ok = F.col("ok")
     det = F.abs(g.dot(p.normal, g.cross(a.normal, b.normal))) > 1e-3
     out = [
         F.round(F.when(ok, F.when(det, t)).otherwise(o), 5).alias(c)
@@ -93,7 +101,7 @@ def plane_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
       round(CASE WHEN det > 1e-3 THEN (d1*bb - d2*ab) / det * ax + (d2*aa - d1*ab) / det * bx END, 3) AS px,
       round(CASE WHEN det > 1e-3 THEN (d1*bb - d2*ab) / det * ay + (d2*aa - d1*ab) / det * by_ END, 3) AS py,
       round(CASE WHEN det > 1e-3 THEN (d1*bb - d2*ab) / det * az + (d2*aa - d1*ab) / det * bz END, 3) AS pz,
-      round(ay * bz - az * by_, 6) AS dx, round(az * bx - ax * bz, 6) AS dy, round(ax * by_ - ay * bx, 6) AS dz
+      round(ay * bz - az * by_, 9) AS dx, round(az * bx - ax * bz, 9) AS dy, round(ax * by_ - ay * bx, 9) AS dz
     FROM c""",
 )
 def plane_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,14 +111,15 @@ def plane_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("rows_in_key"),
     )
     both = attach_group(li, first, ["l_partkey"], "rows_in_key")
-    a, b = (_plane(c, F.col(c)["l_linenumber"].cast("double")) for c in ("f", "s"))
+    both = _packed(both, "f", "s")
+    a, b = (g.Plane.unpack(F.col(f"{c}_plane")) for c in ("f", "s"))
     point, along = g.plane_line(a, b)
     n1, n2 = a.normal, b.normal
     det = g.dot(n1, n1) * g.dot(n2, n2) - g.dot(n1, n2) * g.dot(n1, n2)
     return both.select(
         "l_orderkey", "l_partkey", "s.l_linenumber", "s.l_suppkey",
         *[F.round(F.when(det > 1e-3, v), 3).alias(f"p{c}") for c, v in zip("xyz", point)],
-        *[F.round(v, 6).alias(f"d{c}") for c, v in zip("xyz", along)],
+        *[F.round(v, 9).alias(f"d{c}") for c, v in zip("xyz", along)],
     )
 
 
@@ -128,7 +137,8 @@ def plane_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def point_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*SEQ).alias("s"))
-    p = _plane("s", F.col("s.l_linenumber").cast("double"))
+    li = _packed(li, "s")
+    p = g.Plane.unpack(F.col("s_plane"))
     there = p.to_space(F.col("s.l_quantity"), F.col("s.l_linenumber").cast("double"))
     out = li.select("*", *[v.alias(f"{c}3") for c, v in zip("xyz", there)])
     at = [F.col(f"{c}3") for c in "xyz"]

@@ -35,3 +35,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise to reliable storage, so that a lost executor costs a re-read only."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settle(df: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Cache and fill now, so that the next step reads a known partitioning.
+
+    Lost blocks are rebuilt from lineage; pair it with :func:`cut_lineage` every few
+    rounds of a loop.  ``previous`` is released afterwards.
+    """
+    df = df.persist()
+    df.count()
+    if previous is not None:
+        previous.unpersist()
+    return df
