@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinestat.functions import cdf
+from cinestat.operators.keyed import attach_group
 
 
 def empirical_cdf(df: DataFrame, keys: list[str], value: str, n_bins: int = cdf.BINS) -> DataFrame:
@@ -82,14 +83,15 @@ def quantile_bounds(
     """
     v = F.col(value)
     span = df.groupBy(*keys).agg(
-        F.min(value).cast("double").alias("vmin"), F.max(value).cast("double").alias("vmax")
+        F.min(value).cast("double").alias("vmin"), F.max(value).cast("double").alias("vmax"),
+        F.count("*").alias("rows_in_key"),
     )
     # Distinct values with their counts: repeated values never reach the join.
     counted = df.groupBy(*keys, v.cast("double").alias("v")).agg(F.count("*").alias("n"))
     spread = F.col("vmax") - F.col("vmin")
     slot = F.floor((F.col("v") - F.col("vmin")) * F.lit(float(n_bins)) / spread).cast("int")
     binned = (
-        counted.join(span, keys)
+        attach_group(counted, span, keys, "rows_in_key")
         .where(F.col("v") < F.col("vmax"))
         .groupBy(*keys, slot.alias("slot"))
         .agg(F.sum("n").alias("n"))
@@ -112,7 +114,7 @@ def quantile_bounds(
     high = F.when(stop < top - 1, stop + 1).otherwise(stop)
     return span.join(edge, keys, "left").select(
         *keys,
-        "vmin", "vmax",
+        "vmin", "vmax", "rows_in_key",
         (F.col("vmin") * (low / F.lit(float(n_bins)))).cast("bigint").alias("lo"),
         (F.col("vmax") * (high / F.lit(float(n_bins)))).cast("bigint").alias("hi"),
     )
@@ -146,9 +148,9 @@ def exact_percentiles(
     ranks = F.array_distinct(
         F.flatten(F.array(*[F.array(F.floor(pos(p)), F.ceil(pos(p))) for p in probs]))
     )
-    hit = sizes.select(
+    hit = sizes.withColumn("ranks", ranks).select(
         "slot", (F.col("upto") - F.col("n")).alias("before"),
-        F.filter(ranks, lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto"))).alias("ranks"),
+        F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto"))).alias("ranks"),
     ).where(F.size("ranks") > 0)
     # `hit` has at most 2 * len(probs) rows: the broadcast is bounded by the arguments.
     inside = binned.join(F.broadcast(hit), "slot")

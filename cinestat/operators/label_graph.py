@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -172,25 +171,28 @@ def iterated_modes(
 ) -> DataFrame:
     """Sequential site-by-site minimisation; its order makes a graph one unit of work.
 
-    A graph is one group of pixel rows of one image.  Start labels are the cheapest ones.
+    A graph holds the pixels of one image.  Start labels are the cheapest ones.
     """
-    cost = np.asarray(smooth)
-    lab = np.asarray(labels)
-
-    def sweep(s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        s = s.sort_values("site")
-        data = np.stack(s["costs"].to_numpy())
-        at = pd.Series(np.arange(len(s)), index=s["site"].to_numpy())
-        near = {k: (at[g["dst"]].to_numpy(), g["times"].to_numpy()) for k, g in e.groupby("src")}
-        cur = data.argmin(axis=1)
+    n = range(len(labels))
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("site")
+        at = {site: i for i, site in enumerate(pdf["site"])}
+        near = [[] if v is None else [(at[e["dst"]], e["times"]) for e in v] for v in pdf["near"]]
+        data = [list(c) for c in pdf["costs"]]
+        cur = [min(n, key=c.__getitem__) for c in data]
         for _ in range(rounds):
-            for i, site in enumerate(s["site"]):
-                nb, times = near.get(site, (np.empty(0, int), np.empty(0)))
-                cur[i] = (data[i] + (cost[:, cur[nb]] * times).sum(axis=1)).argmin()
-        return pd.DataFrame(
-            {graph: s[graph], "site": s["site"], "label": lab[cur], "data_cost": data[np.arange(len(s)), cur]}
-        )
-
+            for i, c in enumerate(data):
+                price = [c[k] + sum(smooth[k][cur[j]] * t for j, t in near[i]) for k in n]
+                cur[i] = min(n, key=price.__getitem__)
+        return pd.DataFrame({
+            graph: pdf[graph], "site": pdf["site"], "label": [labels[k] for k in cur],
+            "data_cost": [c[k] for c, k in zip(data, cur)],
+        })
+
+    beside = edges.groupBy(graph, F.col("src").alias("site")).agg(
+        F.collect_list(F.struct("dst", "times")).alias("near")
+    )
     kind = dict(sites.dtypes)
     out = f"{graph} {kind[graph]}, site {kind['site']}, label int, data_cost double"
-    return sites.groupBy(graph).cogroup(edges.groupBy(graph)).applyInPandas(sweep, out)
+    return sites.join(beside, [graph, "site"], "left").groupBy(graph).applyInPandas(sweep, out)

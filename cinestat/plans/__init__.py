@@ -1,6 +1,6 @@
 """Registered queries; importing a module registers what it defines."""
 
-from cinestat.plans import distributions, geometry, imaging, relational
+from cinestat.plans import distributions, geometry, imaging, relational, tabular
 from cinestat.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
