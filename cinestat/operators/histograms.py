@@ -79,22 +79,19 @@ def quantile_bounds(
     low bound is the first bin whose cumulated share exceeds ``lo``; the high bound
     walks down from the last bin while the share exceeds ``hi`` and then steps up
     once unless it stayed near the top.  Both scale the extremes and are truncated.
-    Two aggregations with map-side combine; at most ``n_bins`` rows per key remain.
+    Both aggregations combine map-side; at most ``n_bins`` rows per key remain.
     """
-    v = F.col(value)
-    span = df.groupBy(*keys).agg(
-        F.min(value).cast("double").alias("vmin"), F.max(value).cast("double").alias("vmax"),
-        F.count("*").alias("rows_in_key"),
+    rows = df.select(*keys, F.col(value).cast("double").alias("v"))
+    span = rows.groupBy(*keys).agg(
+        F.min("v").alias("vmin"), F.max("v").alias("vmax"), F.count("*").alias("rows_in_key")
     )
-    # Distinct values with their counts: repeated values never reach the join.
-    counted = df.groupBy(*keys, v.cast("double").alias("v")).agg(F.count("*").alias("n"))
     spread = F.col("vmax") - F.col("vmin")
     slot = F.floor((F.col("v") - F.col("vmin")) * F.lit(float(n_bins)) / spread).cast("int")
     binned = (
-        attach_group(counted, span, keys, "rows_in_key")
+        attach_group(rows, span, keys, "rows_in_key")
         .where(F.col("v") < F.col("vmax"))
         .groupBy(*keys, slot.alias("slot"))
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count("*").alias("n"))
     )
     along = Window.partitionBy(*keys).orderBy("slot")
     share = binned.select(
@@ -125,19 +122,15 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact linear-interpolated percentiles of a whole column, one row ``q0..qk``.
 
-    Two counting passes narrow each wanted rank to one bin; only the distinct values
-    of those bins are ranked.  No task sees more than one bin, and nothing is sampled.
+    Three narrow scans of one column: its range, the counts of ``n_bins`` equal bins,
+    and the distinct values of the few bins that hold a wanted rank.  Only bin counts
+    and those values are shuffled; nothing is sampled.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
-        F.count("*").alias("n")
-    )
-    span = counted.agg(
-        F.min("v").alias("a"), F.max("v").alias("b"), F.sum("n").alias("n")
-    ).select(F.struct("a", "b", "n").alias("s"))
-    s = span.scalar()
+    rows = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    s = rows.agg(F.struct(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).alias("s")).scalar()
     scaled = F.try_divide((F.col("v") - s["a"]) * F.lit(float(n_bins)), s["b"] - s["a"])
-    binned = counted.withColumn("slot", F.coalesce(F.floor(scaled), F.lit(0)).cast("int"))
-    sizes = binned.groupBy("slot").agg(F.sum("n").alias("n"))
+    binned = rows.withColumn("slot", F.coalesce(F.floor(scaled), F.lit(0)).cast("int"))
+    sizes = binned.groupBy("slot").agg(F.count("*").alias("n"))
     # At most n_bins + 1 rows pass through this key-less window.
     along = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     sizes = sizes.withColumn("upto", F.sum("n").over(along))
@@ -145,25 +138,23 @@ def exact_percentiles(
     def pos(p: float) -> Column:
         return (s["n"] - 1).cast("double") * F.lit(p)
 
-    ranks = F.array_distinct(
-        F.flatten(F.array(*[F.array(F.floor(pos(p)), F.ceil(pos(p))) for p in probs]))
-    )
-    hit = sizes.withColumn("ranks", ranks).select(
-        "slot", (F.col("upto") - F.col("n")).alias("before"),
-        F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto"))).alias("ranks"),
+    wanted = F.array_distinct(F.array(*[f(pos(p)) for p in probs for f in (F.floor, F.ceil)]))
+
+    def inside(ranks: str, upto: Column, n: Column) -> Column:
+        return F.filter(ranks, lambda r: (r >= upto - n) & (r < upto))
+
+    hit = sizes.withColumn("ranks", wanted).select(
+        "slot", (F.col("upto") - F.col("n")).alias("before"), inside("ranks", F.col("upto"), F.col("n")).alias("ranks")
     ).where(F.size("ranks") > 0)
     # `hit` has at most 2 * len(probs) rows: the broadcast is bounded by the arguments.
-    inside = binned.join(F.broadcast(hit), "slot")
+    values = binned.join(F.broadcast(hit.select("slot")), "slot", "left_semi").groupBy("slot", "v").agg(F.count("*").alias("n"))
     within = Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = inside.withColumn("upto", F.col("before") + F.sum("n").over(within))
-    found = placed.select(
-        "v", F.explode(F.filter("ranks", lambda r: (r >= F.col("upto") - F.col("n")) & (r < F.col("upto")))).alias("r"),
-    )
+    placed = values.join(F.broadcast(hit), "slot").withColumn("upto", F.col("before") + F.sum("n").over(within))
+    found = placed.select("v", F.explode(inside("ranks", F.col("upto"), F.col("n"))).alias("r"))
     lookup = found.agg(F.map_from_entries(F.collect_set(F.struct("r", "v"))).alias("m"))
 
     def pick(p: float) -> Column:
-        low = F.element_at("m", F.floor(pos(p)))
-        high = F.element_at("m", F.ceil(pos(p)))
+        low, high = F.element_at("m", F.floor(pos(p))), F.element_at("m", F.ceil(pos(p)))
         return low + (high - low) * (pos(p) - F.floor(pos(p)))
 
     return lookup.select(*[pick(p).alias(f"q{i}") for i, p in enumerate(probs)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinestat.functions import stencils
@@ -207,8 +208,6 @@ def local_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("level_set_regions")
 def level_set_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-
     yy, xx = np.mgrid[0:8, 0:8]
     disc = 3.0 - np.hypot(yy - 3.5, xx - 3.5)
     seg = stencils.image_udf(lambda a: stencils.chan_vese(a, disc, steps=60, mu=0.2, lambda1=4.0, lambda2=4.0), 8)

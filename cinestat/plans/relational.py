@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinestat.functions import cdf, paths
 from cinestat.operators import histograms, keyed, ranking, ring
+from cinestat.models import training
 from cinestat.plans.registry import query, table
+from cinestat.sources.submission import fill_template
 
 
 @query(
@@ -121,19 +123,17 @@ def annotated_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     a AS (SELECT target, count(*) AS n FROM c GROUP BY ALL),
     bins AS (SELECT unnest(range(600)) AS bin),
     own AS (SELECT study, target, sum(q) AS total, sum(q * bin) AS weighted FROM (
-        SELECT n.study, n.target, bin, round(count(*) FILTER (b <= bin) / any_value(n), 5) AS q
+        SELECT n.study, n.target, bin, count(*) FILTER (b <= bin) / any_value(n) AS q
         FROM n JOIN c USING (study, target), bins GROUP BY ALL) GROUP BY ALL),
     fb AS (SELECT target, sum(q) AS total, sum(q * bin) AS weighted FROM (
-        SELECT a.target, bin, round(count(*) FILTER (b <= bin) / any_value(n), 5) AS q
+        SELECT a.target, bin, count(*) FILTER (b <= bin) / any_value(n) AS q
         FROM a JOIN c USING (target), bins GROUP BY ALL) GROUP BY ALL)
     SELECT t.study || '_' || t.target AS id, own.total IS NULL AS missed,
-           round(coalesce(own.total, fb.total), 6) AS total, round(coalesce(own.weighted, fb.weighted), 6) AS weighted
+           round(coalesce(own.total, fb.total), 6) AS total, round(coalesce(own.weighted, fb.weighted), 4) AS weighted
     FROM t JOIN fb USING (target) LEFT JOIN own USING (study, target)
     """,
 )
 def submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cinestat.sources.submission import fill_template
-
     targets = F.explode(F.array(F.lit("Diastole"), F.lit("Systole")))
     template = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("study"), targets.alias("target"))
     target = F.when(F.col("event_id") % 2 == 0, "Diastole").otherwise("Systole")
@@ -145,7 +145,7 @@ def submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = F.zip_with("p", cdf.bins(), lambda p, j: p * j)
     return rows.select(
         "id", "missed", F.round(total, 6).alias("total"),
-        F.round(F.aggregate(weights, F.lit(0.0), lambda a, v: a + v), 6).alias("weighted"),
+        F.round(F.aggregate(weights, F.lit(0.0), lambda a, v: a + v), 4).alias("weighted"),
     )
 
 
@@ -378,12 +378,10 @@ def area_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cinestat.models.training import best_so_far as mark
-
     m = table(spark, sf_dir, "events").groupBy("event_type", F.dayofmonth("ts").alias("epoch")).agg(
         F.stddev_pop("value").alias("loss")
     )
-    out = mark(m, ["event_type"], "epoch", "loss")
+    out = training.best_so_far(m, ["event_type"], "epoch", "loss")
     return out.select("event_type", "epoch", F.round("loss", 6).alias("loss"), F.round("best", 6).alias("best"), "saved")
 
 

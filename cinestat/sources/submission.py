@@ -17,30 +17,29 @@ def to_arrays(long: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def fill_template(template: DataFrame, own: DataFrame, fallback: DataFrame, digits: int = 5) -> DataFrame:
+def fill_template(template: DataFrame, own: DataFrame, fallback: DataFrame) -> DataFrame:
     """Left join of the template with predictions; misses take the fallback of their target.
 
     ``template(study, target)``, ``own(study, target, bin, p)``, ``fallback(target, bin, p)``.
-    The fallback has one array per target and is read as a scalar map.
+    The fallback has one array per target and is read as a scalar map.  Values are
+    rounded by the writer only.
     """
     pairs = to_arrays(fallback, ["target"])
     default = pairs.agg(F.map_from_entries(F.collect_list(F.struct("target", "p"))).alias("m")).scalar()
     joined = template.join(to_arrays(own, ["study", "target"]), ["study", "target"], "left")
-    filled = joined.select(
+    return joined.select(
         F.concat_ws("_", F.col("study").cast("string"), "target").alias("id"),
         "study", "target", F.col("p").isNull().alias("missed"),
         F.coalesce("p", F.try_element_at(default, F.col("target"))).alias("p"),
     )
-    return filled.withColumn("p", F.transform("p", lambda v: F.round(v, digits)))
 
 
-def gaussian_rows(volumes: DataFrame, sigma: float, digits: int = 5) -> DataFrame:
+def gaussian_rows(volumes: DataFrame, sigma: float) -> DataFrame:
     """Rows from ``(study, is_diastole, volume)`` with one common spread."""
     target = F.when(F.col("is_diastole") == 0, "Systole").otherwise("Diastole")
-    p = cdf.norm_array(F.col("volume"), F.lit(sigma))
     return volumes.select(
         F.concat_ws("_", F.col("study").cast("string"), target).alias("id"),
-        F.transform(p, lambda v: F.round(v, digits)).alias("p"),
+        cdf.norm_array(F.col("volume"), F.lit(sigma)).alias("p"),
     )
 
 
