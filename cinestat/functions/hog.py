@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from cinestat.functions.stencils import Stack, shifted
+from cinestat.functions.stencils import Stack, map_images, shifted
 
 # Window, block, stride and cell size, orientation bins, clipping level.
 WINDOW, BLOCK, STRIDE, CELL, BINS, CLIP = 32, 16, 8, 8, 9, 0.05
@@ -97,11 +97,6 @@ def detect(images: DataFrame, id_: str, px: str, width: int, weights: np.ndarray
     return work.repartition(id_, "level").mapInPandas(score, f"{id_} {kind}, x double, y double, w double, h double, score double")
 
 
-def descriptors(px: Column, width: int = WINDOW) -> Column:
-    """Descriptor column of window-sized images."""
-
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(list(descriptor(np.stack(s.to_numpy()).astype(float).reshape(len(s), -1, width))))
-
-    return run(px)
+def descriptors(df: DataFrame, px: str, out: str, width: int = WINDOW) -> DataFrame:
+    """Descriptor of every window-sized image."""
+    return map_images(df, px, descriptor, width, out)

@@ -6,34 +6,44 @@ Catalyst has no stencil expression.  Each kernel is a few numpy lines on a stack
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
 
 Stack = np.ndarray
 
 
-def image_udf(kernel: Callable[[Stack], Stack], width: int) -> Callable[[Column], Column]:
-    """Lift a stack kernel to a column function over row-major arrays of one width.
+def map_images(df: DataFrame, px: str, kernel: Callable[[Stack], Stack], width: int, out: str) -> DataFrame:
+    """Append ``out``: a stack kernel applied to row-major images of one width.
 
-    Images of different height in a batch are stacked per height.
+    Works on the Arrow buffers: a batch of equal sizes becomes one stack without a copy
+    per row, images of different heights are stacked per size, NULL stays NULL.  The
+    other columns pass through untouched.
     """
-
-    @F.pandas_udf("array<double>")
-    def run(px: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(px), dtype=object)
-        sizes = px.map(len).to_numpy()
-        for size in np.unique(sizes):
-            at = np.flatnonzero(sizes == size)
-            stack = np.stack(px.iloc[at].to_numpy()).reshape(len(at), size // width, width)
-            flat = kernel(stack.astype(float)).reshape(len(at), -1)
-            for i, row in zip(at, flat):
-                out.iat[i] = row
-        return out
-
-    return run
+    work = df.withColumn(px, F.col(px).cast("array<double>"))
+    schema = T.StructType([*work.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            col = batch.column(px)
+            flat, size = col.flatten().to_numpy(), col.value_lengths().fill_null(-1).to_numpy()
+            start = np.concatenate([[0], np.cumsum(np.maximum(size, 0))])
+            done: list[np.ndarray | None] = [None] * len(col)
+            for n in np.unique(size[size > 0]):
+                at = np.flatnonzero(size == n)
+                stack = flat[start[at][:, None] + np.arange(n)].reshape(len(at), n // width, width)
+                for i, row in zip(at, kernel(stack).reshape(len(at), -1)):
+                    done[i] = row
+            ends = np.cumsum([0, *(0 if r is None else len(r) for r in done)]).astype("int32")
+            rows = [r for r in done if r is not None]
+            values = pa.array(np.concatenate(rows) if rows else np.empty(0), pa.float64())
+            offsets = pa.array(ends, pa.int32(), mask=np.array([*(r is None for r in done), False]))
+            result = pa.ListArray.from_arrays(offsets, values)
+            yield pa.RecordBatch.from_arrays([*batch.columns, result], [*batch.schema.names, out])
+
+    return work.mapInArrow(run, schema)
 
 
 def shifted(a: Stack, dy: int, dx: int, mode: str = "edge") -> Stack:

@@ -6,8 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -75,12 +74,16 @@ def relative_importance(model: PipelineModel, features: list[str], spark) -> Dat
 
 
 def train_detector(samples: DataFrame, descriptor: str, label: str, penalties: list[float], folds: int = 10, seed: int = 0):
-    """Linear detector on descriptors, penalty chosen by cross-validation; weights and bias."""
-    data = samples.select(array_to_vector(F.col(descriptor)).alias("features"), F.col(label).cast("double").alias("label"))
-    svc = LinearSVC(maxIter=100, standardization=False)
-    grid = ParamGridBuilder().addGrid(svc.regParam, penalties).build()
+    """Linear detector on descriptors: regression onto -1/+1, penalty chosen by cross-validation.
+
+    Each fit is one pass over the data (normal equations).  Returns weights and bias.
+    """
+    target = F.when(F.col(label) > 0, 1.0).otherwise(-1.0)
+    data = samples.select(array_to_vector(F.col(descriptor)).alias("features"), target.alias("label"))
+    reg = LinearRegression(solver="normal", elasticNetParam=0.0, standardization=False)
+    grid = ParamGridBuilder().addGrid(reg.regParam, penalties).build()
     cv = CrossValidator(
-        estimator=svc, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=seed
+        estimator=reg, estimatorParamMaps=grid, evaluator=RegressionEvaluator(), numFolds=folds, seed=seed
     )
     best = cv.fit(data).bestModel
     return best.coefficients.toArray(), best.intercept

@@ -22,8 +22,11 @@ def phase_rows(
     features: DataFrame, labels: DataFrame, key: str, systole: str = "systole", diastole: str = "diastole"
 ) -> DataFrame:
     """Clamp the volume columns to the label range, add their means, emit two rows per key."""
-    s, d = label_range(labels, systole), label_range(labels, diastole)
-    clamped = features.withColumns({
+    s, d = F.col("__sys"), F.col("__dias")
+    ranged = features.select(
+        "*", label_range(labels, systole).alias("__sys"), label_range(labels, diastole).alias("__dias")
+    )
+    clamped = ranged.withColumns({
         **{c: clamp(F.col(c), s["p1"], s["p99"]) for c in ("v_min", "v_min_cpr")},
         **{c: clamp(F.col(c), d["p1"], d["p99"]) for c in ("v_max", "v_max_cpr")},
     })
@@ -31,6 +34,7 @@ def phase_rows(
         "mean_sys": (F.col("v_min_cpr") + F.col("v_min")) / 2,
         "mean_dias": (F.col("v_max") + F.col("v_max_cpr")) / 2,
     })
+    means = means.drop("__sys", "__dias")
     joined = means.join(labels.select(key, systole, diastole), key)
     phases = F.array(
         F.struct(F.lit(0).alias("is_diastole"), F.col(systole).alias("label")),

@@ -127,13 +127,14 @@ def exact_percentiles(
     and those values are shuffled; nothing is sampled.
     """
     rows = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    s = rows.agg(F.struct(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).alias("s")).scalar()
+    span = rows.agg(F.struct(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).alias("s")).scalar()
+    s = F.col("s")  # the range is attached once per step: every mention of a subquery is planned anew
     scaled = F.try_divide((F.col("v") - s["a"]) * F.lit(float(n_bins)), s["b"] - s["a"])
-    binned = rows.withColumn("slot", F.coalesce(F.floor(scaled), F.lit(0)).cast("int"))
+    binned = rows.select("v", span.alias("s")).select("v", F.coalesce(F.floor(scaled), F.lit(0)).cast("int").alias("slot"))
     sizes = binned.groupBy("slot").agg(F.count("*").alias("n"))
     # At most n_bins + 1 rows pass through this key-less window.
     along = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sizes.withColumn("upto", F.sum("n").over(along))
+    sizes = sizes.select("*", F.sum("n").over(along).alias("upto"), span.alias("s"))
 
     def pos(p: float) -> Column:
         return (s["n"] - 1).cast("double") * F.lit(p)
@@ -151,7 +152,7 @@ def exact_percentiles(
     within = Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     placed = values.join(F.broadcast(hit), "slot").withColumn("upto", F.col("before") + F.sum("n").over(within))
     found = placed.select("v", F.explode(inside("ranks", F.col("upto"), F.col("n"))).alias("r"))
-    lookup = found.agg(F.map_from_entries(F.collect_set(F.struct("r", "v"))).alias("m"))
+    lookup = found.agg(F.map_from_entries(F.collect_set(F.struct("r", "v"))).alias("m")).select("m", span.alias("s"))
 
     def pick(p: float) -> Column:
         low, high = F.element_at("m", F.floor(pos(p))), F.element_at("m", F.ceil(pos(p)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinestat.functions import cdf
+from cinestat.session import spread
 
 
 def mean_cdf(preds: DataFrame, key: str, mu: Column, sigma: float, *carry: str) -> DataFrame:
@@ -14,7 +15,7 @@ def mean_cdf(preds: DataFrame, key: str, mu: Column, sigma: float, *carry: str)
     expansion, the average and any later window on ``key`` share that stage.
     ``preds`` must be pre-aggregated to a bounded number of rows per key.
     """
-    placed = preds.repartition(key).select(key, mu.alias("mu"), *carry)
+    placed = spread(preds, key).select(key, mu.alias("mu"), *carry)
     long = placed.select("*", F.explode(cdf.bins()).alias("bin"))
     return long.groupBy(key, "bin").agg(
         F.avg(cdf.norm_cdf(F.col("bin"), F.col("mu"), F.lit(sigma))).alias("p"),
@@ -46,7 +47,7 @@ def sigma_search(
     are not generated.  The aggregate keeps ``count`` groups, so the shuffle is tiny.
     """
     grid = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda n: F.lit(first) + n * F.lit(step))
-    rows = pairs.select(
+    rows = spread(pairs, pred, truth).select(
         F.col(pred).alias("mu"), F.col(truth).alias("v"), F.explode(grid).alias("sigma")
     )
     reach = F.lit(8.5) * F.col("sigma")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cinestat.functions.bind import let
-from cinestat.functions.stencils import gradient_magnitude, image_udf
+from cinestat.functions.stencils import gradient_magnitude, map_images
 from cinestat.operators.pixels import explode_pixels
 from cinestat.session import cut_lineage, settle
 
@@ -30,7 +30,7 @@ def seed_centres(images: DataFrame, id_: str, px: str, width: int, height: int,
     The window is clipped to the image and half-open on the far side; the first
     minimum in row order wins.
     """
-    grads = images.select(id_, px, image_udf(gradient_magnitude, width)(F.col(px)).alias("grad"))
+    grads = map_images(images.select(id_, px), px, gradient_magnitude, width, "grad")
     grid = [
         (x, y)
         for x in range(step, math.ceil(width - step // 2), step)

@@ -8,6 +8,7 @@ from cinestat.functions import cdf
 from cinestat.operators import histograms, pixels, scoring
 from cinestat.operators.keyed import attach_group
 from cinestat.plans.registry import query, table
+from cinestat.session import spread
 
 
 def phi_sql(x: str, mu: str, sigma: str) -> str:
@@ -47,7 +48,7 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def crps_by_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = Window.partitionBy("user_id")
-    daily = _daily(spark, sf_dir).repartition("user_id")
+    daily = spread(_daily(spark, sf_dir), "user_id")
     daily = daily.withColumn("v", F.sum("s").over(whole) / F.sum("n").over(whole))
     long = scoring.mean_cdf(daily, "user_id", F.col("s") / F.col("n"), 20.0, "v")
     scored = scoring.crps_by_key(scoring.monotone(long, "user_id"), "user_id", "v")

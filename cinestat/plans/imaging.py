@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -169,6 +171,12 @@ def mrf_iterated_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mrf.iterated_modes(sites, edges, "vec_id", LABELS, SMOOTH, 3)
 
 
+def _filtered(spark: SparkSession, sf_dir: str, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Pixels of all images after a stencil."""
+    out = stencils.map_images(images(spark, sf_dir).select("vec_id", "px"), "px", kernel, 8, "out")
+    return px_ops.explode_pixels(out, "vec_id", "out", 8).withColumn("v", F.round("v", 6))
+
+
 def _pm_step(k: int) -> str:
     p = f"pm{k - 1}"
     return f"""
@@ -187,9 +195,7 @@ def _pm_step(k: int) -> str:
     {_pm_step(1)}, {_pm_step(2)}, {_pm_step(3)} SELECT vec_id, y, x, round(v, 6) AS v FROM pm3""",
 )
 def diffusion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    smooth = stencils.image_udf(lambda a: stencils.perona_malik(a, 0.5, 0.2, 0.6), 8)
-    out = images(spark, sf_dir).select("vec_id", smooth("px").alias("px"))
-    return px_ops.explode_pixels(out, "vec_id", "px", 8).withColumn("v", F.round("v", 6))
+    return _filtered(spark, sf_dir, lambda a: stencils.perona_malik(a, 0.5, 0.2, 0.6))
 
 
 @query(
@@ -201,23 +207,20 @@ def diffusion_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT vec_id, y, x, round((v - m) / greatest(s, avg(s) OVER (PARTITION BY vec_id), 1e-4), 6) AS v FROM c""",
 )
 def local_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lcn = stencils.image_udf(stencils.local_contrast, 8)
-    out = images(spark, sf_dir).select("vec_id", lcn("px").alias("px"))
-    return px_ops.explode_pixels(out, "vec_id", "px", 8).withColumn("v", F.round("v", 6))
+    return _filtered(spark, sf_dir, stencils.local_contrast)
 
 
 @query("level_set_regions")
 def level_set_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     yy, xx = np.mgrid[0:8, 0:8]
     disc = 3.0 - np.hypot(yy - 3.5, xx - 3.5)
-    seg = stencils.image_udf(lambda a: stencils.chan_vese(a, disc, steps=60, mu=0.2, lambda1=4.0, lambda2=4.0), 8)
-    out = images(spark, sf_dir).select("vec_id", seg("px").alias("u"))
-    p = px_ops.explode_pixels(out, "vec_id", "u", 8)
+    def kernel(a: np.ndarray) -> np.ndarray:
+        return stencils.chan_vese(a, disc, steps=60, mu=0.2, lambda1=4.0, lambda2=4.0)
+
+    p = _filtered(spark, sf_dir, kernel)
     return p.select("vec_id", "y", "x", (F.col("v") > 0).alias("inside"))
 
 
 @query("tv_denoise")
 def tv_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    den = stencils.image_udf(lambda a: stencils.tv_denoise(a, 0.1), 8)
-    out = images(spark, sf_dir).select("vec_id", den("px").alias("px"))
-    return px_ops.explode_pixels(out, "vec_id", "px", 8).withColumn("v", F.round("v", 6))
+    return _filtered(spark, sf_dir, lambda a: stencils.tv_denoise(a, 0.1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cinestat.functions import cdf, paths
+from cinestat.functions import paths
 from cinestat.operators import histograms, keyed, ranking, ring
 from cinestat.models import training
 from cinestat.plans.registry import query, table
@@ -141,11 +141,9 @@ def submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = histograms.empirical_cdf(ev, ["study", "target"], "value")
     fallback = histograms.empirical_cdf(ev, ["target"], "value")
     rows = fill_template(template, own, fallback)
-    total = F.aggregate("p", F.lit(0.0), lambda a, v: a + v)
-    weights = F.zip_with("p", cdf.bins(), lambda p, j: p * j)
-    return rows.select(
-        "id", "missed", F.round(total, 6).alias("total"),
-        F.round(F.aggregate(weights, F.lit(0.0), lambda a, v: a + v), 4).alias("weighted"),
+    long = rows.select("id", "missed", F.posexplode("p").alias("bin", "q"))
+    return long.groupBy("id", "missed").agg(
+        F.round(F.sum("q"), 6).alias("total"), F.round(F.sum(F.col("q") * F.col("bin")), 4).alias("weighted")
     )
 
 

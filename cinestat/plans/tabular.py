@@ -74,15 +74,15 @@ def exact_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT quantile_cont(s, 0.01) AS s1, quantile_cont(s, 0.99) AS s9, quantile_cont(d, 0.01) AS d1, quantile_cont(d, 0.99) AS d9 FROM y),
     c AS (SELECT k, least(greatest(v_min, s1), s9) AS v_min, least(greatest(v_min_cpr, s1), s9) AS v_min_cpr,
         least(greatest(v_max, d1), d9) AS v_max, least(greatest(v_max_cpr, d1), d9) AS v_max_cpr FROM f, p)
-    SELECT k AS l_orderkey, ph::INTEGER AS is_diastole, round(v_min, 7) AS v_min, round(v_max, 7) AS v_max,
-        round((v_min_cpr + v_min) / 2, 7) AS mean_sys, round((v_max + v_max_cpr) / 2, 7) AS mean_dias,
-        round(CASE ph WHEN 0 THEN s ELSE d END, 7) AS label FROM c JOIN y USING (k), (VALUES (0), (1)) t(ph)
+    SELECT k AS l_orderkey, ph::INTEGER AS is_diastole, round(v_min, 8) AS v_min, round(v_max, 8) AS v_max,
+        round((v_min_cpr + v_min) / 2, 8) AS mean_sys, round((v_max + v_max_cpr) / 2, 8) AS mean_dias,
+        round(CASE ph WHEN 0 THEN s ELSE d END, 8) AS label FROM c JOIN y USING (k), (VALUES (0), (1)) t(ph)
     """,
 )
 def percentile_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = phase_table(spark, sf_dir)
     return rows.select(
-        "l_orderkey", "is_diastole", *[F.round(c, 7).alias(c) for c in ("v_min", "v_max", "mean_sys", "mean_dias", "label")]
+        "l_orderkey", "is_diastole", *[F.round(c, 8).alias(c) for c in ("v_min", "v_max", "mean_sys", "mean_dias", "label")]
     )
 
 

@@ -48,3 +48,12 @@ def settle(df: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     if previous is not None:
         previous.unpersist()
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Place narrow rows that are about to be expanded many-fold.
+
+    An explicit partition count keeps adaptive execution from merging the partitions:
+    it sizes them by the bytes before the expansion.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cinestat.functions import cdf
+from cinestat.session import spread
 
 COLUMNS = ["Id", *[f"P{i}" for i in range(cdf.BINS)]]
 
@@ -26,7 +27,8 @@ def fill_template(template: DataFrame, own: DataFrame, fallback: DataFrame) -> D
     """
     pairs = to_arrays(fallback, ["target"])
     default = pairs.agg(F.map_from_entries(F.collect_list(F.struct("target", "p"))).alias("m")).scalar()
-    joined = template.join(to_arrays(own, ["study", "target"]), ["study", "target"], "left")
+    # Ids are narrow, but each becomes 600 values.
+    joined = spread(template, "study", "target").join(to_arrays(own, ["study", "target"]), ["study", "target"], "left")
     return joined.select(
         F.concat_ws("_", F.col("study").cast("string"), "target").alias("id"),
         "study", "target", F.col("p").isNull().alias("missed"),
