@@ -56,9 +56,9 @@ PLANES_SQL = """
       s.pz + 32 * s.sx * s.rz + 32 * s.sy * s.cz AS oz
       FROM s LEFT JOIN a ON s.l_orderkey = a.l_orderkey LEFT JOIN b ON s.l_orderkey = b.l_orderkey)
     SELECT l_orderkey, l_linenumber, l_partkey, views_ok,
-      round(CASE WHEN views_ok THEN CASE WHEN abs(det) > 1e-3 THEN tx / det END ELSE ox END, 5) AS x,
-      round(CASE WHEN views_ok THEN CASE WHEN abs(det) > 1e-3 THEN ty / det END ELSE oy END, 5) AS y,
-      round(CASE WHEN views_ok THEN CASE WHEN abs(det) > 1e-3 THEN tz / det END ELSE oz END, 5) AS z
+      CASE WHEN views_ok THEN round(CASE WHEN abs(det) > 1e-3 THEN tx / det END, 4) ELSE round(ox, 5) END AS x,
+      CASE WHEN views_ok THEN round(CASE WHEN abs(det) > 1e-3 THEN ty / det END, 4) ELSE round(oy, 5) END AS y,
+      CASE WHEN views_ok THEN round(CASE WHEN abs(det) > 1e-3 THEN tz / det END, 4) ELSE round(oz, 5) END AS z
     FROM j""",
 )
 def plane_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def plane_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     ok = F.col("ok")
     det = F.abs(g.dot(p.normal, g.cross(a.normal, b.normal))) > 1e-3
     out = [
-        F.round(F.when(ok, F.when(det, t)).otherwise(o), 5).alias(c)
+        F.when(ok, F.round(F.when(det, t), 4)).otherwise(F.round(o, 5)).alias(c)
         for c, t, o in zip("xyz", point, centre)
     ]
     return sax.select("l_orderkey", "s.l_linenumber", "s.l_partkey", ok.alias("views_ok"), *out)

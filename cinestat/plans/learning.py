@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinestat.functions import hog, segment, shapes
 from cinestat.models import regress
-from cinestat.operators import augment, keyed, pixels as px_ops, ranking, shape_regression
+from cinestat.operators import augment, keyed, pixels as px_ops, ranking, seeds, shape_regression
 from cinestat.plans.geometry import images
 from cinestat.plans.registry import query, table
 from cinestat.plans.tabular import phase_table
@@ -101,6 +101,12 @@ def window_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hog.detect(_large(spark, sf_dir, 40), "vec_id", "px", 40, weights, float(bias))
 
 
+@query("seeds_superpixels")
+def seeds_superpixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = seeds.seeds_superpixels(_large(spark, sf_dir, 16).select("vec_id", "px"), "px", 16, 12)
+    return out.select("vec_id", F.posexplode("labels").alias("i", "label"))
+
+
 @query("cluster_radius")
 def cluster_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Centre after mean shift and radius of the intensity cluster around the middle."""

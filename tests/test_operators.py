@@ -282,3 +282,24 @@ def test_map_images_handles_sizes_and_nulls(spark):
     df = spark.createDataFrame(rows, "id int, px array<double>").coalesce(1)
     out = {r.id: r.o for r in stencils.map_images(df, "px", lambda a: a * 2, 4, "o").collect()}
     assert out[2] is None and out[1] == [2.0 * i for i in range(12)] and out[3] == [2.0 * i for i in range(8)] and out[4] == [2.0] * 12
+
+
+def test_block_and_pixel_exchange(spark):
+    from cinestat.operators import seeds
+
+    yy, xx = np.mgrid[0:48, 0:48]
+    img = np.where(xx + 0.3 * yy < 31, 0.1, 0.9)
+    lab = seeds.seeds(img, 16)
+    assert lab.shape == img.shape
+    start = seeds.grid_labels(img.shape, seeds.block_levels(48, 48, 16, 2)[-1])
+
+    def purity(labels):
+        return sum(max((img[labels == l] > 0.5).sum(), (img[labels == l] < 0.5).sum()) for l in np.unique(labels)) / img.size
+
+    assert purity(lab) > purity(start) + 0.03
+    whole = np.array([[1, 1, 1], [1, 1, 2], [1, 1, 1]])
+    bridge = np.array([[2, 1, 1], [3, 1, 2], [2, 1, 1]])
+    assert not seeds.detaches(whole) and seeds.detaches(bridge)
+    df = spark.createDataFrame([(1, img.ravel().tolist())], "id int, px array<double>")
+    out = seeds.seeds_superpixels(df, "px", 48, 16).first()
+    assert out.labels == lab.ravel().tolist()
