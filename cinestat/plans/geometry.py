@@ -449,18 +449,18 @@ def five_crop_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "frame_stack_difference",
-    f"""WITH {PX_SQL}, l AS (SELECT *, row_number() OVER (PARTITION BY label, y, x ORDER BY vec_id) AS t,
-          v - lag(v) OVER (PARTITION BY label, y, x ORDER BY vec_id) AS d FROM px)
-    SELECT label, vec_id, y, x, round(d, 6) AS diff FROM l WHERE t > 1""",
+    f"""WITH {PX_SQL}, l AS (SELECT *, vec_id // 30 AS study, v - lag(v) OVER (PARTITION BY vec_id // 30, y, x ORDER BY vec_id) AS d FROM px)
+    SELECT study, vec_id, y, x, round(d, 6) AS diff FROM l WHERE d IS NOT NULL""",
 )
 def frame_stack_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Images of a class form a sequence; only whole image rows pass the window.
-    w = Window.partitionBy("label").orderBy("vec_id")
-    pairs = images(spark, sf_dir).withColumn("before", F.lag("px").over(w)).where(F.col("before").isNotNull())
-    diff = pairs.select("vec_id", "label", F.zip_with("px", "before", lambda a, b: a - b).alias("px"))
-    long = diff.select("label", "vec_id", F.posexplode("px").alias("i", "d"))
-    return long.select(
-        "label", "vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"),
+    # A study is a run of 30 frames; whole frames pass the window, not pixels.
+    study = F.floor(F.col("vec_id") / 30)
+    w = Window.partitionBy("study").orderBy("vec_id")
+    frames = images(spark, sf_dir).select(study.alias("study"), "vec_id", "px")
+    pairs = frames.withColumn("before", F.lag("px").over(w)).where(F.col("before").isNotNull())
+    diff = pairs.select("study", "vec_id", F.posexplode(F.zip_with("px", "before", lambda a, b: a - b)).alias("i", "d"))
+    return diff.select(
+        "study", "vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"),
         F.round("d", 6).alias("diff"),
     )
 

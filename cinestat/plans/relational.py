@@ -345,14 +345,14 @@ def rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "frame_totals",
     f"""WITH {DAILY_SQL}, t AS (SELECT day, sum(v) AS total FROM d GROUP BY day)
-    SELECT day, round(total, 5) AS total,
+    SELECT day, round(total, 8) AS total,
       round(0.25e0 * coalesce(lag(total) OVER w, lead(total) OVER w) + 0.5e0 * total
-          + 0.25e0 * coalesce(lead(total) OVER w, lag(total) OVER w), 5) AS smooth
+          + 0.25e0 * coalesce(lead(total) OVER w, lag(total) OVER w), 8) AS smooth
     FROM t WINDOW w AS (ORDER BY day)""",
 )
 def frame_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ring.smoothed_totals(daily(spark, sf_dir), "day", "v")
-    return t.select("day", F.round("total", 5).alias("total"), F.round("smooth", 5).alias("smooth"))
+    return t.select("day", F.round("total", 8).alias("total"), F.round("smooth", 8).alias("smooth"))
 
 
 @query(
