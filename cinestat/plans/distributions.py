@@ -9,6 +9,7 @@ from cinestat.operators import histograms, pixels, scoring
 from cinestat.operators.keyed import attach_group
 from cinestat.plans.registry import query, table
 from cinestat.session import spread
+from cinestat.sources import submission
 
 
 def phi_sql(x: str, mu: str, sigma: str) -> str:
@@ -248,6 +249,20 @@ def sigma_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("sigma", F.round("crps", 6).alias("crps"), "evaluated", "best")
 
 
+@query(
+    "gaussian_submission",
+    f"""WITH v AS (SELECT user_id, event_id % 2 AS ph, avg(value) AS v FROM events GROUP BY ALL)
+    SELECT user_id || CASE ph WHEN 0 THEN '_Systole' ELSE '_Diastole' END AS id, bin::INTEGER AS bin,
+           round({phi_sql('bin', 'v', '13.5e0')}, 6) AS p FROM v, {BINS_SQL}""",
+)
+def gaussian_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "events").groupBy(
+        F.col("user_id").alias("study"), (F.col("event_id") % 2).alias("is_diastole")
+    ).agg(F.avg("value").alias("volume"))
+    rows = submission.gaussian_rows(spread(v, "study"), 13.5)
+    return rows.select("id", F.posexplode("p").alias("bin", "p")).select("id", "bin", F.round("p", 6).alias("p"))
+
+
 @query(
     "weighted_kappa",
     """

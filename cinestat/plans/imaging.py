@@ -83,7 +83,26 @@ def superpixel_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.contour_pixels(out, "vec_id")
 
 
-@query("slico_superpixels")
+def _slico_step(k: int) -> str:
+    p = k - 1
+    return f"""
+    d{k} AS (SELECT p.vec_id, p.y, p.x, c, color, maxc, pow(p.v - color, 2) / maxc + (pow(p.x - cx, 2) + pow(p.y - cy, 2)) / 9 AS d
+      FROM px p JOIN c{p} USING (vec_id) WHERE p.x >= floor(cx - 3) AND p.x < cx + 3 AND p.y >= floor(cy - 3) AND p.y < cy + 3),
+    b{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, y, x ORDER BY d, c) AS rn FROM d{k}) WHERE rn = 1),
+    l{k} AS MATERIALIZED (SELECT o.vec_id, o.y, o.x, o.v, coalesce(b.c, o.label)::INTEGER AS label, coalesce(b.color, o.color) AS color,
+      coalesce(b.maxc, o.maxc) AS maxc FROM l{p} o LEFT JOIN b{k} b ON o.vec_id = b.vec_id AND o.y = b.y AND o.x = b.x),
+    c{k} AS MATERIALIZED (SELECT vec_id, label AS c, avg(v) AS color, avg(x) AS cx, avg(y) AS cy,
+      greatest(max(pow(v - color, 2)), max(maxc)) AS maxc FROM l{k} WHERE label >= 0 GROUP BY ALL)"""
+
+
+@query(
+    "slico_superpixels",
+    f"""WITH {PX_SQL}, spot(i, p) AS (VALUES (0, 1), (1, 4), (2, 6)),
+    c0 AS (SELECT vec_id, b.i * 3 + a.i AS c, v AS color, a.p::DOUBLE AS cx, b.p::DOUBLE AS cy, 1.1754944e-38 AS maxc
+      FROM spot a, spot b JOIN px ON px.x = a.p AND px.y = b.p),
+    l0 AS (SELECT vec_id, y, x, v, -1 AS label, NULL::DOUBLE AS color, NULL::DOUBLE AS maxc FROM px),
+    {_slico_step(1)}, {_slico_step(2)}, {_slico_step(3)} SELECT vec_id, y, x, label FROM l3""",
+)
 def slico_superpixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sp.slico(images(spark, sf_dir), "vec_id", "px", 8, 8, region=3, iterations=3)
     return out.select("vec_id", "y", "x", "label")
@@ -164,7 +183,30 @@ def mrf_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mrf.energy(start, edges, "vec_id", LABELS, SMOOTH)
 
 
-@query("mrf_iterated_modes")
+NEAR = [
+    [y2 * 8 + x2 for y2, x2 in ((y, x - 1), (y, x + 1), (y - 1, x), (y + 1, x)) if 0 <= y2 < 8 and 0 <= x2 < 8]
+    for y in range(8) for x in range(8)
+]
+
+
+@query(
+    "mrf_iterated_modes",
+    f"""WITH RECURSIVE {MRF_SQL},
+    cl AS (SELECT vec_id, list(c ORDER BY site) FILTER (l = 1) AS a, list(c ORDER BY site) FILTER (l = 2) AS b,
+             list(c ORDER BY site) FILTER (l = 0) AS u FROM cost GROUP BY vec_id),
+    it AS (SELECT vec_id, 0 AS k, list_transform(range(64), lambda j: CASE WHEN a[j + 1] <= b[j + 1] AND a[j + 1] <= u[j + 1] THEN 0
+             WHEN b[j + 1] <= u[j + 1] THEN 1 ELSE 2 END) AS lab FROM cl
+      UNION ALL
+      SELECT vec_id, k + 1, list_transform(range(64), lambda j: CASE WHEN j != k % 64 THEN lab[j + 1]
+             WHEN pa <= pb AND pa <= pu THEN 0 WHEN pb <= pu THEN 1 ELSE 2 END)
+      FROM (SELECT it.vec_id, k, lab, a[k % 64 + 1] + 14 * len(list_filter(nb, lambda q: lab[q + 1] != 0)) AS pa,
+              b[k % 64 + 1] + 14 * len(list_filter(nb, lambda q: lab[q + 1] != 1)) AS pb, u[k % 64 + 1] + 14 * len(nb) AS pu
+            FROM (SELECT *, ({NEAR})[k % 64 + 1] AS nb FROM it WHERE k < 192) it JOIN cl ON cl.vec_id = it.vec_id)),
+    f AS (SELECT it.vec_id, unnest(range(64)) AS site, unnest(lab) AS i, unnest(a) AS a, unnest(b) AS b, unnest(u) AS u
+          FROM it JOIN cl ON cl.vec_id = it.vec_id WHERE k = 192)
+    SELECT vec_id, site::INTEGER AS site, (CASE i WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END)::INTEGER AS label,
+           (CASE i WHEN 0 THEN a WHEN 1 THEN b ELSE u END)::DOUBLE AS data_cost FROM f""",
+)
 def mrf_iterated_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = _sites(spark, sf_dir)
     edges = mrf.grid_edges(sites, "vec_id", 8, 8)
