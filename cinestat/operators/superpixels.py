@@ -123,18 +123,24 @@ def _rounds(
     pixels: DataFrame, centres: DataFrame, id_: str, cell: int, reach: float, distance: Distance,
     update: Callable[[DataFrame, str], DataFrame], iterations: int, cut_every: int,
 ) -> DataFrame:
-    """Alternate assignment and update; the state is cached, and cut every few rounds."""
+    """Alternate assignment and update.
+
+    The pixels of a round are cached and the few centres written: writing them fills
+    the cache in the same job and keeps the plan from mentioning a round twice.  The
+    pixels themselves are cut every few rounds.
+    """
     order = [id_, "gx", "gy"]
     state = settle(place_pixels(pixels, id_, cell, centres))
-    for i in range(iterations):
+    for i in range(iterations - 1):
         nxt = assign(state, centres, id_, cell, reach, distance)
-        if (i + 1) % cut_every == 0 and i + 1 < iterations:
+        if (i + 1) % cut_every == 0:
             nxt = cut_lineage(nxt).repartition(*order).sortWithinPartitions(*order)
-        if i + 1 == iterations:
-            state = nxt
-            break
-        state = settle(nxt, state)
-        centres = update(state, id_)
+        nxt = nxt.persist()
+        centres = cut_lineage(update(nxt, id_))
+        state.unpersist()
+        state = nxt
+    if iterations:
+        state = assign(state, centres, id_, cell, reach, distance)
     return state.select(id_, "y", "x", "v", F.coalesce("hit.c", F.lit(-1)).alias("label"))
 
 
