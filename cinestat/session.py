@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import io
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PACKAGE = Path(__file__).resolve().parent
+
 
 def get_spark(app: str = "cinestat", master: str | None = None, **conf: str) -> SparkSession:
     """Build a session; on a cluster the master and sizes come from spark-submit."""
@@ -20,15 +25,22 @@ def get_spark(app: str = "cinestat", master: str | None = None, **conf: str) ->
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; where none is set, one beside the warehouse tables.
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; a local folder only where none is set."""
+    The warehouse is the other place that driver and executors share by contract; a folder
+    of one machine's own disk would be lost to all other executors.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cinestat-checkpoint-"))
+        sc.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -37,6 +49,32 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back, pruned by column."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the executors, once per session.
+
+    Python workers import functions by module name, and neither the working folder nor
+    ``PYTHONPATH`` of the driver reaches them on a cluster.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_cinestat_shipped", False):
+        return
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for path in sorted(_PACKAGE.rglob("*.py")):
+            z.writestr(str(path.relative_to(_PACKAGE.parent)), path.read_bytes())
+    target = Path(sc._temp_dir) / "cinestat.zip"  # Spark's own driver folder; the file server hands it out
+    target.write_bytes(held.getvalue())
+    sc.addPyFile(str(target))
+    sc._cinestat_shipped = True
+
+
 def settle(df: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """Cache and fill now, so that the next step reads a known partitioning.
 
