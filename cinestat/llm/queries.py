@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cinestat.llm import language_id, mixing, packing, simhash_groups
+from cinestat.llm import language_id, lines, mixing, nearest, packing, sharding, simhash_groups, spotsigs, substrings
 from cinestat.llm.common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -43,3 +43,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups.group(documents(spark, sf_dir))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(documents(spark, sf_dir)).drop("key")
+
+
+@query("op3_sharding")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir)).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_nearest")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest.search(table, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(documents(spark, sf_dir)).select("doc_id", "text", "removed_lines", "removed_chars")
+
+
+@query("op10_spotsigs")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_with_edit(documents(spark, sf_dir))
