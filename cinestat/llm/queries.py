@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cinestat.llm import language_id, lines, mixing, nearest, packing, sharding, simhash_groups, spotsigs, substrings
+from cinestat.llm import (
+    language_id, lines, mixing, nearest, packing, sharding, simhash_groups, spotsigs, substrings, toxicity,
+)
 from cinestat.llm.common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -70,3 +72,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_spotsigs")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_with_edit(documents(spark, sf_dir))
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = toxicity.held_out()
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~out))
+    return toxicity.score(docs, net, ["doc_id"]).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cinestat.llm.common import gapless
 from cinestat.session import kept
@@ -35,6 +35,13 @@ def ordinal(df: DataFrame, column: str) -> Column:
     return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1)).cast("long")
 
 
+def _few(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A small table written into the plan itself."""
+    values = ", ".join("(" + ", ".join(str(v) for v in r) + ")" for r in rows)
+    casts = ", ".join(f"cast({c.split()[0]} as {c.split()[1]}) {c.split()[0]}" for c in columns.split(", "))
+    return spark.sql(f"SELECT {casts} FROM VALUES {values} AS t({', '.join(c.split()[0] for c in columns.split(', '))})")
+
+
 def _line(rows: DataFrame, key: str, search: dict[int, dict]) -> dict[int, dict]:
     """For each node the value of ``key`` where its bytes, added up in order, pass ``want``.
 
@@ -49,7 +56,7 @@ def _line(rows: DataFrame, key: str, search: dict[int, dict]) -> dict[int, dict]
             del left[k]
         if not left:
             break
-        state = spark.createDataFrame([(k, v["lo"], v["hi"]) for k, v in left.items()], "n int, lo long, hi long")
+        state = _few(spark, [(k, v["lo"], v["hi"]) for k, v in left.items()], "n int, lo bigint, hi bigint")
         width = (F.col("hi").cast("double") - F.col("lo").cast("double")) / _BINS
         bin_ = F.least(F.floor((F.col(key).cast("double") - F.col("lo").cast("double")) / width), F.lit(_BINS - 1))
         # One state row per node: at most as many as there are shards.
@@ -91,20 +98,20 @@ def _split(units: DataFrame, dims: list[str], nodes: dict[int, tuple[int, int]],
     line = _line(keyed, "key", search)
     spark = units.sparkSession
     if line:
-        at = F.broadcast(spark.createDataFrame([(k, v["at"]) for k, v in line.items()], "m int, at long"))
+        at = F.broadcast(_few(spark, [(k, v["at"]) for k, v in line.items()], "m int, at bigint"))
         tied = keyed.join(at, F.col("node") == F.col("m")).where(F.col("key") == F.col("at"))
         span = {r["node"]: r for r in tied.groupBy("node").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).collect()}
         tie = _line(tied, "h", {k: {"lo": span[k]["lo"], "hi": span[k]["hi"], "want": v["want"] - v["below"]} for k, v in line.items()})
         # The unit across the line goes to the side that ends nearer.
         own = {(r["node"], r["h"]): r["b"] for r in tied.join(
-            F.broadcast(spark.createDataFrame([(k, v["at"]) for k, v in tie.items()], "q int, hq long")),
+            F.broadcast(_few(spark, [(k, v["at"]) for k, v in tie.items()], "q int, hq bigint")),
             (F.col("node") == F.col("q")) & (F.col("h") == F.col("hq"))).groupBy("node", "h").agg(F.sum("bytes").alias("b")).collect()}
         table = []
         for k, v in line.items():
             miss = v["want"] - v["below"] - tie[k]["below"]
             first, n = many[k]
             table.append((k, v["at"], tie[k]["at"], own[k, tie[k]["at"]] - miss < miss, first, first + n // 2))
-        lines = F.broadcast(spark.createDataFrame(table, "k int, at long, ath long, with_line boolean, low int, high int"))
+        lines = F.broadcast(_few(spark, table, "k int, at bigint, ath bigint, with_line boolean, low int, high int"))
         low = (F.col("key") < F.col("at")) | ((F.col("key") == F.col("at")) & (
             (F.col("h") < F.col("ath")) | ((F.col("h") == F.col("ath")) & F.col("with_line"))))
         keyed = keyed.join(lines, F.col("node") == F.col("k"), "left").withColumn(
@@ -148,8 +155,9 @@ def shard(
     # Fewer than shards * whole_below groups can be larger than that.
     large = units.where(F.col("bytes") > most).select(*group, "bytes").collect()
     if large:
-        parts = docs.sparkSession.createDataFrame(
-            [(*r[:3], math.ceil(2 * r["bytes"] / most)) for r in large], "t long, size long, text_crc32 long, parts int")
+        parts = _few(
+            docs.sparkSession, [(*r[:3], math.ceil(2 * r["bytes"] / most)) for r in large],
+            "t bigint, size bigint, text_crc32 bigint, parts int")
         rows = kept(rows.drop("part").join(F.broadcast(parts), group, "left").withColumn(
             "part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")).drop("parts"))
         units = kept(units_of(rows))

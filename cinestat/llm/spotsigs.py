@@ -27,6 +27,7 @@ ANCHORS = (
     "el los las y en es por con para se no su al lo como más del"
 ).split()
 CHAIN = 2
+MOST_RANGES = 100_000
 
 
 def signatures(text: Column, anchors: list[str] | tuple[str, ...] = tuple(ANCHORS), chain: int = CHAIN) -> Column:
@@ -60,25 +61,28 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_
     approximate percentile and need not be even for the result to be right.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = d.count()
-    ranges = max(1, math.ceil(n / rows_per_range))
+    facts = d.agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    ranges = min(MOST_RANGES, max(1, math.ceil(facts["n"] / rows_per_range)))
+    coarse, fine = min(ranges, 500), math.ceil(ranges / 500)
     cuts = []
-    if ranges > 1:
-        got = d.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
-        cuts = sorted(set(got or []), reverse=True)
-    spark = docs.sparkSession
-    # Range 0 holds the largest numbers; nulls follow all others.
-    bounds = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    last = len(cuts) + 1
-    of = F.when(F.col("doc_id").isNull(), F.lit(last)).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("doc_id"))))
-    ranged = d.withColumn("range", of.cast("int"))
-    heads = {r["range"]: r["top"] for r in ranged.groupBy("range").agg(F.max("doc_id").alias("top")).collect()}  # one row a range
-    order = sorted(heads)
-    if not order:
-        return d.withColumn("next", F.col("text")).limit(0)
-    follows = [(heads[b], a, b == last) for a, b in zip(order, order[1:] + order[:1])]
-    carry = spark.createDataFrame(follows, "top long, into int, nulls boolean")
-    head_rows = d.join(F.broadcast(carry), F.when(F.col("nulls"), F.col("doc_id").isNull()).otherwise(F.col("doc_id") == F.col("top")))
+    if coarse > 1 and facts["lo"] is not None:
+        got = d.agg(F.percentile_approx("doc_id", [k / coarse for k in range(1, coarse)], 10 * coarse)).first()[0]
+        cuts = sorted(set(got or []))
+    # Between two cuts numbers are dealt evenly by value; the largest numbers have the lowest range, nulls the last.
+    lows = F.array(*[F.lit(c).cast("long") for c in [facts["lo"] or 0, *cuts, (facts["hi"] or 0) + 1]])
+    k = F.size(F.filter(F.slice(lows, 2, max(1, len(cuts))), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
+    low, high = F.element_at(lows, k + 1), F.element_at(lows, k + 2)
+    inner = F.floor((F.col("doc_id") - low) / F.greatest(high - low, F.lit(1)) * fine)
+    of = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(-(k * fine + F.least(inner, F.lit(fine - 1)))).cast("int")
+    ranged = d.withColumn("range", of)
+    # One row a range, MOST_RANGES at most: the window over them and the broadcast are bounded by that.
+    heads = ranged.groupBy("range").agg(F.max("doc_id").alias("top"))
+    order = Window.orderBy("range")
+    carry = heads.select(
+        F.col("range").alias("into"), F.coalesce(F.lead("range").over(order), F.min("range").over(Window.partitionBy())).alias("of"))
+    tops = heads.select(F.col("range").alias("of"), "top")
+    carry = carry.join(tops, "of").withColumnRenamed("of", "from")
+    head_rows = ranged.join(F.broadcast(carry), F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("range") == F.col("from")))
     # Several rows may share the number: the first by text.
     head = head_rows.groupBy("into").agg(F.min("text").alias("text"))
     guests = head.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("into").alias("range"), F.lit(1).alias("guest"))
