@@ -35,11 +35,17 @@ def sample_texts(
     """Whole texts in hash order, per language up to ``sample_chars`` characters in all.
 
     This is the bound on what the classifier learns from: texts that would pass it are left
-    out, equal texts count once.  Only the sample comes to the driver.
+    out, equal texts count once.  Only the sample comes to the driver.  Labels are few: a row
+    of counts for each is broadcast.
     """
-    ok = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
+    known = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull())
+    # Per language a share of the hash range that holds enough rows: without it every task would send its own.
+    counts = known.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("rows"))
+    share = F.least(F.lit(1.0), F.lit(8.0 * sample_rows) / F.col("rows"))
+    ok = known.select(
         F.col(label).alias("label"), F.col(text).alias("text"), F.length(text).alias("n"), F.xxhash64(text).alias("h"),
-    ).where((F.col("n") > 0) & (F.col("n") <= sample_chars // 2))
+    ).where((F.col("n") > 0) & (F.col("n") <= sample_chars // 2)).join(F.broadcast(counts), "label").where(
+        F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
     first = ok.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).where(
         F.col("r") <= 3 * sample_rows)
     first = first.dropDuplicates(["label", "h"])
