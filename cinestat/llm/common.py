@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -21,14 +23,50 @@ def row_key(df: DataFrame) -> Column:
     return F.md5(F.concat_ws("\x00", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x01")) for c in df.columns]))
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+
 def extended(schema: StructType, **fields: str) -> StructType:
-    """A new schema with more columns; a data frame's own schema is never changed."""
-    out = StructType(list(schema.fields))
+    """A new schema with more columns, which replace those of the same name."""
+    out = StructType([f for f in schema.fields if f.name not in fields])
     for name, kind in fields.items():
-        out = out.add(name, kind)
+        out = out.add(name, {"int": "integer"}.get(kind, kind))
     return out
 
 
+def derived(df: DataFrame, sources: list[str], make: Callable, keep: list[str], **fields: str) -> DataFrame:
+    """``keep`` and columns worked out from ``sources``, batch by batch.
+
+    ``make()`` is called once in a task and gives a function from lists of values to columns
+    by name.  Kept columns pass as Arrow arrays, unconverted: nulls and large numbers stay.
+    """
+    names = [c for c in keep if c not in fields]
+
+    def run(batches):
+        fn = make()
+        for batch in batches:
+            got = fn(*[batch.column(f"__in{i}").to_pylist() for i in range(len(sources))])
+            new = [pa.array(got[k], _ARROW[kind], from_pandas=True) for k, kind in fields.items()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new], names=[*names, *fields])
+
+    taken = df.select(*names, *[F.col(c).alias(f"__in{i}") for i, c in enumerate(sources)])
+    return taken.mapInArrow(run, extended(df.select(*names).schema, **fields))
+
+
+def expanded(df: DataFrame, source: str, make: Callable, keep: list[str], **fields: str) -> DataFrame:
+    """Like :func:`derived` with any number of rows for each: the function also gives their row numbers."""
+    def run(batches):
+        fn = make()
+        for batch in batches:
+            rows, got = fn(batch.column("__in").to_pylist())
+            at = pa.array(rows, pa.int64())
+            new = [pa.array(got[k], _ARROW[kind]) for k, kind in fields.items()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n).take(at) for n in keep], *new], names=[*keep, *fields])
+
+    taken = df.select(*keep, F.col(source).alias("__in"))
+    return taken.mapInArrow(run, extended(df.select(*keep).schema, **fields))
+
+
 def gapless(df: DataFrame, keys: list[str], order: list[Column], out: str, per_task: int = 200_000) -> DataFrame:
     """Numbers the rows of each key 0, 1, 2, ... without a task that holds a whole key.
 

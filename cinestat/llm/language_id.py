@@ -20,9 +20,10 @@ import math
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cinestat.llm.common import derived
+
 UNDETERMINED = "und"
 BLOCK = 2048
 FLAG = np.int32(1 << 30)
@@ -162,7 +163,7 @@ class CrossParser:
             found[:, j] = np.bincount(of, weights=n, minlength=len(texts))
         return found, counts, letters
 
-    def predict(self, texts: pd.Series) -> pd.DataFrame:
+    def predict(self, texts: list[str | None]) -> dict[str, list | np.ndarray]:
         """``lang_pred``, ``score`` and ``bits_per_char`` (of the winner) of every text."""
         values = [x if isinstance(x, str) else "" for x in texts]
         size = np.fromiter(map(len, values), np.int64, len(values))
@@ -180,9 +181,7 @@ class CrossParser:
             langs += [self.languages[k] if ok else UNDETERMINED for k, ok in zip(best, known)]
             score.append(np.where(known, sure, 0.0))
             bits.append(np.where(known, least, np.nan))
-        return pd.DataFrame({
-            "lang_pred": langs, "score": np.concatenate(score) if score else [], "bits_per_char": np.concatenate(bits) if bits else [],
-        })
+        return {"lang_pred": langs, "score": np.concatenate(score), "bits_per_char": np.concatenate(bits)}
 
 
 def fit(labelled: DataFrame, sample_chars: int = 20_000, text: str = "text", label: str = "lang") -> CrossParser:
@@ -190,19 +189,19 @@ def fit(labelled: DataFrame, sample_chars: int = 20_000, text: str = "text", lab
     return CrossParser(sample_texts(labelled, sample_chars, text=text, label=label))
 
 
-def identify(docs: DataFrame, model: CrossParser, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and the prediction for every row of ``docs``; only ``text`` is looked at."""
+def identify(docs: DataFrame, model: CrossParser, keep: list[str], text: str = "text", prefix: str = "") -> DataFrame:
+    """``keep`` and ``lang_pred``, ``score``, ``bits_per_char`` (of the winner) of every row.
+
+    Only ``text`` is looked at.  ``prefix`` goes before the three names where the table has
+    columns so called; without it theirs are replaced.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    extra = [] if text in keep else [text]
 
-    def run(batches):
+    def make():
         parser = shared.value
-        for batch in batches:
-            derived = parser.predict(batch[text])
-            yield pd.concat([batch[keep].reset_index(drop=True), derived], axis=1)
+        return lambda texts: {prefix + k: v for k, v in parser.predict(texts).items()}
 
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("bits_per_char", "double")
-    return docs.select(*keep, *extra).mapInPandas(run, schema)
+    return derived(docs, [text], make, keep, **{f"{prefix}lang_pred": "string", f"{prefix}score": "double", f"{prefix}bits_per_char": "double"})
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -210,7 +209,6 @@ def held_out(column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def rejected(min_chars: int = 50) -> Column:
-    """No language: no letter at all, or more bits a character than letters drawn at random need."""
-    gibberish = (F.col("bits_per_char") > 6.0) & (F.length("text") >= min_chars)
-    return (F.col("lang_pred") == UNDETERMINED) | F.coalesce(gibberish, F.lit(False))
+def rejected(prefix: str = "") -> Column:
+    """No language: not a single letter.  Anything with words stays, however poor its fit."""
+    return F.col(f"{prefix}lang_pred") == UNDETERMINED

@@ -13,11 +13,10 @@ a digest that two different texts share is never acted on.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cinestat.llm.common import extended
+from cinestat.llm.common import derived, expanded
 from cinestat.session import kept
 
 WINDOW = 2
@@ -53,23 +52,25 @@ def digest(chunk: str) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _blank(chunk: str) -> bool:
-    return not chunk.strip()
+def _several(text: str | None) -> list[str]:
+    """The chunks that may go: of two or more lines, not blank."""
+    return [c for a, b, c in chunks(text or "") if b - a > 1 and c.strip()]
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``digest``, ``owner`` of the multi-line chunks that occur more than once, byte for byte."""
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc, value in zip(batch["doc_id"], batch["text"]):
-                for a, b, chunk in chunks(value) if isinstance(value, str) else []:
-                    if b - a > 1 and not _blank(chunk):
-                        out.append((doc, digest(chunk), chunk))
-            yield pd.DataFrame(out, columns=["doc_id", "digest", "chunk"]).astype({"doc_id": batch["doc_id"].dtype})
+    def make():
+        def find(texts):
+            rows, digests, held = [], [], []
+            for i, value in enumerate(texts):
+                for chunk in _several(value):
+                    rows.append(i); digests.append(digest(chunk)); held.append(chunk)
+            return rows, {"digest": digests, "chunk": held}
+
+        return find
 
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = plain.mapInPandas(run, plain.select("doc_id").schema.add("digest", "long").add("chunk", "string"))
+    found = expanded(plain, "text", make, ["doc_id"], digest="long", chunk="string")
     exact = found.groupBy("digest", "chunk").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"))
     one = exact.groupBy("digest").agg(F.min("owner").alias("owner"), F.sum("n").alias("n"), F.count("*").alias("texts"))
     return one.where((F.col("n") > 1) & (F.col("texts") == 1)).select("digest", "owner")
@@ -86,16 +87,18 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     gone = kept(repeated(docs, doc_id, text))
     key = F.md5(F.concat_ws("\x00", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
 
-    def marks(batches):
-        for batch in batches:
-            out = []
-            for key_now, doc, value in zip(batch["__key"], batch["doc_id"], batch["text"]):
-                held = {digest(c) for a, b, c in chunks(value) if b - a > 1 and not _blank(c)} if isinstance(value, str) else ()
-                out += [(key_now, doc, d) for d in held]
-            yield pd.DataFrame(out, columns=["__key", "doc_id", "digest"]).astype({"doc_id": batch["doc_id"].dtype})
+    def make():
+        def find(texts):
+            rows, digests = [], []
+            for i, value in enumerate(texts):
+                for d in {digest(c) for c in _several(value)}:
+                    rows.append(i); digests.append(d)
+            return rows, {"digest": digests}
+
+        return find
 
     plain = docs.select(key.alias("__key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    held = plain.mapInPandas(marks, plain.select("__key", "doc_id").schema.add("digest", "long"))
+    held = expanded(plain, "text", make, ["__key", "doc_id"], digest="long")
     # A row per document and repeated chunk; own chunks come along to find repeats inside it.
     cut = held.join(gone, "digest").withColumn("away", F.col("owner").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("owner")))
     lists = cut.groupBy("__key").agg(
@@ -105,12 +108,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     names = docs.columns
     joined = docs.withColumn("__key", key).join(lists, F.col("__key") == F.col("__of"), "left").drop("__key", "__of")
 
-    def cleaned(batches):
-        for batch in batches:
-            texts, lines, chars = [], [], []
-            for value, away, own in zip(batch[text], batch.pop("__away"), batch.pop("__own")):
-                if not isinstance(value, str) or away is None:
-                    texts.append(value if isinstance(value, str) else None); lines.append(0); chars.append(0)
+    def clean():
+        def cut(texts, away_lists, own_lists):
+            out, lines, chars = [], [], []
+            for value, away, own in zip(texts, away_lists, own_lists):
+                if value is None or away is None:
+                    out.append(value); lines.append(0); chars.append(0)
                     continue
                 away, own, seen, parts, n = set(away), set(own), set(), [], 0
                 for a, b, chunk in chunks(value):
@@ -121,10 +124,11 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
                     seen.add(d)
                     parts.append(chunk)
                 whole = "\n".join(parts)
-                texts.append(whole); lines.append(n); chars.append(len(value) - len(whole))
-            batch[text] = texts
-            batch["removed_lines"], batch["removed_chars"] = lines, chars
-            yield batch
+                out.append(whole); lines.append(n); chars.append(len(value) - len(whole))
+            return {text: out, "removed_lines": lines, "removed_chars": chars}
+
+        return cut
 
-    return joined.select(*names, "__away", "__own").mapInPandas(
-        cleaned, extended(docs.schema, removed_lines="long", removed_chars="long"))
+    new = {text: "string", "removed_lines": "long", "removed_chars": "long"}
+    out = derived(joined, [text, "__away", "__own"], clean, names, **new)
+    return out.select(*names, *[c for c in new if c not in names])

@@ -17,10 +17,9 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from cinestat.llm.common import extended, gapless
+from cinestat.llm.common import derived, expanded, gapless
 from cinestat.session import kept
 
 END = 2
@@ -77,22 +76,23 @@ class WordTokens:
 
 def pieces(docs: DataFrame, window: int = 4096, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``: full windows and the rest of every document."""
-    def run(batches):
+    def make():
         tokens, end = WordTokens(tokenizer), np.asarray([END], "<u4").tobytes()
-        for batch in batches:
-            out = []
-            for doc, value in zip(batch["doc_id"], batch["text"]):
-                ids = tokens.encode(value if isinstance(value, str) else "") + end
+
+        def cut(texts):
+            rows, start, length, crc, total = [], [], [], [], []
+            for i, value in enumerate(texts):
+                ids = tokens.encode(value or "") + end
                 n = len(ids) // 4
-                for start in range(0, n, window):
-                    part = ids[4 * start : 4 * (start + window)]
-                    out.append((doc, start, len(part) // 4, zlib.crc32(part), n))
-            frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield frame.astype({"doc_id": batch["doc_id"].dtype})
+                for at in range(0, n, window):
+                    part = ids[4 * at : 4 * (at + window)]
+                    rows.append(i); start.append(at); length.append(len(part) // 4); crc.append(zlib.crc32(part)); total.append(n)
+            return rows, {"start": start, "length": length, "ids_crc32": crc, "doc_tokens": total}
+
+        return cut
 
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    schema = extended(plain.select("doc_id").schema, start="long", length="long", ids_crc32="long", doc_tokens="long")
-    return plain.mapInPandas(run, schema)
+    return expanded(plain, "text", make, ["doc_id"], start="long", length="long", ids_crc32="long", doc_tokens="long")
 
 
 class CapacityTree:
@@ -179,17 +179,17 @@ def pack(docs: DataFrame, window: int = 4096, tokenizer: str | None = None, doc_
     shared = cut.sparkSession.sparkContext.broadcast(plan)
     numbered = gapless(cut, ["length"], [F.col(c) for c in ("doc_id", "start", "ids_crc32", "doc_tokens")], "nth")
 
-    def run(batches):
+    def make():
         rows = shared.value
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         key = (rows[:, 0] << 44) + rows[:, 1]
-        for batch in batches:
-            length, nth = batch["length"].to_numpy(), batch.pop("nth").to_numpy()
+
+        def place(length, nth):
+            length, nth = np.array(length, np.int64), np.array(nth, np.int64)
             row = rows[np.searchsorted(key, (length << 44) + nth, side="right") - 1]
-            into = nth - row[:, 1]
-            batch["sequence_id"] = row[:, 3] + into // np.maximum(row[:, 4], 1)
-            batch["offset"] = row[:, 5] + into % np.maximum(row[:, 4], 1) * length
-            yield batch
+            into, each = nth - row[:, 1], np.maximum(row[:, 4], 1)
+            return {"sequence_id": row[:, 3] + into // each, "offset": row[:, 5] + into % each * length}
+
+        return place
 
-    schema = extended(cut.schema, sequence_id="long", offset="long")
-    return numbered.select(*cut.columns, "nth").mapInPandas(run, schema)
+    return derived(numbered, ["length", "nth"], make, cut.columns, sequence_id="long", offset="long")

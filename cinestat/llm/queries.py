@@ -36,7 +36,46 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-@query("op8_mixing")
+def _mix_sql(passes: int = 3) -> str:
+    """The same mix in one engine: whole sorts in place of bins."""
+    parts = [r"""
+rows AS MATERIALIZED (
+  SELECT doc_id, source, size,
+    ((('0x' || substr(md5('8:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT)::DOUBLE + 0.5) / 281474976710656.0 AS u
+  FROM (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents)),
+weighed AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    ([5, 2, 1])[CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w
+  FROM rows GROUP BY source),
+sorted AS (
+  SELECT *, 3 * source_size AS most, 3 * source_size / w::DOUBLE AS ratio,
+    row_number() OVER (ORDER BY 3 * source_size / w::DOUBLE, source ASC NULLS LAST) AS nth FROM weighed),
+levels AS (
+  SELECT s.*, ((SELECT sum(source_size) FROM sorted) - coalesce((SELECT sum(most) FROM sorted b WHERE b.nth < s.nth), 0))::DOUBLE
+    / ((SELECT sum(w) FROM sorted) - coalesce((SELECT sum(w) FROM sorted b WHERE b.nth < s.nth), 0))::DOUBLE AS level FROM sorted s),
+plan AS MATERIALIZED (
+  SELECT source, source_size, target, floor(rate)::BIGINT AS whole, rate - floor(rate) AS p, target - floor(rate) * source_size AS rest
+  FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
+    FROM (SELECT *, least(most::DOUBLE, (SELECT level FROM levels WHERE level <= ratio ORDER BY nth LIMIT 1) * w) AS target FROM levels))),
+pass0 AS MATERIALIZED (
+  SELECT r.*, n.source_size, n.target, n.whole, n.p, n.rest, n.p > 0 AND r.size > 0 AS open, FALSE AS taken_by_chance,
+    CASE WHEN n.p > 0 THEN ((u / (1 - u)) / (n.p / (1 - n.p))) / (1 + (u / (1 - u)) / (n.p / (1 - n.p))) ELSE 0.0 END AS rank
+  FROM rows r JOIN plan n ON r.source IS NOT DISTINCT FROM n.source)"""]
+    for k in range(passes):
+        near = " OR (upto - size <= rest AND upto - rest < size - (upto - rest))" if k == passes - 1 else ""
+        fits = "size <= rest - got" if k < passes - 2 else "size <= 2 * (rest - got)"
+        parts.append(f"""
+line{k} AS (SELECT *, CASE WHEN open THEN sum(CASE WHEN open THEN size ELSE 0 END) OVER (
+    PARTITION BY source ORDER BY rank, doc_id, size ROWS UNBOUNDED PRECEDING) END AS upto FROM pass{k}),
+took{k} AS (SELECT *, coalesce(open AND (upto <= rest{near}), FALSE) AS take FROM line{k}),
+sums{k} AS (SELECT *, coalesce(sum(CASE WHEN take THEN size END) OVER (PARTITION BY source), 0) AS got FROM took{k}),
+pass{k + 1} AS MATERIALIZED (SELECT doc_id, source, size, u, source_size, target, whole, p, rank, rest - got AS rest,
+    taken_by_chance OR take AS taken_by_chance, open AND NOT (taken_by_chance OR take) AND {fits} AS open FROM sums{k})""")
+    return "WITH " + ",".join(parts) + f"""
+SELECT doc_id, size, source_size, target, ((whole + taken_by_chance::BIGINT) * size)::BIGINT AS taken FROM pass{passes}"""
+
+
+@query("op8_mixing", _mix_sql())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,7 +108,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(documents(spark, sf_dir)).select("doc_id", "text", "removed_lines", "removed_chars")
 
 
-@query("op10_spotsigs")
+def _signatures_sql(text: str) -> str:
+    spaced = f"' ' || regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' '"
+    marked = f"regexp_replace({spaced}, ' ({'|'.join(spotsigs.ANCHORS)}) ', '|\\1', 'g')"
+    chains = f"list_transform(string_split({marked}, '|'), lambda x: regexp_extract(x, '^[^ ]*(?: +[^ ]+){{1,{spotsigs.CHAIN}}}', 0))"
+    hashed = f"list_transform(list_filter({chains}, lambda x: x <> ''), lambda x: substr(md5(x), 1, 8))"
+    whole = f"CASE WHEN trim({spaced}) = '' THEN [] ELSE [substr(md5({spaced}), 1, 8)] END"
+    return f"list_sort(list_distinct(CASE WHEN len({hashed}) = 0 THEN {whole} ELSE {hashed} END))"
+
+
+_SPOTSIGS_SQL = f"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS MATERIALIZED (SELECT doc_id, text, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next FROM d
+  WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+e AS MATERIALIZED (SELECT *, substr(text, 1, (length(text) - length(text) // 2)) || substr(next, 1, (length(text) // 2)) AS edit FROM p),
+s AS MATERIALIZED (SELECT doc_id, length(text) AS n_chars, sha256(edit) AS edited_sha256,
+  {_signatures_sql('text')} AS own, {_signatures_sql('edit')} AS edit, {_signatures_sql('next')} AS next FROM e),
+c AS (SELECT *, len(list_intersect(own, edit)) AS both_edit, len(list_intersect(own, next)) AS both_next FROM s)
+SELECT doc_id, n_chars::BIGINT AS n_chars, edited_sha256, array_to_string(own, '') AS fingerprint, array_to_string(edit, '') AS edited_fingerprint,
+  CASE WHEN greatest(len(own), len(edit)) = 0 THEN 1.0::DOUBLE ELSE both_edit::DOUBLE / (len(own) + len(edit) - both_edit) END AS near_edited,
+  CASE WHEN greatest(len(own), len(next)) = 0 THEN 1.0::DOUBLE ELSE both_next::DOUBLE / (len(own) + len(next) - both_next) END AS near_next
+FROM c"""
+
+
+@query("op10_spotsigs", _SPOTSIGS_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_with_edit(documents(spark, sf_dir))
 

@@ -27,7 +27,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from cinestat.llm.common import components, row_key
+from cinestat.llm.common import components, derived, row_key
 from cinestat.session import kept
 
 PIVOTS = 16
@@ -57,13 +57,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", shingle: int = 3) -> DataFrame:
     """``keep`` and ``fp`` (the 64 bits as a long) of every row."""
-    def run(batches):
-        for batch in batches:
-            values = np.array([fingerprint(x if isinstance(x, str) else None, shingle) for x in batch.pop("__text")], np.uint64)
-            batch["fp"] = values.view(np.int64)
-            yield batch
+    def make():
+        return lambda texts: {"fp": np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64)}
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInPandas(run, docs.select(*keep).schema.add("fp", "long"))
+    return derived(docs, [text], make, keep, fp="long")
 
 
 def pivots(n: int = PIVOTS) -> list[int]:

@@ -13,11 +13,10 @@ that of the last ``m`` plus that of the ``m`` before, shifted by ``m``.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cinestat.llm.common import extended
+from cinestat.llm.common import derived, expanded
 
 
 LEAST, MOST, MASK = 16, 192, np.uint32(0x1F << 26)
@@ -68,23 +67,23 @@ def _key() -> Column:
 
 def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``key`` (of number and text), ``nth``, ``start``, ``length`` (bytes), ``digest``."""
-    def run(batches):
+    def make():
         gear, digest = gear_table(), xxhash.xxh3_64_intdigest
-        for batch in batches:
-            docs_, keys, nth, start, length, found = [], [], [], [], [], []
-            for doc, key, value in zip(batch["doc_id"], batch["key"], batch["text"]):
-                data = value.encode("utf-8", "surrogatepass") if isinstance(value, str) else b""
-                stop = ends(data, gear)
-                begin = [0, *stop[:-1]][: len(stop)]
-                docs_ += [doc] * len(stop); keys += [key] * len(stop); nth += range(len(stop))
-                start += begin; length += [b - a for a, b in zip(begin, stop)]
-                found += [digest(data[a:b]) for a, b in zip(begin, stop)]
-            yield pd.DataFrame({
-                "doc_id": np.array(docs_, np.int64), "key": np.array(keys, np.int64), "nth": np.array(nth, np.int32),
-                "start": np.array(start, np.int32), "length": np.array(length, np.int32), "digest": np.array(found, np.uint64).view(np.int64)})
+
+        def cut(texts):
+            rows, nth, start, length, found = [], [], [], [], []
+            for i, value in enumerate(texts):
+                data = (value or "").encode("utf-8", "surrogatepass")
+                at = 0
+                for k, end in enumerate(ends(data, gear)):
+                    rows.append(i); nth.append(k); start.append(at); length.append(end - at); found.append(digest(data[at:end]))
+                    at = end
+            return rows, {"nth": nth, "start": start, "length": length, "digest": np.array(found, np.uint64).view(np.int64)}
+
+        return cut
 
     plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.col(text).alias("text")).withColumn("key", _key())
-    return plain.mapInPandas(run, "doc_id long, key long, nth int, start int, length int, digest long")
+    return expanded(plain, "text", make, ["doc_id", "key"], nth="int", start="int", length="int", digest="long")
 
 
 def repeats(docs: DataFrame, least_bytes: int = 160, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,20 +117,23 @@ def dedup(docs: DataFrame, least_bytes: int = 160, doc_id: str = "doc_id", text:
     key = F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), F.col(text))
     joined = docs.withColumn("__key", key).join(lists, F.col("__key") == F.col("__of"), "left").drop("__key", "__of")
 
-    def cleaned(batches):
-        for batch in batches:
+    def clean():
+        def cut(texts, lists_):
             out, sizes = [], []
-            for value, cut in zip(batch[text], batch.pop("__cut")):
-                data = value.encode("utf-8", "surrogatepass") if isinstance(value, str) else b""
+            for value, spans in zip(texts, lists_):
+                data = (value or "").encode("utf-8", "surrogatepass")
                 parts, at = [], 0
-                for c in cut if cut is not None else []:
-                    parts.append(data[at : c["start"]])
-                    at = c["start"] + c["length"]
+                for span in spans or []:
+                    parts.append(data[at : span["start"]])
+                    at = span["start"] + span["length"]
                 parts.append(data[at:])
                 rest = b"".join(parts)
-                out.append(rest.decode("utf-8", "surrogatepass") if isinstance(value, str) else None)
+                out.append(None if value is None else rest.decode("utf-8", "surrogatepass"))
                 sizes.append(len(data) - len(rest))
-            batch[text], batch["removed_bytes"] = out, sizes
-            yield batch
+            return {text: out, "removed_bytes": sizes}
+
+        return cut
 
-    return joined.mapInPandas(cleaned, extended(docs.schema, removed_bytes="long"))
+    new = {text: "string", "removed_bytes": "long"}
+    out = derived(joined, [text, "__cut"], clean, docs.columns, **new)
+    return out.select(*docs.columns, *[c for c in new if c not in docs.columns])

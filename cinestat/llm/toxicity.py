@@ -19,10 +19,9 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cinestat.llm.common import extended
+from cinestat.llm.common import derived
 
 WINDOW, STRIDE = 32, 24
 _WORD_ROWS, _CHAR_ROWS, _BYTES = 1 << 13, 1 << 15, 24
@@ -343,10 +342,8 @@ def score(docs: DataFrame, net: Network, keep: list[str], text: str = "text") ->
     """``keep`` and ``score`` of every row: its highest window's; without words (null, empty) a fixed low one."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
-    def run(batches):
+    def make():
         scorer = Scorer(shared.value)
-        for batch in batches:
-            batch["score"] = scorer.score(batch.pop("__text").tolist())
-            yield batch
+        return lambda texts: {"score": scorer.score(texts)}
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInPandas(run, extended(docs.select(*keep).schema, score="double"))
+    return derived(docs, [text], make, keep, score="double")
