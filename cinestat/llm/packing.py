@@ -24,6 +24,7 @@ from cinestat.session import kept
 
 END = 2
 _CACHE = 500_000
+_ODD = bytes([*range(9), *range(0x0E, 0x20), 0x7F, *range(0x80, 0xA0)])  # control characters: left to the tokenizer
 
 
 class WordTokens:
@@ -47,14 +48,21 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         letter, digit, space = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{digit}]|[^{space}{letter}{digit}]+").findall
-        self.odd = re.compile("[\x1c-\x1f]|<\\|").search
-        whole = self._whole
+        # The model's alphabet: printable bytes stand for themselves, the others are numbered from 256.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+        model = self.tokenizer.model.tokenize
 
         class Words(dict):
             def __missing__(self, word):
                 if len(self) >= _CACHE:
                     self.clear()
-                ids = self[word] = whole(word)
+                if not word.isascii():
+                    spelt = "".join(map(letters.__getitem__, word.encode()))
+                else:
+                    spelt = word
+                ids = self[word] = np.asarray([t.id for t in model(spelt)], "<u4").tobytes()
                 return ids
 
         self.words = Words()
@@ -64,11 +72,10 @@ class WordTokens:
 
     def encode(self, text: str) -> bytes:
         try:
-            text.encode("latin-1")
+            raw = text.encode("latin-1")
+            simple = "<|" not in text and len(raw.translate(None, _ODD)) == len(raw)
         except UnicodeEncodeError:
             simple = False
-        else:
-            simple = not self.odd(text)
         if not simple:
             return self._whole(text)
         return b"".join(map(self.words.__getitem__, self.split(text.lower())))
