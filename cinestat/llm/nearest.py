@@ -162,7 +162,8 @@ def search(
 
     def compare(ask_rows: pd.DataFrame, leaf_rows_: pd.DataFrame) -> pd.DataFrame:
         if not len(ask_rows) or not len(leaf_rows_):
-            return pd.DataFrame({"q": [], "score": [], "key": [], "ids": []})
+            empty = pd.Series([], dtype=object)
+            return pd.DataFrame({"q": empty, "score": pd.Series([], dtype=float), "key": empty, "ids": empty})
         m = np.stack(leaf_rows_["v"].to_numpy())
         least = np.array([x[0] for x in leaf_rows_["ids"]])
         q_out, s_out, at_out = [], [], []
