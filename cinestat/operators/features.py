@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cinestat.session import kept
+
 from cinestat.functions.cdf import clamp
 from cinestat.operators.histograms import exact_percentiles
 
@@ -142,19 +144,29 @@ def nearest_box(
 
 def negative_boxes(
     positives: DataFrame, key: list[str], width: int, height: int, *, wanted: int = 5, seed: int = 42,
-    draws: tuple[int, int] = (16, 1024),
+    draws: int = 16, most: int = 1 << 20,
 ) -> DataFrame:
     """Seeded random boxes that cover at most a fifth of the positive box.
 
-    Sizes run from 24 to 87.  The first ``wanted`` accepted draws are kept, like a
-    rejection loop.  Nearly all keys are done after the short first round; the others
-    repeat it with many more draws, which cannot change an earlier acceptance.
+    Sizes run from 24 to 87, or to the image's shorter side.  The first ``wanted``
+    accepted draws are kept, like a rejection loop: keys that are short after a round
+    repeat it with sixteen times the draws, which cannot change an earlier acceptance,
+    until no key is short.  A key without enough after ``most`` draws is an error.
     """
-    first = _accepted_boxes(positives, key, width, height, wanted, seed, draws[0])
-    full = F.size("b") == wanted
-    short = positives.join(first.where(full), key, "left_anti")
-    second = _accepted_boxes(short, key, width, height, wanted, seed, draws[1])
-    return first.where(full).unionByName(second).select(*key, F.inline("b"))
+    if min(width, height) <= 24:
+        raise ValueError(f"no box of 24 pixels fits an image of {width} x {height}")
+    left, done = positives, None
+    while True:
+        tried = kept(_accepted_boxes(left, key, width, height, wanted, seed, draws))
+        full = tried.where(F.size("b") == wanted)
+        done = full if done is None else done.unionByName(full)
+        left = kept(left.join(full.select(*key), key, "left_anti"))
+        short = left.select(*key).take(3)
+        if not short:
+            return done.select(*key, F.inline("b"))
+        if draws >= most:
+            raise ValueError(f"fewer than {wanted} boxes in {draws} draws for {[tuple(r) for r in short]}")
+        draws *= 16
 
 
 def _accepted_boxes(
@@ -168,7 +180,7 @@ def _accepted_boxes(
         text = F.substring("hash", 1 + 8 * part, 8)
         return F.pmod(F.conv(text, 16, 10).cast("bigint"), below.cast("bigint")).cast("int")
 
-    drawn = drawn.withColumn("size", number(0, F.lit(64)) + 24)
+    drawn = drawn.withColumn("size", number(0, F.lit(min(64, min(width, height) - 24))) + 24)
     drawn = drawn.withColumn("nx", number(1, F.lit(width) - F.col("size")))
     drawn = drawn.withColumn("ny", number(2, F.lit(height) - F.col("size")))
     ow = F.greatest(F.least(F.col("nx") + F.col("size"), F.col("x") + F.col("w")) - F.greatest("nx", "x"), F.lit(0))

@@ -6,6 +6,8 @@ so a key that owns most of the rows is spread over many groups.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinestat.functions import cdf
@@ -122,40 +124,51 @@ def exact_percentiles(
 ) -> DataFrame:
     """Exact linear-interpolated percentiles of a whole column, one row ``q0..qk``.
 
-    Three narrow scans of one column: its range, the counts of ``n_bins`` equal bins,
-    and the distinct values of the few bins that hold a wanted rank.  Only bin counts
-    and those values are shuffled; nothing is sampled.
+    The bins that hold a wanted rank are opened again between their own least and greatest
+    value until they hold one value.  Each pass sums one narrow column into ``n_bins`` counts
+    per open bin; outliers only cost a pass, and no value is ever sorted.  The driver sees
+    the counts of at most ``2 * len(probs)`` open bins.
     """
     rows = df.select(F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    span = rows.agg(F.struct(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).alias("s")).scalar()
-    s = F.col("s")  # the range is attached once per step: every mention of a subquery is planned anew
-    scaled = F.try_divide((F.col("v") - s["a"]) * F.lit(float(n_bins)), s["b"] - s["a"])
-    binned = rows.select("v", span.alias("s")).select("v", F.coalesce(F.floor(scaled), F.lit(0)).cast("int").alias("slot"))
-    sizes = binned.groupBy("slot").agg(F.count("*").alias("n"))
-    # At most n_bins + 1 rows pass through this key-less window.
-    along = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = sizes.select("*", F.sum("n").over(along).alias("upto"), span.alias("s"))
-
-    def pos(p: float) -> Column:
-        return (s["n"] - 1).cast("double") * F.lit(p)
-
-    wanted = F.array_distinct(F.array(*[f(pos(p)) for p in probs for f in (F.floor, F.ceil)]))
-
-    def inside(ranks: str, upto: Column, n: Column) -> Column:
-        return F.filter(ranks, lambda r: (r >= upto - n) & (r < upto))
-
-    hit = sizes.withColumn("ranks", wanted).select(
-        "slot", (F.col("upto") - F.col("n")).alias("before"), inside("ranks", F.col("upto"), F.col("n")).alias("ranks")
-    ).where(F.size("ranks") > 0)
-    # `hit` has at most 2 * len(probs) rows: the broadcast is bounded by the arguments.
-    values = binned.join(F.broadcast(hit.select("slot")), "slot", "left_semi").groupBy("slot", "v").agg(F.count("*").alias("n"))
-    within = Window.partitionBy("slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = values.join(F.broadcast(hit), "slot").withColumn("upto", F.col("before") + F.sum("n").over(within))
-    found = placed.select("v", F.explode(inside("ranks", F.col("upto"), F.col("n"))).alias("r"))
-    lookup = found.agg(F.map_from_entries(F.collect_set(F.struct("r", "v"))).alias("m")).select("m", span.alias("s"))
-
-    def pick(p: float) -> Column:
-        low, high = F.element_at("m", F.floor(pos(p))), F.element_at("m", F.ceil(pos(p)))
-        return low + (high - low) * (pos(p) - F.floor(pos(p)))
-
-    return lookup.select(*[pick(p).alias(f"q{i}") for i, p in enumerate(probs)])
+    span = rows.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("n")).first()
+    spark = df.sparkSession
+    if not span["n"]:
+        return spark.range(1).select(*[F.lit(None).cast("double").alias(f"q{i}") for i in range(len(probs))])
+    at = [(span["n"] - 1) * p for p in probs]
+    ranks = sorted({r for x in at for r in (math.floor(x), math.ceil(x))})
+    found: dict[int, float] = {}
+    open_bins = {(span["a"], span["b"]): (0, ranks)}  # bounds -> rows before, ranks inside
+    while open_bins:
+        for (a, b), (_, inside) in list(open_bins.items()):
+            if a == b:
+                found |= {r: a for r in inside}
+                del open_bins[a, b]
+        if not open_bins:
+            break
+        bounds = list(open_bins)
+        # Bins of one pass do not overlap; a value belongs to the first whose bounds hold it.
+        which = F.lit(None).cast("int")
+        slot = F.lit(None).cast("int")
+        for i, (a, b) in reversed(list(enumerate(bounds))):
+            held = F.col("v").between(a, b)
+            # Halves, since the whole width can overflow.
+            place = F.floor((F.col("v") / 2 - a / 2) / (b / 2 - a / 2) * n_bins).cast("int")
+            which, slot = F.when(held, F.lit(i)).otherwise(which), F.when(held, F.least(place, F.lit(n_bins - 1))).otherwise(slot)
+        counts = rows.select("v", which.alias("which"), slot.alias("slot")).where(F.col("which").isNotNull()).groupBy("which", "slot").agg(
+            F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+        after: dict[tuple[float, float], tuple[int, list[int]]] = {}
+        by_bin: dict[int, list] = {}
+        for r in counts.collect():
+            by_bin.setdefault(r["which"], []).append((r["slot"], r["n"], r["a"], r["b"]))
+        for i, got in by_bin.items():
+            before, inside = open_bins[bounds[i]]
+            for _, n, a, b in sorted(got):
+                mine = [r for r in inside if before <= r < before + n]
+                if mine:
+                    after[a, b] = (before, mine)
+                before += n
+        open_bins = after
+    low = [found[math.floor(x)] for x in at]
+    high = [found[math.ceil(x)] for x in at]
+    return spark.range(1).select(*[
+        F.lit(float(a + (b - a) * (x - math.floor(x)))).alias(f"q{i}") for i, (a, b, x) in enumerate(zip(low, high, at))])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cinestat.session import kept
+
 HOT_ROWS = 5_000_000
 
 
@@ -12,15 +14,21 @@ def attach_group(
 ) -> DataFrame:
     """Inner join of rows with one aggregate row per key, safe for very large keys.
 
-    ``stats`` carries the row count of its key in ``n``.  Keys above ``hot_rows`` rows
-    are at most total/hot_rows many, which bounds the broadcast list of them; their
-    rows are salted so that no task receives more than about ``hot_rows`` of them.
+    ``stats`` carries the row count of its key in ``n`` and is worked out once, so the rows
+    are read twice in all.  Keys above ``hot_rows`` rows are at most total/hot_rows many,
+    which bounds the broadcast list of them; their rows are salted by place, whatever they
+    hold, so that no task receives more than about ``hot_rows`` of them.  Without such a key
+    the join is a plain one.
     """
+    stats = kept(stats)
     salts = F.ceil(F.col(n) / F.lit(hot_rows)).cast("int")
     parts = "__salts"
     hot = stats.where(F.col(n) > hot_rows).select(*keys, salts.alias(parts))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.coalesce(F.col(parts), F.lit(1))).cast("int")
-    left = df.join(F.broadcast(hot), keys, "left").withColumn("__salt", spread).drop(parts)
+    if hot.isEmpty():
+        return df.join(stats.drop(n), keys)
+    place = F.xxhash64(F.monotonically_increasing_id())
+    left = df.withColumn("__place", place).join(F.broadcast(hot), keys, "left").withColumn(
+        "__salt", F.pmod(F.col("__place"), F.coalesce(F.col(parts), F.lit(1))).cast("int")).drop(parts, "__place")
     right = stats.withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))
     ).drop(n)
@@ -43,8 +51,8 @@ def modal_rows(
         F.min_by("__v", F.struct(-F.col("n"), F.col("__v"))).alias("modal"),
         F.sum("n").alias("rows_in_key"),
     )
-    kept = attach_group(tagged, modes, keys, "rows_in_key", hot_rows)
-    return kept.where(F.col("__v") == F.col("modal")).drop("__v")
+    both = attach_group(tagged, modes, keys, "rows_in_key", hot_rows)
+    return both.where(F.col("__v") == F.col("modal")).drop("__v")
 
 
 def complete_keys(df: DataFrame, keys: list[str], frame: Column, n: int) -> DataFrame:

@@ -9,6 +9,7 @@ per round).  Degrees are those of pixel grids, so a vertex group is small.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import pandas as pd
@@ -150,20 +151,21 @@ def belief_propagation(
     return decide(sites, propagate(full, graph, smooth, rounds, **place), graph, labels)
 
 
-def until_no_gain(step: Callable[[int], tuple[DataFrame, DataFrame]], max_rounds: int = 50) -> DataFrame:
-    """Grow the number of rounds until the total energy stops falling.
+def until_no_gain(step: Callable[[int], tuple[DataFrame, DataFrame]], max_rounds: int | None = None) -> DataFrame:
+    """Grow the number of rounds until the total energy stops falling; the energy alone decides unless a bound is given.
 
     ``step(r)`` returns labels and per-graph energies after r rounds; one number per
     round reaches the driver.
     """
     best, last = None, None
-    for r in range(1, max_rounds + 1):
+    for r in itertools.count(1):
+        if max_rounds is not None and r > max_rounds:
+            raise ValueError(f"the energy still fell after {max_rounds} rounds")
         labelled, energies = step(r)
         total = energies.agg(F.sum("energy")).first()[0]
         if last is not None and total >= last and r > 1:
             return labelled if total == last else best
         best, last = labelled, total
-    return best
 
 
 def iterated_modes(

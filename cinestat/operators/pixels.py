@@ -24,6 +24,30 @@ def image_moments(pixels: DataFrame, id_: str) -> DataFrame:
     return m.select("*", F.try_divide("m10", "m00").alias("cx"), F.try_divide("m01", "m00").alias("cy"))
 
 
+def moment_ellipse(pixels: DataFrame, id_: str, least: int = 5) -> DataFrame:
+    """Centre, full axes and angle (degrees) of the ellipse with the same weighted second moments.
+
+    Sums per image, then the eigenvalues of the 2x2 covariance in closed form; images with
+    fewer than ``least`` pixels have no row.
+    """
+    x, y, v = F.col("x"), F.col("y"), F.col("v")
+    sums = pixels.groupBy(id_).agg(
+        F.count("*").alias("n"), *[
+            (F.sum(v * f) / F.sum(v)).alias(c) for c, f in (("cx", x), ("cy", y), ("xx", x * x), ("yy", y * y), ("xy", x * y))
+        ],
+    ).where(F.col("n") >= least)
+    c = sums.select(
+        id_, "cx", "cy", (F.col("xx") - F.col("cx") * F.col("cx")).alias("p"), (F.col("yy") - F.col("cy") * F.col("cy")).alias("q"),
+        (F.col("xy") - F.col("cx") * F.col("cy")).alias("o"),
+    )
+    t = (F.col("p") + F.col("q")) / 2
+    d = F.sqrt(F.pow((F.col("p") - F.col("q")) / 2, F.lit(2)) + F.col("o") * F.col("o"))
+    return c.select(
+        id_, "cx", "cy", (4 * F.sqrt(t + d)).alias("width"), (4 * F.sqrt(F.greatest(t - d, F.lit(0.0)))).alias("height"),
+        (F.degrees(F.atan2(2 * F.col("o"), F.col("p") - F.col("q"))) / 2).alias("angle"),
+    )
+
+
 def soft_mean(pixels: DataFrame, id_: str, value: str, weight: Column) -> DataFrame:
     """Mean under a soft mask and under its complement."""
     return pixels.groupBy(id_).agg(

@@ -56,9 +56,9 @@ PLANES_SQL = """
       s.pz + 32 * s.sx * s.rz + 32 * s.sy * s.cz AS oz
       FROM s LEFT JOIN a ON s.l_orderkey = a.l_orderkey LEFT JOIN b ON s.l_orderkey = b.l_orderkey)
     SELECT l_orderkey, l_linenumber, l_partkey, views_ok,
-      CASE WHEN views_ok THEN round(CASE WHEN abs(det) > 1e-3 THEN tx / det END, 4) ELSE round(ox, 5) END AS x,
-      CASE WHEN views_ok THEN round(CASE WHEN abs(det) > 1e-3 THEN ty / det END, 4) ELSE round(oy, 5) END AS y,
-      CASE WHEN views_ok THEN round(CASE WHEN abs(det) > 1e-3 THEN tz / det END, 4) ELSE round(oz, 5) END AS z
+      CASE WHEN views_ok THEN round(CASE WHEN det <> 0 THEN tx / det END, 4) ELSE round(ox, 5) END AS x,
+      CASE WHEN views_ok THEN round(CASE WHEN det <> 0 THEN ty / det END, 4) ELSE round(oy, 5) END AS y,
+      CASE WHEN views_ok THEN round(CASE WHEN det <> 0 THEN tz / det END, 4) ELSE round(oz, 5) END AS z
     FROM j""",
 )
 def plane_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,9 +79,8 @@ def plane_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = g.plane_point(p, a, b)
     centre = p.to_space(F.lit(32.0), F.lit(32.0))
     ok = F.col("ok")
-    det = F.abs(g.dot(p.normal, g.cross(a.normal, b.normal))) > 1e-3
     out = [
-        F.when(ok, F.round(F.when(det, t), 4)).otherwise(F.round(o, 5)).alias(c)
+        F.when(ok, F.round(t, 4)).otherwise(F.round(o, 5)).alias(c)
         for c, t, o in zip("xyz", point, centre)
     ]
     return sax.select("l_orderkey", "s.l_linenumber", "s.l_partkey", ok.alias("views_ok"), *out)
@@ -98,9 +97,9 @@ def plane_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT *, ax*ax + ay*ay + az*az AS aa, bx*bx + by_*by_ + bz*bz AS bb, ax*bx + ay*by_ + az*bz AS ab FROM e),
     c AS (SELECT *, aa * bb - ab * ab AS det FROM m)
     SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey,
-      round(CASE WHEN det > 1e-3 THEN (d1*bb - d2*ab) / det * ax + (d2*aa - d1*ab) / det * bx END, 3) AS px,
-      round(CASE WHEN det > 1e-3 THEN (d1*bb - d2*ab) / det * ay + (d2*aa - d1*ab) / det * by_ END, 3) AS py,
-      round(CASE WHEN det > 1e-3 THEN (d1*bb - d2*ab) / det * az + (d2*aa - d1*ab) / det * bz END, 3) AS pz,
+      round(CASE WHEN det <> 0 THEN (d1*bb - d2*ab) / det * ax + (d2*aa - d1*ab) / det * bx END, 3) AS px,
+      round(CASE WHEN det <> 0 THEN (d1*bb - d2*ab) / det * ay + (d2*aa - d1*ab) / det * by_ END, 3) AS py,
+      round(CASE WHEN det <> 0 THEN (d1*bb - d2*ab) / det * az + (d2*aa - d1*ab) / det * bz END, 3) AS pz,
       round(ay * bz - az * by_, 9) AS dx, round(az * bx - ax * bz, 9) AS dy, round(ax * by_ - ay * bx, 9) AS dz
     FROM c""",
 )
@@ -114,11 +113,9 @@ def plane_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _packed(both, "f", "s")
     a, b = (g.Plane.unpack(F.col(f"{c}_plane")) for c in ("f", "s"))
     point, along = g.plane_line(a, b)
-    n1, n2 = a.normal, b.normal
-    det = g.dot(n1, n1) * g.dot(n2, n2) - g.dot(n1, n2) * g.dot(n1, n2)
     return both.select(
         "l_orderkey", "l_partkey", "s.l_linenumber", "s.l_suppkey",
-        *[F.round(F.when(det > 1e-3, v), 3).alias(f"p{c}") for c, v in zip("xyz", point)],
+        *[F.round(v, 3).alias(f"p{c}") for c, v in zip("xyz", point)],
         *[F.round(v, 9).alias(f"d{c}") for c, v in zip("xyz", along)],
     )
 

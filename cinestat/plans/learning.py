@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cinestat.functions import hog, segment, shapes
+from cinestat.functions import hog, shapes
 from cinestat.models import regress
-from cinestat.operators import augment, keyed, pixels as px_ops, ranking, seeds, shape_regression
-from cinestat.plans.geometry import images
+from cinestat.operators import augment, keyed, pixels as px_ops, ranking, shape_regression
+from cinestat.plans.geometry import PX_SQL, images
 from cinestat.plans.registry import query, table
 from cinestat.plans.tabular import phase_table
 from cinestat.session import cut_lineage
@@ -101,46 +97,23 @@ def window_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hog.detect(_large(spark, sf_dir, 40), "vec_id", "px", 40, weights, float(bias))
 
 
-@query("seeds_superpixels")
-def seeds_superpixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = seeds.seeds_superpixels(_large(spark, sf_dir, 16).select("vec_id", "px"), "px", 16, 12)
-    return out.select("vec_id", F.posexplode("labels").alias("i", "label"))
-
-
-@query("cluster_radius")
-def cluster_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Centre after mean shift and radius of the intensity cluster around the middle."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, px in pdf.itertuples(index=False):
-                img = np.asarray(px).reshape(32, 32)
-                x, y = segment.mean_shift(img, 16.0, 16.0)
-                rows.append((key, x, y, segment.radius_at(img, 16, 16)))
-            yield pd.DataFrame(rows, columns=["vec_id", "x", "y", "radius"])
-
-    work = _large(spark, sf_dir).select("vec_id", "px")
-    return work.mapInPandas(run, "vec_id long, x double, y double, radius double")
-
-
-@query("ellipse_fit")
+@query(
+    "ellipse_fit",
+    f"""WITH {PX_SQL}, s AS (SELECT *, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS r FROM px
+        WINDOW w AS (PARTITION BY vec_id)),
+    a AS (SELECT vec_id, count(*) AS n, sum(r) AS m, sum(r * x) / sum(r) AS cx, sum(r * y) / sum(r) AS cy, sum(r * x * x) / sum(r) AS xx,
+      sum(r * y * y) / sum(r) AS yy, sum(r * x * y) / sum(r) AS xy FROM s WHERE r > 0.3 GROUP BY vec_id),
+    c AS (SELECT *, xx - cx * cx AS p, yy - cy * cy AS q, xy - cx * cy AS o FROM a WHERE n >= 5),
+    e AS (SELECT *, (p + q) / 2 AS t, sqrt(pow((p - q) / 2, 2) + o * o) AS d FROM c)
+    SELECT vec_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(4 * sqrt(t + d), 6) AS width,
+      round(4 * sqrt(greatest(t - d, 0)), 6) AS height, round(degrees(atan2(2 * o, p - q)) / 2, 6) AS angle FROM e""",
+)
 def ellipse_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ellipse through the bright pixels of an image, weighted by intensity."""
-
-    grid = np.argwhere(np.ones((8, 8)))[:, ::-1]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for key, px in pdf.itertuples(index=False):
-                on = px > 0.3
-                if on.sum() >= 5:
-                    rows.append((key, *segment.fit_ellipse(grid[on], px[on])))
-            yield pd.DataFrame(rows, columns=["vec_id", "cx", "cy", "width", "height", "angle"])
-
+    """Ellipse with the second moments of an image's bright pixels, weighted by intensity."""
     scaled = images(spark, sf_dir).select("vec_id", px_ops.rescale_minmax(F.col("px")).alias("px"))
-    return scaled.mapInPandas(run, "vec_id long, cx double, cy double, width double, height double, angle double")
+    bright = px_ops.explode_pixels(scaled, "vec_id", "px", 8).where(F.col("v") > 0.3)
+    e = px_ops.moment_ellipse(bright, "vec_id")
+    return e.select("vec_id", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "width", "height", "angle")])
 
 
 @query("shape_regression")

@@ -290,13 +290,12 @@ def ring_pad_30(spark: SparkSession, sf_dir: str) -> DataFrame:
     "leading_pad_15",
     f"""WITH {DAILY_SQL},
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS i,
-                 count(*) OVER (PARTITION BY user_id) AS n FROM d WHERE day % 3 = 1),
+                 count(*) OVER (PARTITION BY user_id) AS n FROM d),
     p AS (SELECT unnest(range(15)) AS pos)
     SELECT user_id, pos::INTEGER AS pos, day, round(v, 6) AS v FROM r JOIN p ON p.pos % n = i""",
 )
 def leading_pad_15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = daily(spark, sf_dir).where(F.col("day") % 3 == 1)
-    p = ring.pad_cycle(some, ["user_id"], "day", 15)
+    p = ring.pad_cycle(daily(spark, sf_dir), ["user_id"], "day", 15)
     return p.select("user_id", "pos", "day", F.round("v", 6).alias("v"))
 
 

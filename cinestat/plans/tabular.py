@@ -188,7 +188,7 @@ def nearest_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     "negative_boxes",
     """
     WITH p AS (SELECT c_custkey, (c_custkey % 180)::INTEGER AS x, (c_custkey * 7 % 180)::INTEGER AS y, 48 AS w, 40 AS h FROM customer),
-    d AS (SELECT *, md5('42:' || c_custkey || ':' || draw) AS m FROM p, (SELECT unnest(range(256))::INTEGER AS draw)),
+    d AS (SELECT *, md5('42:' || c_custkey || ':' || draw) AS m FROM p, (SELECT unnest(range(4096))::INTEGER AS draw)),
     s AS (SELECT *, (('0x' || substr(m, 1, 8))::BIGINT % 64 + 24)::INTEGER AS size FROM d),
     n AS (SELECT *, (('0x' || substr(m, 9, 8))::BIGINT % (256 - size))::INTEGER AS nx, (('0x' || substr(m, 17, 8))::BIGINT % (256 - size))::INTEGER AS ny FROM s),
     k AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY draw) AS rn FROM n

@@ -18,11 +18,11 @@ from cinestat.functions import paths
 
 # Fixed values of the file format: value types, and the types of the tags that are
 # used when the transfer syntax leaves them implicit.
-TEXT_VR = {"CS", "DA", "DS", "DT", "IS", "LO", "LT", "PN", "SH", "ST", "TM", "UI", "UT"}
-LONG_VR = {"OB", "OW", "OF", "SQ", "UT", "UN"}
+TEXT_VR = {"AE", "AS", "CS", "DA", "DS", "DT", "IS", "LO", "LT", "PN", "SH", "ST", "TM", "UC", "UI", "UR", "UT"}
+LONG_VR = {"OB", "OD", "OF", "OL", "OV", "OW", "SQ", "SV", "UC", "UN", "UR", "UT", "UV"}
 NUMBER_VR = {
     "SS": "i2", "SL": "i4", "US": "u2", "AT": "u2", "OW": "u2", "UL": "u4",
-    "FL": "f4", "OF": "f4", "FD": "f8", "OB": "i1", "UN": "i1",
+    "FL": "f4", "OF": "f4", "FD": "f8", "OB": "i1", "UN": "i1", "OD": "f8", "OL": "u4", "OV": "u8", "SV": "i8", "UV": "u8",
 }
 TAGS = {
     "series_time": ("0008,0031", "TM"), "slice_thickness": ("0018,0050", "DS"),
@@ -69,13 +69,19 @@ def elements(data: bytes) -> dict[str, tuple[str, str, bytes]]:
         tag, at = f"{group:04x},{element:04x}", at + 4
         if explicit:
             vr = data[at : at + 2].decode("latin-1")
-            if vr not in TEXT_VR and vr not in LONG_VR and vr not in NUMBER_VR:
-                raise ValueError(f"unknown value type {vr!r} at {tag}")
+            if not (vr.isascii() and vr.isalpha() and vr.isupper()):
+                raise ValueError(f"no value type at {tag}")
+            if vr not in TEXT_VR and vr not in NUMBER_VR and vr != "SQ":
+                vr = "UN"  # types to come have the long form and are skipped by their length
             wide = vr in LONG_VR
+            if at + (8 if wide else 4) > len(data):
+                break
             size = struct.unpack_from(order + ("I" if wide else "H"), data, at + (4 if wide else 2))[0]
             at += 8 if wide else 4
         else:
             vr = IMPLICIT_VR.get(tag, "UN")
+            if at + 4 > len(data):
+                break
             size = struct.unpack_from(order + "I", data, at)[0]
             at += 4
         if size == 0xFFFFFFFF:

@@ -41,25 +41,27 @@ def complete_directories(files: DataFrame, kind: str = "sax", n: int = 30) -> Da
 
 
 # Fixed values of the PNG format: samples per pixel by colour type.
-PNG_SAMPLES = {0: 1, 2: 3, 4: 2, 6: 4}
+PNG_SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
 def decode_png(data: bytes) -> tuple[int, int, np.ndarray]:
-    """Width, height and grey values of an 8-bit non-interlaced PNG."""
+    """Width, height and grey values (0..255) of a non-interlaced PNG of 8 or 16 bits, or with a palette."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG file")
-    at, body, head = 8, b"", None
+    at, body, head, palette = 8, b"", None, None
     while at + 8 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, at)
         chunk = data[at + 8 : at + 8 + size]
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", chunk)
+        elif kind == b"PLTE":
+            palette = np.frombuffer(chunk, np.uint8).reshape(-1, 3)
         elif kind == b"IDAT":
             body += chunk
         at += 12 + size
-    if head is None or head[2] != 8 or head[3] not in PNG_SAMPLES or head[6]:
+    if head is None or head[2] not in (8, 16) or head[3] not in PNG_SAMPLES or head[6] or (head[3] == 3 and palette is None):
         raise ValueError("unsupported PNG variant")
-    w, h, n = head[0], head[1], PNG_SAMPLES[head[3]]
+    w, h, n = head[0], head[1], PNG_SAMPLES[head[3]] * (head[2] // 8)
     lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * n)
     out = np.zeros((h + 1, w + 1, n), np.int64)  # one row and column of zeros before the image
     for y in range(h):
@@ -77,13 +79,18 @@ def decode_png(data: bytes) -> tuple[int, int, np.ndarray]:
                 guess = (a + b) // 2 if mode == 3 else np.choose(near, [a, b, c])
                 out[y + 1, x + 1] = (raw[x] + guess) & 255
     img = out[1:, 1:].astype(float)
+    if head[2] == 16:
+        img = (img[..., 0::2] * 256 + img[..., 1::2]) / 257
+    elif head[3] == 3:
+        img = palette[out[1:, 1:, 0]].astype(float)
+    n = img.shape[-1]
     # Luma weights of red, green and blue.
     grey = img[..., :3] @ np.array([0.299, 0.587, 0.114]) if n >= 3 else img[..., 0]
     return w, h, grey.ravel()
 
 
 def read_png(spark: SparkSession, root: str) -> DataFrame:
-    """``path, width, height, px``; unreadable images are skipped, as the trainer does."""
+    """``path, width, height, px, error``; an image that cannot be decoded gives a row with ``error`` alone."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.png").load(root).select("path", "content")
@@ -94,12 +101,13 @@ def read_png(spark: SparkSession, root: str) -> DataFrame:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    rows.append((path, *decode_png(content)))
-                except (ValueError, zlib.error):
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "px"])
+                    rows.append((path, *decode_png(content), None))
+                except (ValueError, zlib.error, struct.error, IndexError) as exc:
+                    rows.append((path, None, None, None, str(exc)))
+            out = pd.DataFrame(rows, columns=["path", "width", "height", "px", "error"])
+            yield out.astype({"width": "Int32", "height": "Int32"})
 
-    return files.mapInPandas(run, "path string, width int, height int, px array<double>")
+    return files.mapInPandas(run, "path string, width int, height int, px array<double>, error string")
 
 
 def has_tag(elements: Column, tag: str) -> Column:

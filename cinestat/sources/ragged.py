@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from cinestat.operators.ranking import global_row_number
 from cinestat.functions import paths, shapes
 from cinestat.operators.keyed import latest_per_key
 
@@ -110,8 +111,7 @@ def read_areas(spark: SparkSession, path: str) -> DataFrame:
 def read_parameter(spark: SparkSession, path: str, line: int) -> Column:
     """Number on the given line of a small text file, as a scalar column."""
     rows = _lines(spark, path).select("line", _number(F.col("t"), 0).alias("v"))
-    ordered = rows.agg(F.array_sort(F.collect_list(F.struct("line", "v"))).alias("a"))
-    return ordered.select(F.get("a", line)["v"]).scalar()
+    return global_row_number(rows, ["line"]).where(F.col("rn") == line + 1).select("v").scalar()
 
 
 def _tsv(df: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cinestat.functions import cdf, hog, segment, shapes, stencils
+from cinestat.functions import cdf, hog, shapes, stencils
 from cinestat.operators.pixels import explode_pixels
 from cinestat.session import settle
 from cinestat.operators import augment, features, histograms, keyed, label_graph as mrf, ranking, ring, shape_regression as sr, superpixels
@@ -134,14 +134,6 @@ def test_superpixels_cover_and_do_not_shuffle_pixels(spark):
     assert "Sort " not in pixel_side[: pixel_side.index("InMemoryTableScan")]
 
 
-def test_connect_labels():
-    lab = np.zeros((8, 8), int)
-    lab[:, 4:] = 1
-    lab[1, 1] = 1  # an island
-    out = segment.connect_labels(lab, 4)
-    assert out[1, 1] == out[0, 1] and len(np.unique(out)) == 2 and out[0, 7] != out[0, 0]
-
-
 def test_level_set_finds_disc():
     yy, xx = np.mgrid[0:24, 0:24]
     img = (np.hypot(yy - 12, xx - 11) < 6).astype(float)[None]
@@ -179,21 +171,6 @@ def test_hog_and_detection(spark):
     assert abs(found.x - 8) <= 4 and abs(found.y - 4) <= 4
 
 
-def test_segment_helpers():
-    yy, xx = np.mgrid[0:64, 0:64]
-    img = np.exp(-((yy - 30) ** 2 + (xx - 34) ** 2) / 20)
-    x, y = segment.mean_shift(img, 33.0, 31.0, 0.05)
-    assert abs(x - 34) < 1 and abs(y - 30) < 1
-    disc = np.where(np.hypot(yy - 32, xx - 32) <= 6, 0.9, 0.1) + 0.3 * (np.hypot(yy - 32, xx - 32) > 25)
-    assert segment.radius_at(disc, 32, 32) == pytest.approx(6, abs=1)
-    t = np.linspace(0, 2 * np.pi, 60, endpoint=False)
-    p = np.column_stack([50 + 20 * np.cos(t), 40 + 10 * np.sin(t)])
-    cx, cy, w, h, _ = segment.fit_ellipse(p, np.ones(60))
-    assert (cx, cy) == pytest.approx((50, 40), abs=1e-3) and sorted((w, h)) == pytest.approx([20, 40], rel=0.02)
-    cx, cy, *_ = segment.fit_ellipse(p, np.ones(60), (50, 40))
-    assert (cx, cy) == (50, 40)
-
-
 def test_augmentation_is_seeded(spark):
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([(i, rng.random(100).tolist()) for i in range(6)], "id int, px array<double>")
@@ -282,24 +259,3 @@ def test_map_images_handles_sizes_and_nulls(spark):
     df = spark.createDataFrame(rows, "id int, px array<double>").coalesce(1)
     out = {r.id: r.o for r in stencils.map_images(df, "px", lambda a: a * 2, 4, "o").collect()}
     assert out[2] is None and out[1] == [2.0 * i for i in range(12)] and out[3] == [2.0 * i for i in range(8)] and out[4] == [2.0] * 12
-
-
-def test_block_and_pixel_exchange(spark):
-    from cinestat.operators import seeds
-
-    yy, xx = np.mgrid[0:48, 0:48]
-    img = np.where(xx + 0.3 * yy < 31, 0.1, 0.9)
-    lab = seeds.seeds(img, 16)
-    assert lab.shape == img.shape
-    start = seeds.grid_labels(img.shape, seeds.block_levels(48, 48, 16, 2)[-1])
-
-    def purity(labels):
-        return sum(max((img[labels == l] > 0.5).sum(), (img[labels == l] < 0.5).sum()) for l in np.unique(labels)) / img.size
-
-    assert purity(lab) > purity(start) + 0.03
-    whole = np.array([[1, 1, 1], [1, 1, 2], [1, 1, 1]])
-    bridge = np.array([[2, 1, 1], [3, 1, 2], [2, 1, 1]])
-    assert not seeds.detaches(whole) and seeds.detaches(bridge)
-    df = spark.createDataFrame([(1, img.ravel().tolist())], "id int, px array<double>")
-    out = seeds.seeds_superpixels(df, "px", 48, 16).first()
-    assert out.labels == lab.ravel().tolist()

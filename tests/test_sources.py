@@ -213,6 +213,34 @@ def test_png(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(png(rgb, 2, [4, 3, 2, 1, 0]))
     (tmp_path / "c.png").write_bytes(b"nonsense")
     got = {r.path[-5:]: r for r in files.read_png(spark, str(tmp_path)).collect()}
-    assert set(got) == {"a.png", "b.png"}
+    assert set(got) == {"a.png", "b.png", "c.png"}
+    assert got["c.png"].px is None and "PNG" in got["c.png"].error and got["a.png"].error is None
     assert got["a.png"].px == grey.ravel().tolist() and got["a.png"].width == 6
     assert np.allclose(got["b.png"].px, (rgb @ np.array([0.299, 0.587, 0.114])).ravel())
+
+
+def test_png_of_16_bits_and_palette():
+    def chunk(name, body):
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    def whole(depth, kind, lines, more=b""):
+        head = struct.pack(">IIBBBBB", 2, 2, depth, kind, 0, 0, 0)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + more + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+    deep = b"".join(b"\0" + struct.pack(">2H", *row) for row in ((0, 65535), (257, 25700)))
+    assert files.decode_png(whole(16, 0, deep))[2].tolist() == [0.0, 255.0, 1.0, 100.0]
+    palette = chunk(b"PLTE", bytes([0, 0, 0, 9, 9, 9, 200, 200, 200]))
+    assert np.allclose(files.decode_png(whole(8, 3, b"\0\x02\x01\0\x00\x02", palette))[2], [200, 9, 0, 200])
+
+
+def test_dicom_walk_takes_all_types_and_cut_files():
+    def explicit(tag, vr, body, wide=False):
+        size = b"\0\0" + struct.pack("<I", len(body)) if wide else struct.pack("<H", len(body))
+        return struct.pack("<HH", *tag) + vr + size + body
+
+    head = b"\0" * 128 + b"DICM"
+    data = head + explicit((0x10, 0x1010), b"AS", b"034Y") + explicit((0x10, 0x1011), b"ZZ", b"skip", wide=True) + explicit((0x28, 0x10), b"US", b"\x05\0")
+    el = dicom.elements(data)
+    assert el["0010,1010"][2] == b"034Y" and el["0010,1011"][0] == "UN" and el["0028,0010"][2] == b"\x05\0"
+    for n in range(132, len(data)):
+        dicom.elements(data[:n])
