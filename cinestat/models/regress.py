@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -54,6 +55,42 @@ def out_of_fold(
     return reduce(DataFrame.unionByName, parts), models
 
 
+def linear_out_of_fold(
+    df: DataFrame, features: list[str], *, label: str = "label", fold: str = "fold", alpha: float = 0.0
+) -> DataFrame:
+    """Out-of-fold predictions of a linear or ridge model from one aggregation.
+
+    A fold's training moments are the whole table's minus its own, so one row of moments per
+    fold is all that is gathered, and the rows are read once more to be scored.  ``alpha``
+    penalises coefficients of features standardised on the training rows.
+    """
+    p = len(features)
+    cols = [F.lit(1.0), *[F.col(c).cast("double") for c in features], F.col(label).cast("double")]
+    pairs = [(i, j) for i in range(p + 2) for j in range(i, p + 2)]
+    got = df.groupBy(fold).agg(*[F.sum(cols[i] * cols[j]).alias(f"m{i}_{j}") for i, j in pairs]).collect()
+    moments = {}
+    for r in got:
+        m = np.zeros((p + 2, p + 2))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"m{i}_{j}"]
+        moments[r[fold]] = m
+    total = sum(moments.values())
+    out = F.lit(None).cast("double")
+    for k, own in moments.items():
+        m = total - own
+        mean = m[0] / m[0, 0]
+        cov = m / m[0, 0] - np.outer(mean, mean)
+        std = np.sqrt(np.diag(cov))[1 : p + 1]
+        std[std == 0] = 1.0
+        left = cov[1 : p + 1, 1 : p + 1] / np.outer(std, std) + alpha * np.eye(p)
+        b = np.linalg.lstsq(left, cov[1 : p + 1, p + 1] / std, rcond=None)[0] / std
+        value = F.lit(float(mean[p + 1]))
+        for c, w, centre in zip(cols[1:-1], b, mean[1:]):
+            value = value + F.lit(float(w)) * (c - F.lit(float(centre)))
+        out = F.when(F.col(fold) == k, value).otherwise(out)
+    return df.withColumn("prediction", out)
+
+
 def ensemble_mean(models: list[PipelineModel], df: DataFrame, key: list[str]) -> DataFrame:
     """Mean prediction of several models; the rows are scored side by side, not joined."""
     scored = df
