@@ -10,8 +10,9 @@ per round).  Degrees are those of pixel grids, so a vertex group is small.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -173,28 +174,50 @@ def iterated_modes(
 ) -> DataFrame:
     """Sequential site-by-site minimisation; its order makes a graph one unit of work.
 
-    A graph holds the pixels of one image.  Start labels are the cheapest ones.
+    A graph holds the pixels of one image.  Start labels are the cheapest ones.  A sweep in
+    site order depends only on the neighbours before a site, so sites fall into levels (on a
+    grid: anti-diagonals) whose members do not touch; all graphs of a batch advance level by
+    level together, which gives exactly the result of going site by site.
     """
-    n = range(len(labels))
-
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("site")
-        at = {site: i for i, site in enumerate(pdf["site"])}
-        near = [[] if v is None else [(at[e["dst"]], e["times"]) for e in v] for v in pdf["near"]]
-        data = [list(c) for c in pdf["costs"]]
-        cur = [min(n, key=c.__getitem__) for c in data]
-        for _ in range(rounds):
-            for i, c in enumerate(data):
-                price = [c[k] + sum(smooth[k][cur[j]] * t for j, t in near[i]) for k in n]
-                cur[i] = min(n, key=price.__getitem__)
-        return pd.DataFrame({
-            graph: pdf[graph], "site": pdf["site"], "label": [labels[k] for k in cur],
-            "data_cost": [c[k] for c, k in zip(data, cur)],
-        })
-
     beside = edges.groupBy(graph, F.col("src").alias("site")).agg(
         F.collect_list(F.struct("dst", "times")).alias("near")
     )
+    whole = sites.join(beside, [graph, "site"], "left").groupBy(graph).agg(
+        F.array_sort(F.collect_list(F.struct("site", "costs", "near"))).alias("sites")
+    )
+    price_of = np.array(smooth, float)
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, r) for i, rs in enumerate(pdf["sites"]) for r in rs]
+            at = {(i, r["site"]): j for j, (i, r) in enumerate(rows)}
+            cost = np.array([r["costs"] for _, r in rows], float).reshape(len(rows), len(labels))
+            links = [(j, at[i, e["dst"]], e["times"]) for j, (i, r) in enumerate(rows) for e in (r["near"] if r["near"] is not None else ())]
+            src, dst = np.array([(a, b) for a, b, _ in links], int).reshape(-1, 2).T
+            times = np.array([t for *_, t in links], float)
+            level, before = np.zeros(len(rows), int), dst < src
+            while True:
+                deeper = level.copy()
+                np.maximum.at(deeper, src[before], level[dst[before]] + 1)
+                if (deeper == level).all():
+                    break
+                level = deeper
+            steps = []
+            for k in range(level.max(initial=-1) + 1):
+                mine = np.flatnonzero(level == k)
+                e = np.flatnonzero(level[src] == k)
+                steps.append((mine, np.searchsorted(mine, src[e]), dst[e], times[e, None]))
+            cur = cost.argmin(1)
+            for _ in range(rounds):
+                for mine, of, other, weight in steps:
+                    price = cost[mine]
+                    np.add.at(price, of, weight * price_of[:, cur[other]].T)
+                    cur[mine] = price.argmin(1)
+            yield pd.DataFrame({
+                graph: pdf[graph].to_numpy()[[i for i, _ in rows]], "site": [r["site"] for _, r in rows],
+                "label": np.array(labels)[cur], "data_cost": cost[np.arange(len(rows)), cur],
+            })
+
     kind = dict(sites.dtypes)
     out = f"{graph} {kind[graph]}, site {kind['site']}, label int, data_cost double"
-    return sites.join(beside, [graph, "site"], "left").groupBy(graph).applyInPandas(sweep, out)
+    return whole.mapInPandas(sweep, out)
