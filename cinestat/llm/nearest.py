@@ -120,7 +120,10 @@ def search(
     vectors = rows.groupBy("key").agg(F.first("v").alias("v"), F.max("q").alias("q"))
     index = kept(vectors.join(ids, "key"))
     n = index.count()
-    sample = index.orderBy(F.xxhash64("key", F.lit(seed))).limit(sample_rows).select("v")
+    # A share of the hash range that holds enough rows first: else every task would send its own smallest.
+    h = F.xxhash64("key", F.lit(seed))
+    some = index.where(F.pmod(h, F.lit(1 << 20)) < F.lit(min(1.0, 2 * sample_rows / max(n, 1)) * (1 << 20)))
+    sample = some.orderBy(h).limit(sample_rows).select("v")
     forest = Forest(np.array([r["v"] for r in sample.collect()]), trees, leaf_rows, n, seed)
     shared = spark.sparkContext.broadcast(forest)
 

@@ -17,6 +17,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cinestat.functions.bind import let
 from cinestat.session import kept
 
 # Common words of English, German, French and Spanish.
@@ -38,7 +39,7 @@ def signatures(text: Column, anchors: list[str] | tuple[str, ...] = tuple(ANCHOR
     hashed = F.transform(F.filter(chains, lambda x: x != ""), lambda x: F.substring(F.md5(x), 1, 8))
     # A text of nothing but anchors is its own signature.
     whole = F.when(F.trim(spaced) == "", F.array().cast("array<string>")).otherwise(F.array(F.substring(F.md5(spaced), 1, 8)))
-    return F.array_sort(F.array_distinct(F.when(F.size(hashed) == 0, whole).otherwise(hashed)))
+    return let(hashed, lambda h: F.array_sort(F.array_distinct(F.when(F.size(h) == 0, whole).otherwise(h))))
 
 
 def jaccard(a: Column, b: Column, at_least: float = 0.0) -> Column:
@@ -47,14 +48,19 @@ def jaccard(a: Column, b: Column, at_least: float = 0.0) -> Column:
     Two empty sets are alike (1.0), an empty and a filled one are not (0.0).
     """
     less, more = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
-    shared = F.size(F.array_intersect(a, b))
-    exact = F.when(more == 0, 1.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
+    exact = F.when(more == 0, 1.0).otherwise(
+        let(F.size(F.array_intersect(a, b)), lambda shared: shared / (F.size(a) + F.size(b) - shared)))
     return exact if at_least <= 0 else F.when(less < at_least * more, 0.0).otherwise(exact)
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_per_range: int = 5_000) -> DataFrame:
+def with_next(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_per_range: int = 5_000, carried: dict[str, Column] | None = None,
+) -> DataFrame:
     """``doc_id``, ``text``, ``next``: each row's text and that of the next in descending ``doc_id``.
 
+    ``carried`` names columns worked out from ``text`` once per row; each comes with the next
+    row's as ``next_<name>``.
+
     After the last comes the first.  Null numbers come last; rows with one number are ordered
     by text.  Ranges of numbers are ordered each by itself; a range is handed the first row
     of the one after it, so no task sees more than a range.  The ranges' bounds come from an
@@ -86,9 +92,11 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_
     # Several rows may share the number: the first by text.
     head = head_rows.groupBy("into").agg(F.min("text").alias("text"))
     guests = head.select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("into").alias("range"), F.lit(1).alias("guest"))
-    every = ranged.withColumn("guest", F.lit(0)).unionByName(guests)
+    carried = carried or {}
+    every = ranged.withColumn("guest", F.lit(0)).unionByName(guests).withColumns(carried)
     w = Window.partitionBy("range").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
-    return every.withColumn("next", F.lead("text").over(w)).where("guest = 0").select("doc_id", "text", "next")
+    led = every.withColumns({"next": F.lead("text").over(w)} | {f"next_{c}": F.lead(c).over(w) for c in carried})
+    return led.where("guest = 0").select("doc_id", "text", "next", *carried, *[f"next_{c}" for c in carried])
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -103,10 +111,10 @@ def compare_with_edit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``,
     ``near_edited``, ``near_next`` (to the next document's fingerprint).
     """
-    paired = with_next(docs, doc_id, text).withColumn("edit", edited(F.col("text"), F.col("next")))
+    paired = with_next(docs, doc_id, text, carried={"own": signatures(F.col("text"))}).withColumn("edit", edited(F.col("text"), F.col("next")))
     sets = paired.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"),
-        signatures(F.col("text")).alias("own"), signatures(F.col("edit")).alias("edit"), signatures(F.col("next")).alias("next"))
+        "own", signatures(F.col("edit")).alias("edit"), F.col("next_own").alias("next"))
     return sets.select(
         "doc_id", "n_chars", "edited_sha256", F.array_join("own", "").alias("fingerprint"),
         F.array_join("edit", "").alias("edited_fingerprint"), jaccard(F.col("own"), F.col("edit")).alias("near_edited"),
