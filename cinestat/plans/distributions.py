@@ -142,9 +142,9 @@ def label_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SUBMISSIONS_SQL = """
     s AS (SELECT user_id, event_id % 2 AS src, value FROM events),
-    k AS (SELECT user_id, src, count(*) AS n FROM s GROUP BY ALL),
-    c AS (SELECT user_id, src, ceil(value) AS b, count(*) AS m FROM s GROUP BY ALL),
-    g AS (SELECT user_id, src, bin, coalesce(sum(m) FILTER (b <= bin), 0) / any_value(n) AS p
+    k AS MATERIALIZED (SELECT user_id, src, count(*) AS n FROM s GROUP BY ALL),
+    c AS MATERIALIZED (SELECT user_id, src, ceil(value) AS b, count(*) AS m FROM s GROUP BY ALL),
+    g AS MATERIALIZED (SELECT user_id, src, bin, coalesce(sum(m) FILTER (b <= bin), 0) / any_value(n) AS p
           FROM k JOIN c USING (user_id, src), (SELECT unnest(range(600)) AS bin) GROUP BY user_id, src, bin),
     d AS (SELECT *, p - lag(p) OVER (PARTITION BY user_id, src ORDER BY bin) AS m, bin - 0.5e0 AS c FROM g),
     mom AS (SELECT user_id, src, sum(c * m) AS mu, sum(c * c * m) - sum(c * m) * sum(c * m) AS var
@@ -204,9 +204,9 @@ def cdf_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "harmonic_blend",
     f"""WITH {SUBMISSIONS_SQL}
-    SELECT x.user_id, x.bin::INTEGER AS bin,
-           round(CASE WHEN x.p + y.p = 0 THEN 0 ELSE 2 * x.p * y.p / (x.p + y.p) END, 6) AS p
-    FROM g x JOIN g y ON x.user_id = y.user_id AND x.bin = y.bin AND x.src = 0 AND y.src = 1""",
+    SELECT user_id, bin::INTEGER AS bin, round(CASE WHEN a + b = 0 THEN 0 ELSE 2 * a * b / (a + b) END, 6) AS p
+    FROM (SELECT user_id, bin, max(p) FILTER (src = 0) AS a, max(p) FILTER (src = 1) AS b FROM g GROUP BY ALL)
+    WHERE a IS NOT NULL AND b IS NOT NULL""",
 )
 def harmonic_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = _submissions(spark, sf_dir)

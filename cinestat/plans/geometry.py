@@ -89,13 +89,13 @@ def plane_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "plane_lines",
     f"""WITH {PLANES_SQL},
-    o AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS rn FROM pl),
-    f AS (SELECT l_partkey, nx, ny, nz, nx * px + ny * py + nz * pz AS d FROM o WHERE rn = 1),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS rn FROM pl),
+    f AS MATERIALIZED (SELECT l_partkey, nx, ny, nz, nx * px + ny * py + nz * pz AS d FROM o WHERE rn = 1),
     e AS (SELECT o.l_orderkey, o.l_partkey, o.l_linenumber, o.l_suppkey, f.nx AS ax, f.ny AS ay, f.nz AS az, f.d AS d1,
           o.nx AS bx, o.ny AS by_, o.nz AS bz, o.nx * o.px + o.ny * o.py + o.nz * o.pz AS d2
           FROM o JOIN f USING (l_partkey)),
     m AS (SELECT *, ax*ax + ay*ay + az*az AS aa, bx*bx + by_*by_ + bz*bz AS bb, ax*bx + ay*by_ + az*bz AS ab FROM e),
-    c AS (SELECT *, aa * bb - ab * ab AS det FROM m)
+    c AS MATERIALIZED (SELECT *, aa * bb - ab * ab AS det FROM m)
     SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey,
       round(CASE WHEN det <> 0 THEN (d1*bb - d2*ab) / det * ax + (d2*aa - d1*ab) / det * bx END, 3) AS px,
       round(CASE WHEN det <> 0 THEN (d1*bb - d2*ab) / det * ay + (d2*aa - d1*ab) / det * by_ END, 3) AS py,

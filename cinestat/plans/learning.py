@@ -138,14 +138,14 @@ def shape_regression_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four landmarks around the intensity centroid, learnt and predicted with a small cascade."""
     scaled = images(spark, sf_dir).select("vec_id", px_ops.rescale_minmax(F.col("px")).alias("px"))
     m = px_ops.image_moments(px_ops.explode_pixels(scaled, "vec_id", "px", 8), "vec_id").select("vec_id", "cx", "cy")
-    samples = scaled.join(m, "vec_id").select(
+    samples = cut_lineage(scaled.join(m, "vec_id").select(
         "vec_id", "px", F.lit(8).alias("width"),
         F.struct(*[F.lit(v).alias(c) for c, v in zip(shape_regression.BOX, (0.0, 0.0, 8.0, 8.0, 4.0, 4.0))]).alias("box"),
         F.array(*[
             F.struct((F.col("cx") + dx).alias("x"), (F.col("cy") + dy).alias("y"))
             for dx, dy in ((-2.0, 0.5), (0.0, -2.0), (2.0, 0.5), (0.0, 3.0))
         ]).alias("pts"),
-    ).persist()
+    ))
     model = shape_regression.train(samples, "vec_id", cascades=1, ferns=2, candidates=30, pairs=3, starts=2, beta=10.0)
     out = shape_regression.predict(samples, "vec_id", model)
     return out.select("vec_id", shapes.polygon_area(F.col("pts")).alias("area"), "pts")
