@@ -34,6 +34,13 @@ def extended(schema: StructType, **fields: str) -> StructType:
     return out
 
 
+def _slices(batches, rows: int = 1000):
+    """Arrow batches in parts of a bounded number of rows, so that what is worked out from them is bounded too."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def derived(df: DataFrame, sources: list[str], make: Callable, keep: list[str], **fields: str) -> DataFrame:
     """``keep`` and columns worked out from ``sources``, batch by batch.
 
@@ -44,7 +51,7 @@ def derived(df: DataFrame, sources: list[str], make: Callable, keep: list[str],
 
     def run(batches):
         fn = make()
-        for batch in batches:
+        for batch in _slices(batches):
             got = fn(*[batch.column(f"__in{i}").to_pylist() for i in range(len(sources))])
             new = [pa.array(got[k], _ARROW[kind], from_pandas=True) for k, kind in fields.items()]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *new], names=[*names, *fields])
@@ -57,7 +64,7 @@ def expanded(df: DataFrame, source: str, make: Callable, keep: list[str], **fiel
     """Like :func:`derived` with any number of rows for each: the function also gives their row numbers."""
     def run(batches):
         fn = make()
-        for batch in batches:
+        for batch in _slices(batches):
             rows, got = fn(batch.column("__in").to_pylist())
             at = pa.array(rows, pa.int64())
             new = [pa.array(got[k], _ARROW[kind]) for k, kind in fields.items()]
