@@ -30,7 +30,8 @@ def ordinal(df: DataFrame, column: str) -> Column:
     """A long that orders like the column: numbers by value, anything else by its first bytes; null is -1."""
     c = F.col(f"`{column}`")
     if dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint"):
-        return F.coalesce(c.cast("long"), F.lit(-1))
+        bound = 1 << 61  # differences must fit a long
+        return F.coalesce(F.greatest(F.least(c.cast("long"), F.lit(bound)), F.lit(-bound)), F.lit(-1))
     head = F.rpad(F.hex(F.substring(c.cast("string").cast("binary"), 1, 7)), 14, "0")
     return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1)).cast("long")
 
@@ -57,8 +58,9 @@ def _line(rows: DataFrame, key: str, search: dict[int, dict]) -> dict[int, dict]
         if not left:
             break
         state = _few(spark, [(k, v["lo"], v["hi"]) for k, v in left.items()], "n int, lo bigint, hi bigint")
-        width = (F.col("hi").cast("double") - F.col("lo").cast("double")) / _BINS
-        bin_ = F.least(F.floor((F.col(key).cast("double") - F.col("lo").cast("double")) / width), F.lit(_BINS - 1))
+        # Differences of longs: as doubles, near neighbours among large values would fall together.
+        width = (F.col("hi") - F.col("lo")).cast("double") / _BINS
+        bin_ = F.least(F.floor((F.col(key) - F.col("lo")).cast("double") / width), F.lit(_BINS - 1))
         # One state row per node: at most as many as there are shards.
         bins = (
             rows.join(F.broadcast(state), F.col("node") == F.col("n")).where(F.col(key).between(F.col("lo"), F.col("hi")))
@@ -146,20 +148,23 @@ def shard(
     def units_of(df: DataFrame) -> DataFrame:
         return df.groupBy(*group, "part").agg(
             F.sum("size").alias("bytes"), *[F.min(n).alias(n) for n in names if n != "h0"],
-        ).withColumn("h", F.xxhash64(*group, "part")).withColumn("h0", F.lit(0).cast("long")).withColumn("node", F.lit(0))
+        ).withColumn("h", F.xxhash64(*group).bitwiseAND(F.lit((1 << 62) - (1 << 16))) + F.col("part")).withColumn("h0", F.lit(0).cast("long")).withColumn("node", F.lit(0))
 
     rows = rows.withColumn("part", F.lit(0))
     units = kept(units_of(rows))
     total = units.agg(F.sum("bytes")).first()[0] or 0
     most = max(1, total // (shards * whole_below))
     # Fewer than shards * whole_below groups can be larger than that.
-    large = units.where(F.col("bytes") > most).select(*group, "bytes").collect()
+    held = [n for n in names if n != "h0"]
+    large = units.where(F.col("bytes") > most).select(*group, "bytes", *held).collect()
     if large:
         parts = _few(
-            docs.sparkSession, [(*r[:3], math.ceil(2 * r["bytes"] / most)) for r in large],
-            "t bigint, size bigint, text_crc32 bigint, parts int")
-        rows = kept(rows.drop("part").join(F.broadcast(parts), group, "left").withColumn(
-            "part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")).drop("parts"))
+            docs.sparkSession, [(*r[:3], math.ceil(2 * r["bytes"] / most), *r[4:]) for r in large],
+            ", ".join(["t bigint, size bigint, text_crc32 bigint, parts int", *[f"g_{n} bigint" for n in held]]))
+        # Parts share the group's metadata and lie next to each other in hash order: in as few shards as can hold them.
+        part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")
+        rows = kept(rows.drop("part").join(F.broadcast(parts), group, "left").withColumns(
+            {"part": part} | {n: F.coalesce(f"g_{n}", n) for n in held}).drop("parts", *[f"g_{n}" for n in held]))
         units = kept(units_of(rows))
     lo_hi = units.agg(*[(F.max(n) - F.min(n)).alias(n) for n in names]).first()
     extent, nodes = {n: lo_hi[n] or 0 for n in names}, {0: (0, shards)}
