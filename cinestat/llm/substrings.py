@@ -6,6 +6,9 @@ the chunks around it alone.  Chunks are deduplicated by digest over the whole co
 single short chunk recurs by chance; what is reported is a run of neighbouring chunks that
 all occur in other documents and together span ``least_bytes``.
 
+Text that repeats one word over and over has the same hash everywhere and so no boundary of
+its own: it is cut at the greatest length, and its repetition elsewhere is found by chance only.
+
 The rolling hash is computed for all positions at once: the hash of the last ``2 m`` bytes is
 that of the last ``m`` plus that of the ``m`` before, shifted by ``m``.
 """
@@ -86,7 +89,7 @@ def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return expanded(plain, "text", make, ["doc_id", "key"], nth="int", start="int", length="int", digest="long")
 
 
-def repeats(docs: DataFrame, least_bytes: int = 160, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, least_bytes: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Passages that occur in several documents, a row for each occurrence.
 
     ``doc_id``, ``key``, ``start``, ``length`` (bytes of the UTF-8 text), ``chunks``,
@@ -109,7 +112,7 @@ def repeats(docs: DataFrame, least_bytes: int = 160, doc_id: str = "doc_id", tex
         F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "chunks", "first_doc_id", "kept")
 
 
-def dedup(docs: DataFrame, least_bytes: int = 160, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, least_bytes: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the passages that a document with a smaller number has; and ``removed_bytes``."""
     gone = repeats(docs, least_bytes, doc_id, text).where(~F.col("kept"))
     # A document's passages: bounded by its own length.
