@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinestat.llm.common import derived, expanded
+from cinestat.session import kept
 
 
 LEAST, MOST, MASK = 16, 192, np.uint32(0x1F << 26)
@@ -99,8 +100,9 @@ def repeats(docs: DataFrame, least_bytes: int = 128, doc_id: str = "doc_id", tex
     one document, null and empty texts have no passages.
     """
     cut = chunks(docs, doc_id, text)
-    shared = cut.groupBy("digest", "length").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(
-        F.col("digest").alias("d"), F.col("length").alias("l"), "first")
+    # Written first: a join of two plain shuffles is one whose hot digests Spark can split.
+    shared = kept(cut.groupBy("digest", "length").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(
+        F.col("digest").alias("d"), F.col("length").alias("l"), "first"))
     held = cut.join(shared, (F.col("digest") == F.col("d")) & (F.col("length") == F.col("l")))
     inside = Window.partitionBy("key", "doc_id").orderBy("nth")
     run = held.select("key", "doc_id", "nth", "start", "length", "first", (F.col("nth") - F.dense_rank().over(inside)).alias("run"))
