@@ -157,7 +157,8 @@ def group(
     joined = components(links(distinct, radius, bucket_rows))
     rooted = distinct.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("of"), "root", "component_id")
+    # Written first, so that Spark can split the join where one fingerprint has very many rows.
+    names = kept(rooted.select("fp", "root").join(least, "root").select(F.col("fp").alias("of"), "root", "component_id"))
     return marked.join(names, F.col("fp") == F.col("of")).select("doc_id", *keep, "fp", "root", "component_id")
 
 
