@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cinestat.functions import cdf, geometry as g, shapes
 from cinestat.operators import pixels as px_ops
@@ -27,6 +27,15 @@ def _packed(df: DataFrame, *structs: str) -> DataFrame:
     return df.select("*", *planes)
 
 
+def _round(v: Column, digits: int) -> Column:
+    """Rounded to ``digits``; values of nearly dependent planes grow without bound and keep nine significant digits."""
+    return F.when(F.abs(v) >= 1e9, F.format_string("%.8e", v).cast("double")).otherwise(F.round(v, digits))
+
+
+def _round_sql(v: str, digits: int) -> str:
+    return f"CASE WHEN abs({v}) >= 1e9 THEN printf('%.8e', {v})::DOUBLE ELSE round({v}, {digits}) END"
+
+
 SEQ = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 PLANES_SQL = """
@@ -56,9 +65,9 @@ PLANES_SQL = """
       s.pz + 32 * s.sx * s.rz + 32 * s.sy * s.cz AS oz
       FROM s LEFT JOIN a ON s.l_orderkey = a.l_orderkey LEFT JOIN b ON s.l_orderkey = b.l_orderkey)
     SELECT l_orderkey, l_linenumber, l_partkey, views_ok,
-      CASE WHEN views_ok THEN round(CASE WHEN det <> 0 THEN tx / det END, 4) ELSE round(ox, 5) END AS x,
-      CASE WHEN views_ok THEN round(CASE WHEN det <> 0 THEN ty / det END, 4) ELSE round(oy, 5) END AS y,
-      CASE WHEN views_ok THEN round(CASE WHEN det <> 0 THEN tz / det END, 4) ELSE round(oz, 5) END AS z
+      CASE WHEN views_ok THEN {_round_sql('CASE WHEN det <> 0 THEN tx / det END', 4)} ELSE round(ox, 5) END AS x,
+      CASE WHEN views_ok THEN {_round_sql('CASE WHEN det <> 0 THEN ty / det END', 4)} ELSE round(oy, 5) END AS y,
+      CASE WHEN views_ok THEN {_round_sql('CASE WHEN det <> 0 THEN tz / det END', 4)} ELSE round(oz, 5) END AS z
     FROM j""",
 )
 def plane_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +89,7 @@ def plane_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     centre = p.to_space(F.lit(32.0), F.lit(32.0))
     ok = F.col("ok")
     out = [
-        F.when(ok, F.round(t, 4)).otherwise(F.round(o, 5)).alias(c)
+        F.when(ok, _round(t, 4)).otherwise(F.round(o, 5)).alias(c)
         for c, t, o in zip("xyz", point, centre)
     ]
     return sax.select("l_orderkey", "s.l_linenumber", "s.l_partkey", ok.alias("views_ok"), *out)
@@ -97,9 +106,9 @@ def plane_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT *, ax*ax + ay*ay + az*az AS aa, bx*bx + by_*by_ + bz*bz AS bb, ax*bx + ay*by_ + az*bz AS ab FROM e),
     c AS MATERIALIZED (SELECT *, aa * bb - ab * ab AS det FROM m)
     SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey,
-      round(CASE WHEN det <> 0 THEN (d1*bb - d2*ab) / det * ax + (d2*aa - d1*ab) / det * bx END, 3) AS px,
-      round(CASE WHEN det <> 0 THEN (d1*bb - d2*ab) / det * ay + (d2*aa - d1*ab) / det * by_ END, 3) AS py,
-      round(CASE WHEN det <> 0 THEN (d1*bb - d2*ab) / det * az + (d2*aa - d1*ab) / det * bz END, 3) AS pz,
+      {_round_sql('CASE WHEN det <> 0 THEN (d1*bb - d2*ab) / det * ax + (d2*aa - d1*ab) / det * bx END', 3)} AS px,
+      {_round_sql('CASE WHEN det <> 0 THEN (d1*bb - d2*ab) / det * ay + (d2*aa - d1*ab) / det * by_ END', 3)} AS py,
+      {_round_sql('CASE WHEN det <> 0 THEN (d1*bb - d2*ab) / det * az + (d2*aa - d1*ab) / det * bz END', 3)} AS pz,
       round(ay * bz - az * by_, 9) AS dx, round(az * bx - ax * bz, 9) AS dy, round(ax * by_ - ay * bx, 9) AS dz
     FROM c""",
 )
@@ -115,7 +124,7 @@ def plane_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     point, along = g.plane_line(a, b)
     return both.select(
         "l_orderkey", "l_partkey", "s.l_linenumber", "s.l_suppkey",
-        *[F.round(v, 3).alias(f"p{c}") for c, v in zip("xyz", point)],
+        *[_round(v, 3).alias(f"p{c}") for c, v in zip("xyz", point)],
         *[F.round(v, 9).alias(f"d{c}") for c, v in zip("xyz", along)],
     )
 
