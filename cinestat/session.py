@@ -22,6 +22,7 @@ def get_spark(app: str = "cinestat", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -50,7 +51,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back, pruned by column."""
+    """``df`` written once as Parquet in the shared folder and read back, pruned by column.
+
+    Files stay as long as the folder's owner keeps them: a later read must find them.
+    """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

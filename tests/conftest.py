@@ -12,12 +12,12 @@ from cinestat.session import get_spark
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     s = get_spark(
         "tests", "local[4]",
         **{
             "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-            "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false",
+            "spark.driver.memory": "6g", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.ui.showConsoleProgress": "false",
         },
     )
     s.sparkContext.setLogLevel("ERROR")
