@@ -71,7 +71,8 @@ def _filled(rows: DataFrame, last: bool) -> DataFrame:
     up = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     # Written first: else each task's own sums of a source would all meet where its bins are added up.
     bins = kept(rows.where("open").groupBy(F.col("group").alias("g"), F.col("bin").alias("b")).agg(F.sum("size").alias("in_bin")))
-    bins = bins.withColumn("under", F.coalesce(F.sum("in_bin").over(up), F.lit(0)))
+    # Written again: else the rows would be dealt by source alone, as the window deals the bins.
+    bins = kept(bins.withColumn("under", F.coalesce(F.sum("in_bin").over(up), F.lit(0))))
     rows = rows.join(bins, (F.col("group") == F.col("g")) & (F.col("bin") == F.col("b")), "left").drop("g", "b")
     sure = F.col("open") & (F.col("under") + F.col("in_bin") <= F.col("rest"))
     across = F.col("open") & ~sure & (F.col("under") <= F.col("rest"))
