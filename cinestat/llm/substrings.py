@@ -95,9 +95,11 @@ def repeats(docs: DataFrame, least_bytes: int = 128, doc_id: str = "doc_id", tex
 
     ``doc_id``, ``key``, ``start``, ``length`` (bytes of the UTF-8 text), ``chunks``,
     ``first_doc_id`` (the smallest number that has a chunk of it), ``kept`` (every chunk of it
-    appears here first).  Documents are told apart by number: text that recurs inside one
-    document only is not reported, and rows repeated whole count once.  Null numbers count as
-    one document, null and empty texts have no passages.
+    appears here first; if not, none does).  A run of shared chunks is broken where it goes from
+    chunks that appear here first to others, so each chunk is kept where it appears first;
+    ``least_bytes`` holds for the whole run.  Documents are told apart by number: text that
+    recurs inside one document only is not reported, and rows repeated whole count once.  Null
+    numbers count as one document, null and empty texts have no passages.
     """
     cut = chunks(docs, doc_id, text)
     # Written first: a join of two plain shuffles is one whose hot digests Spark can split.
@@ -105,11 +107,15 @@ def repeats(docs: DataFrame, least_bytes: int = 128, doc_id: str = "doc_id", tex
         F.col("digest").alias("d"), F.col("length").alias("l"), "first"))
     held = cut.join(shared, (F.col("digest") == F.col("d")) & (F.col("length") == F.col("l")))
     inside = Window.partitionBy("key", "doc_id").orderBy("nth")
-    run = held.select("key", "doc_id", "nth", "start", "length", "first", (F.col("nth") - F.dense_rank().over(inside)).alias("run"))
-    return run.groupBy("key", "doc_id", "run").agg(
+    alike = Window.partitionBy("key", "doc_id", "kept").orderBy("nth")
+    run = held.select("key", "doc_id", "nth", "start", "length", "first", (F.col("first") == F.col("doc_id")).alias("kept")).withColumn(
+        "run", F.col("nth") - F.dense_rank().over(inside)).withColumn("part", F.col("nth") - F.dense_rank().over(alike))
+    parts = run.groupBy("key", "doc_id", "run", "kept", "part").agg(
         F.min("start").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"),
-        (F.max("nth") - F.min("nth") + 1).alias("chunks"), F.min("first").alias("first_doc_id"), F.min(F.col("first") == F.col("doc_id")).alias("kept"),
-    ).where((F.col("length") >= least_bytes) & (F.col("chunks") > 1)).select(
+        (F.max("nth") - F.min("nth") + 1).alias("chunks"), F.min("first").alias("first_doc_id"))
+    whole = Window.partitionBy("key", "doc_id", "run")
+    return parts.withColumn("run_bytes", F.sum("length").over(whole)).withColumn("run_chunks", F.sum("chunks").over(whole)).where(
+        (F.col("run_bytes") >= least_bytes) & (F.col("run_chunks") > 1)).select(
         F.when(F.col("doc_id") != F.lit(-(1 << 63)), F.col("doc_id")).alias("doc_id"), "key",
         F.col("start").cast("long").alias("start"), F.col("length").cast("long").alias("length"), "chunks", "first_doc_id", "kept")
 

@@ -149,6 +149,29 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert cut[0] == rows[0][1] and len(cut[5]) < len(rows[5][1]) and cut[7] == rows[7][1]
 
 
+def test_no_shared_chunk_is_cut_everywhere(spark):
+    rng = random.Random(15)
+    v = [f"w{i:04d}" for i in range(2000)]
+    before, edit, after = prose(rng, 60, v), prose(rng, 60, v), prose(rng, 60, v)
+    edited = f"{before} {edit} {after}"
+    rows = [(1, f"{before} {after}"), (5, edited), (9, edited), (11, f"{prose(rng, 40, v)} {edit} {prose(rng, 40, v)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = substrings.repeats(df).collect()
+    assert {r["doc_id"] for r in spans if r["kept"]} == {1, 5} and {r["doc_id"] for r in spans if not r["kept"]} == {5, 9, 11}
+    left = defaultdict(list)  # what dedup() leaves, as byte ranges of the texts
+    for r in spans:
+        if not r["kept"]:
+            left[r["doc_id"]].append((r["start"], r["start"] + r["length"]))
+    every, whole = set(), set()
+    for r in substrings.chunks(df).collect():
+        every.add((r["digest"], r["length"]))
+        if not any(a <= r["start"] < b for a, b in left[r["doc_id"]]):
+            whole.add((r["digest"], r["length"]))
+    assert whole == every
+    cut = {r["doc_id"]: r["text"] for r in substrings.dedup(df).collect()}
+    assert cut[1] == rows[0][1] and cut[9] == "" and edit[40:-40] in cut[5] and len(cut[5]) < len(edited) / 2 and len(cut[11]) < len(rows[3][1])
+
+
 def test_shards_hold_equal_bytes_and_copies_together(spark, sf):
     out = sharding.shard(spark.read.parquet(f"{sf}/documents.parquet"), shards=6).toPandas()
     size = out.groupby("shard")["size"].sum()
