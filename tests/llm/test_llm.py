@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import corpus_pipeline
 from cinestat.llm import (
-    language_id, lines, mixing, nearest, packing, queries, sharding, simhash_groups, spotsigs, substrings, toxicity,
+    language_id, lines, mixing, near_copies, nearest, packing, queries, sharding, simhash_groups, spotsigs, substrings, toxicity,
 )
 from oracle import compare, duck
 
@@ -397,6 +397,41 @@ def test_spotsig_pairs(spark):
     assert {(r["a"], r["b"]) for r in spotsigs.near_pairs(df).collect()} == want and want
 
 
+def test_near_dedup_stage_equals_brute_force(spark, sf):
+    def likeness(a, b):
+        return len(a & b) / max(1, len(a | b))
+
+    rng = random.Random(17)
+    v = [f"n{i:03d}" for i in range(800)]
+    base = [prose(rng, 120, v).split() for _ in range(12)]
+    rows = []
+    for i, words in enumerate(base):
+        rows.append((10 * i, " ".join(words)))
+        for k in (1, 2, 3, 5):  # likeness from about 0.92 to 0.64
+            other = list(words)
+            for at in rng.sample(range(10, 110, 10), k):
+                other[at] = f"x{i}k{k}at{at}"
+            rows.append((10 * i + k, " ".join(other)))
+    real = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 5000").select((F.col("doc_id") + 1000).alias("doc_id"), "text")
+    rows += [tuple(r) for r in real.collect()]
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {b""})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and likeness(sets[i], sets[j]) >= 0.8:
+                root = [root[j] if x == root[i] else x for x in root]
+    least = defaultdict(list)
+    for (number, _), r in zip(rows, root):
+        least[r].append(number)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(min(x) for x in least.values())
+    assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, sf).collect()) == want
+    assert sorted(r["doc_id"] for r in near_copies.representatives(df, bucket_rows=2).collect()) == want
+
+
 def test_pipeline(spark, sf):
     assert len(corpus_pipeline.STAGES) == 5
     docs = spark.read.parquet(f"{sf}/documents.parquet")
