@@ -23,6 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinestat.llm.common import derived
+from cinestat.session import kept
 
 UNDETERMINED = "und"
 BLOCK = 2048
@@ -33,28 +34,28 @@ _BATCH_CHARS = 2_000_000
 def sample_texts(
     labelled: DataFrame, sample_chars: int = 20_000, sample_rows: int = 400, text: str = "text", label: str = "lang",
 ) -> dict[str, str]:
-    """Whole texts in hash order, per language up to ``sample_chars`` characters in all.
+    """Distinct texts in hash order, per language up to ``sample_chars`` characters in all.
 
     This is the bound on what the classifier learns from: texts that would pass it are left
-    out, equal texts count once.  Only the sample comes to the driver.  Labels are few: a row
+    out, equal texts count once.  Texts longer than half of it come after all others, each with
+    its first ``sample_chars // 2`` characters; a language with few short texts so has a sample.
+    Texts are drawn by hash alone; only the sample comes to the driver.  Labels are few: a row
     of counts for each is broadcast.
     """
-    known = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull())
-    # Per language a share of the hash range that holds enough rows: without it every task would send its own.
-    counts = known.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("rows"))
-    share = F.least(F.lit(1.0), F.lit(8.0 * sample_rows) / F.col("rows"))
-    ok = known.select(
-        F.col(label).alias("label"), F.col(text).alias("text"), F.length(text).alias("n"), F.xxhash64(text).alias("h"),
-    ).where((F.col("n") > 0) & (F.col("n") <= sample_chars // 2)).join(F.broadcast(counts), "label").where(
-        F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
-    first = ok.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))).where(
-        F.col("r") <= 3 * sample_rows)
-    first = first.dropDuplicates(["label", "h"])
-    w = Window.partitionBy("label").orderBy("h")
-    within = first.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample_rows)
-    taken = within.withColumn("sum", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    half = sample_chars // 2
+    known = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull() & (F.length(text) > 0)).select(
+        F.col(label).alias("label"), F.col(text).alias("text"), F.length(text).alias("n"), F.xxhash64(text).alias("h"))
+    one = kept(known.groupBy("label", "h").agg(F.least(F.min("n"), F.lit(half + 1)).alias("n")).withColumn("long", F.col("n") > half))
+    # Per language a share of the hash range that holds enough texts: without it every task would send its own.
+    counts = one.groupBy("label", "long").agg(F.count("*").alias("texts"))
+    share = F.least(F.lit(1.0), F.lit(8.0 * sample_rows) / F.col("texts"))
+    drawn = one.join(F.broadcast(counts), ["label", "long"]).where(F.pmod("h", F.lit(1 << 20)) < share * (1 << 20))
+    first = drawn.withColumn("r", F.row_number().over(Window.partitionBy("label", "long").orderBy("h"))).where(F.col("r") <= sample_rows)
+    upto = Window.partitionBy("label").orderBy("long", "h").rowsBetween(Window.unboundedPreceding, 0)
+    taken = first.withColumn("sum", F.sum(F.least("n", F.lit(half))).over(upto)).where(F.col("sum") <= sample_chars).select("label", "long", "h")
+    texts = known.join(F.broadcast(taken), ["label", "h"]).select("label", "long", "h", F.substring("text", 1, half).alias("text"))
     out: dict[str, list[str]] = {}
-    for row in taken.where((F.col("sum") <= sample_chars) | (F.col("r") == 1)).orderBy("label", "h").collect():
+    for row in texts.groupBy("label", "long", "h").agg(F.min("text").alias("text")).orderBy("label", "long", "h").collect():
         out.setdefault(row["label"], []).append(row["text"])
     return {k: "\n".join(v) for k, v in out.items()}
 

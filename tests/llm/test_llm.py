@@ -115,6 +115,17 @@ def test_cross_parsing_equals_greedy_search(sf, spark):
     assert held.agg(F.avg("ok")).first()[0] > 0.95
 
 
+def test_every_labelled_language_has_a_sample(spark):
+    rng = random.Random(18)
+    v, w = [f"wort{i}" for i in range(300)], [f"mot{i}" for i in range(300)]
+    copies = [("de", prose(rng, 30, v)) for _ in range(5)] + [("fr", prose(rng, 4000, w)), ("fr", prose(rng, 4000, w))]
+    df = spark.createDataFrame(copies, "lang string, text string")
+    rows = df.where("lang = 'fr'").unionByName(df.where("lang = 'de'").crossJoin(spark.range(4000)).drop("id"))
+    got = language_id.sample_texts(rows)
+    assert sorted(got["de"].split("\n")) == sorted(t for k, t in copies if k == "de")
+    assert sorted(x for x in got["fr"].split("\n")) == sorted(t[:10_000] for k, t in copies if k == "fr")
+
+
 def test_gear_chunks():
     rng, gear = random.Random(2), substrings.gear_table()
     data = bytes(rng.randrange(97, 123) for _ in range(5000))
