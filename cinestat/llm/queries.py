@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinestat.llm import (
-    language_id, lines, mixing, nearest, packing, sharding, simhash_groups, spotsigs, substrings, toxicity,
+    alignment, language_id, lines, mixing, nearest, packing, sharding, simhash_groups, spotsigs, substrings, toxicity, warc,
 )
 from cinestat.llm.common import documents
 
@@ -143,3 +143,27 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~out))
     return toxicity.score(docs, net, ["doc_id"]).select(
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_WARC_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, h, sha1(h) AS hex, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('{_BASE32}',
+    1 + CAST((('0x' || substr(hex, 1 + 5 * CAST(i // 4 AS INTEGER), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN NULL ELSE first END AS refers_to
+FROM g"""
+
+
+@query("op11_warc", _WARC_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.sound(warc.read(spark, folder, payload=False)).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir))
