@@ -7,11 +7,14 @@ factor ``m = 50 + (50 n N) div L``; an item's vector holds its terms' weights
 Documents are read once: their number of terms and the counts of those terms that some item
 holds.  Each task then builds ball trees over blocks of its documents and searches them for
 every item.  A ball is a centroid and a radius; no document inside scores above
-``q . centroid + |q| radius``.  Both sides are scaled by the square roots of the weights,
-which leaves inner products as they are and keeps frequent terms from blowing up radii.  Balls
-are opened in the order of their bounds until the next bound lies below the k-th score found so
-far in the task; leaves are scored in integers.  Bounds are worked out in double precision and
-rounded up (see ``_UP``), so rounding never hides a document.
+``q . centroid + |q| radius``.  Documents are sparse and an item touches few terms, so the
+radius is also kept term by term (how far a document inside goes beyond the centroid there),
+which gives the bound ``q . (centroid + radii)``; the smaller one counts.  Both sides are scaled
+by the square roots of the weights, which leaves inner products as they are and keeps frequent
+terms from blowing up radii.  Balls are opened in the order of their bounds until the next
+bound lies below the k-th score found so far in the task; leaves are scored in integers.
+Bounds are worked out in double precision and rounded up (see ``_UP``), so rounding never
+hides a document.
 
 Terms are maximal runs of digits, letters and everything outside ASCII, A-Z lower-cased; a null
 text has none.  Rows that share an item number are one item with the terms of all; items
@@ -93,10 +96,11 @@ class Rows:
 
 
 class BallTree:
-    """Nodes in the order they were split: ``centroid``, ``radius``, ``children``; leaves name their rows."""
+    """Nodes in the order they were split: ``centroid``, ``radius``, ``highest`` (centroid + radius by term),
+    ``children``; leaves name their rows."""
 
-    def __init__(self, rows: Rows, width: int, leaf: int = _LEAF):
-        self.centroid, self.radius, self.children, self.leaves = [], [], [], []
+    def __init__(self, rows: Rows, width: int, leaf: int):
+        self.centroid, self.radius, self.highest, self.children, self.leaves = [], [], [], [], []
         open_ = [(rows, np.arange(rows.n), None)]
         while open_:
             rows, names, parent = open_.pop()
@@ -109,6 +113,9 @@ class BallTree:
             self.centroid.append(centre)
             # The squares come from a difference: rounding is bounded by what was subtracted.
             self.radius.append(math.sqrt(max(0.0, float(far.max())) + 1e-9 * float(square.max() + centre @ centre)))
+            self.highest.append(np.zeros(width))
+            if rows.n <= leaf:
+                np.maximum.at(self.highest[k], rows.col, rows.val)
             self.children.append([])
             self.leaves.append(names if rows.n <= leaf else None)
             if rows.n > leaf:
@@ -117,7 +124,10 @@ class BallTree:
                 right = np.zeros(rows.n, bool)
                 right[np.argsort(rows.dot(b - a), kind="stable")[rows.n // 2 :]] = True
                 open_ += [(rows.part(~right), names[~right], k), (rows.part(right), names[right], k)]
-        self.centroid, self.radius = np.array(self.centroid), np.array(self.radius)
+        for k in reversed(range(len(self.radius))):  # children come after their parents
+            for child in self.children[k]:
+                np.maximum(self.highest[k], self.highest[child], out=self.highest[k])
+        self.centroid, self.radius, self.highest = np.array(self.centroid), np.array(self.radius), np.array(self.highest)
 
     @staticmethod
     def _squares(rows: Rows, square: np.ndarray, point: np.ndarray) -> np.ndarray:
@@ -164,12 +174,13 @@ class Search:
             weight = self.weights[vocabulary]
             scale = np.sqrt(weight.astype(float))
             whole = Rows(back, at[mine], value[mine], len(some))
-            tree = BallTree(Rows(back, whole.col, whole.val * scale[whole.col], whole.n), len(vocabulary))
+            tree = BallTree(Rows(back, whole.col, whole.val * scale[whole.col], whole.n), len(vocabulary), _LEAF)
             asked = [np.searchsorted(vocabulary, self.items[i][1]) for i in held]
             points = np.zeros((len(vocabulary), len(held)))
             for j, terms in enumerate(asked):
                 points[terms, j] = scale[terms]
-            bounds = (tree.centroid @ points + tree.radius[:, None] * np.sqrt((points**2).sum(0))) * _UP
+            ball = tree.centroid @ points + tree.radius[:, None] * np.sqrt((points**2).sum(0))
+            bounds = np.minimum(ball, tree.highest @ points) * _UP
             leaves = {}
             for node, rows in enumerate(tree.leaves):
                 if rows is not None:
