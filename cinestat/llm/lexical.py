@@ -38,7 +38,7 @@ from cinestat.session import kept
 _TERMS = re.compile(rb"[0-9a-z\x80-\xff]+").findall  # after lower(), which on bytes is A-Z only
 #: A dot product of d non-negative doubles is off by d * 2^-53 of itself at most; d stays under 10^6.
 _UP = 1 + 1e-9
-_BLOCK_ROWS, _BLOCK_ENTRIES, _LEAF = 16_384, 2_000_000, 24
+_BLOCK_ROWS, _BLOCK_ENTRIES, _LEAF = 16_384, 2_000_000, 48
 _PASS_TERMS = 200_000  # (item, term) rows that reach the driver and a broadcast at once
 _ITEMS, _VOCABULARY = 256, 4_096  # of one tree; an item with more terms is alone in its tree
 
