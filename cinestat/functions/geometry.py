@@ -100,17 +100,6 @@ def plane_line(p: Plane, q: Plane) -> tuple[Vec, Vec]:
     return add(scale(n1, c1), scale(n2, c2)), cross(n1, n2)
 
 
-def plane_point(p: Plane, q: Plane, r: Plane) -> Vec:
-    """Common point of three planes (Cramer); NULL when the normals are dependent."""
-    n1, n2, n3 = p.normal, q.normal, r.normal
-    det = dot(n1, cross(n2, n3))
-    terms = add(
-        scale(cross(n2, n3), dot(n1, p.pos)),
-        add(scale(cross(n3, n1), dot(n2, q.pos)), scale(cross(n1, n2), dot(n3, r.pos))),
-    )
-    return [F.try_divide(t, det) for t in terms]
-
-
 def affine(m: list[list[Column]], x: Column, y: Column) -> list[Column]:
     """2x3 matrix applied to a point."""
     return [row[0] * x + row[1] * y + row[2] for row in m]

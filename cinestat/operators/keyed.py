@@ -14,18 +14,18 @@ def attach_group(
 ) -> DataFrame:
     """Inner join of rows with one aggregate row per key, safe for very large keys.
 
-    ``stats`` carries the row count of its key in ``n`` and is worked out once, so the rows
-    are read twice in all.  Keys above ``hot_rows`` rows are at most total/hot_rows many,
-    which bounds the broadcast list of them; their rows are salted by place, whatever they
-    hold, so that no task receives more than about ``hot_rows`` of them.  Without such a key
-    the join is a plain one.
+    ``stats`` carries the row count of its key in ``n``.  A count by key comes first; Catalyst
+    prunes all other aggregates from it.  Keys above ``hot_rows`` rows are at most
+    total/hot_rows many, which bounds the broadcast list of them; their rows are salted by
+    place, whatever they hold, so that no task receives more than about ``hot_rows`` of them.
+    Without such a key nothing is written and the join is a plain one.
     """
-    stats = kept(stats)
     salts = F.ceil(F.col(n) / F.lit(hot_rows)).cast("int")
     parts = "__salts"
-    hot = stats.where(F.col(n) > hot_rows).select(*keys, salts.alias(parts))
-    if hot.isEmpty():
+    if stats.where(F.col(n) > hot_rows).select(n).isEmpty():
         return df.join(stats.drop(n), keys)
+    stats = kept(stats)
+    hot = stats.where(F.col(n) > hot_rows).select(*keys, salts.alias(parts))
     place = F.xxhash64(F.monotonically_increasing_id())
     left = df.withColumn("__place", place).join(F.broadcast(hot), keys, "left").withColumn(
         "__salt", F.pmod(F.col("__place"), F.coalesce(F.col(parts), F.lit(1))).cast("int")).drop(parts, "__place")

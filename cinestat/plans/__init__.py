@@ -1,6 +1,6 @@
 """Registered queries; importing a module registers what it defines."""
 
-from cinestat.plans import chains, distributions, geometry, imaging, learning, relational, tabular
+from cinestat.plans import chains, distributions, fits, geometry, imaging, learning, relational, tabular
 from cinestat.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cinestat.functions import cdf, geometry as g, shapes
+from cinestat.functions.linalg import least_norm_solution
 from cinestat.operators import pixels as px_ops
 from cinestat.operators.keyed import attach_group
 from cinestat.plans.registry import query, table
@@ -58,19 +59,25 @@ PLANES_SQL = """
     j AS (SELECT s.l_orderkey, s.l_linenumber, s.l_partkey,
       a.l_orderkey IS NOT NULL AND b.l_orderkey IS NOT NULL AS views_ok,
       s.nx * (a.ny * b.nz - a.nz * b.ny) + s.ny * (a.nz * b.nx - a.nx * b.nz) + s.nz * (a.nx * b.ny - a.ny * b.nx) AS det,
+      sqrt((s.nx*s.nx + s.ny*s.ny + s.nz*s.nz) * (a.nx*a.nx + a.ny*a.ny + a.nz*a.nz) * (b.nx*b.nx + b.ny*b.ny + b.nz*b.nz)) AS span,
       s.d * (a.ny * b.nz - a.nz * b.ny) + a.d * (b.ny * s.nz - b.nz * s.ny) + b.d * (s.ny * a.nz - s.nz * a.ny) AS tx,
       s.d * (a.nz * b.nx - a.nx * b.nz) + a.d * (b.nz * s.nx - b.nx * s.nz) + b.d * (s.nz * a.nx - s.nx * a.nz) AS ty,
       s.d * (a.nx * b.ny - a.ny * b.nx) + a.d * (b.nx * s.ny - b.ny * s.nx) + b.d * (s.nx * a.ny - s.ny * a.nx) AS tz,
+      s.nx*s.d + a.nx*a.d + b.nx*b.d AS u, s.ny*s.d + a.ny*a.d + b.ny*b.d AS v, s.nz*s.d + a.nz*a.d + b.nz*b.d AS w,
+      s.nx*s.nx + a.nx*a.nx + b.nx*b.nx AS g0, s.ny*s.ny + a.ny*a.ny + b.ny*b.ny AS g1, s.nz*s.nz + a.nz*a.nz + b.nz*b.nz AS g2,
+      s.nx*s.ny + a.nx*a.ny + b.nx*b.ny AS f, s.nx*s.nz + a.nx*a.nz + b.nx*b.nz AS h, s.ny*s.nz + a.ny*a.nz + b.ny*b.nz AS e,
       s.px + 32 * s.sx * s.rx + 32 * s.sy * s.cx AS ox, s.py + 32 * s.sx * s.ry + 32 * s.sy * s.cy AS oy,
       s.pz + 32 * s.sx * s.rz + 32 * s.sy * s.cz AS oz
-      FROM s LEFT JOIN a ON s.l_orderkey = a.l_orderkey LEFT JOIN b ON s.l_orderkey = b.l_orderkey)
+      FROM s LEFT JOIN a ON s.l_orderkey = a.l_orderkey LEFT JOIN b ON s.l_orderkey = b.l_orderkey),
+    i AS (SELECT *, g0 + g1 + g2 AS c1, g0*g1 - f*f + g0*g2 - h*h + g1*g2 - e*e AS c2, abs(det) > 1e-12 * span AS whole FROM j)
     SELECT l_orderkey, l_linenumber, l_partkey, views_ok,
-      CASE WHEN views_ok THEN {_round_sql('CASE WHEN det <> 0 THEN tx / det END', 4)} ELSE round(ox, 5) END AS x,
-      CASE WHEN views_ok THEN {_round_sql('CASE WHEN det <> 0 THEN ty / det END', 4)} ELSE round(oy, 5) END AS y,
-      CASE WHEN views_ok THEN {_round_sql('CASE WHEN det <> 0 THEN tz / det END', 4)} ELSE round(oz, 5) END AS z
-    FROM j""",
+      CASE WHEN views_ok THEN {_round_sql('CASE WHEN whole THEN tx / det WHEN c2 > 1e-24 * c1 * c1 THEN (c1*u - g0*u - f*v - h*w) / c2 ELSE u / c1 END', 4)} ELSE round(ox, 5) END AS x,
+      CASE WHEN views_ok THEN {_round_sql('CASE WHEN whole THEN ty / det WHEN c2 > 1e-24 * c1 * c1 THEN (c1*v - f*u - g1*v - e*w) / c2 ELSE v / c1 END', 4)} ELSE round(oy, 5) END AS y,
+      CASE WHEN views_ok THEN {_round_sql('CASE WHEN whole THEN tz / det WHEN c2 > 1e-24 * c1 * c1 THEN (c1*w - h*u - e*v - g2*w) / c2 ELSE w / c1 END', 4)} ELSE round(oz, 5) END AS z
+    FROM i""",
 )
 def plane_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where three views meet: the only common point, or of dependent planes the shortest best one."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(*SEQ).alias("s"))
     kind = F.col("s.l_linenumber") % 3
     order = F.struct("s.l_linenumber", "s.l_partkey", "s.l_suppkey")
@@ -84,15 +91,12 @@ def plane_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     sax = attach_group(li.where(kind == 0), views, ["l_orderkey"], "rows_in_key")
     ok = F.col("a").isNotNull() & F.col("b").isNotNull()
     sax = _packed(sax.withColumn("ok", ok), "s", "a", "b")
-    p, a, b = (g.Plane.unpack(F.col(f"{c}_plane")) for c in ("s", "a", "b"))
-    point = g.plane_point(p, a, b)
-    centre = p.to_space(F.lit(32.0), F.lit(32.0))
-    ok = F.col("ok")
-    out = [
-        F.when(ok, _round(t, 4)).otherwise(F.round(o, 5)).alias(c)
-        for c, t, o in zip("xyz", point, centre)
-    ]
-    return sax.select("l_orderkey", "s.l_linenumber", "s.l_partkey", ok.alias("views_ok"), *out)
+    planes = [g.Plane.unpack(F.col(f"{c}_plane")) for c in ("s", "a", "b")]
+    meet = F.when(F.col("ok"), least_norm_solution([p.normal for p in planes], [g.dot(p.normal, p.pos) for p in planes]))
+    centre = planes[0].to_space(F.lit(32.0), F.lit(32.0))
+    found = sax.select("l_orderkey", "s", "ok", meet.alias("meet"), *[o.alias(f"o{c}") for c, o in zip("xyz", centre)])
+    out = [F.when(F.col("ok"), _round(F.col("meet")[c], 4)).otherwise(F.round(f"o{c}", 5)).alias(c) for c in "xyz"]
+    return found.select("l_orderkey", "s.l_linenumber", "s.l_partkey", F.col("ok").alias("views_ok"), *out)
 
 
 @query(
