@@ -10,9 +10,10 @@ proto.  Spans settle every token that has its characters to itself.  Several tok
 character (A's halves of a multibyte character, B's ``<0xHH>``) share a span; their ends are
 counted forward from the last settled end by the bytes that the tokens decode to.
 
-Both tokenizers treat a blank before a letter as the beginning of something new, so a text is
-aligned stretch by stretch (between such blanks), and short stretches are remembered.  A stretch
-whose decoded bytes differ sends its whole text through both tokenizers at once.
+Neither tokenizer has a token that begins before a lone blank or line feed with a letter or digit
+behind it, or between a letter and a full stop or comma (checked on the files), so a text is
+aligned stretch by stretch, and stretches are remembered.  A stretch whose decoded bytes differ
+sends its whole text through both tokenizers at once.
 
 A text that is null, empty, or whose decoded tokens do not give its bytes back has no tokens:
 all its counts are 0 and ``groups_sha256`` is ''.  Repeated rows count as often as they occur.
@@ -21,8 +22,10 @@ all its counts are 0 and ``groups_sha256`` is ''.  Repeated rows count as often
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from functools import cache
+from itertools import chain
 from operator import attrgetter
 
 import numpy as np
@@ -39,8 +42,10 @@ _END = attrgetter("end")
 _NONE = np.empty(0, np.int64)
 _REMEMBERED = 300_000  # stretches
 _JOINED = 1 << 16  # characters of stretches that are encoded in one call
-_CUT = re.compile(r"(?<=[!-~\w])(?= [A-Za-z])")
-_JOINS = re.compile(r" [A-Za-z](?s:.*)(?<=[!-~\w])")
+_LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
+_CUT = re.compile(rf"(?<=[!-~\w])(?=[ \n]\w)|(?<=[{_LATIN}])(?=[.,])")
+_JOINS = re.compile(r"[ \n]\w(?s:.*)(?<=[!-~\w])|[ \n]\w")
+_LEAD = " a"  # stands before a stretch that does not begin with a blank
 
 
 def byte_letters() -> dict[str, int]:
@@ -75,13 +80,15 @@ class Aligner:
         # Groups' text, token by token: an id and what follows it, inside its side of a group and at its end.
         self.spelt = [x + end for n, ends in ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;")) for end in ends for x in map(str, range(n))]
         self.spelt_size = np.array([len(x) for x in self.spelt])
-        # A piece with a blank inside could reach over the end of a stretch.
-        self.cuts = not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
-        self.forget()
-
-    def forget(self) -> None:
-        self.seen: dict[str, int] = {}
-        self.counts, self.texts, self.links = [], [], []  # of stretch k; counts None: bytes differ
+        # A piece of B that reaches over the end of a stretch would forbid stretches, and so would another pattern of A.
+        over = re.compile(rf"[^▁]▁|.\n|[{_LATIN}][.,]", re.S)
+        first = json.loads(self.a.to_str())
+        self.cuts = (
+            not any(over.search(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())) and first["normalizer"] is None
+            and all(first["pre_tokenizer"].get(k) == v for k, v in (("type", "ByteLevel"), ("add_prefix_space", False), ("use_regex", True))))
+        # Stretches seen of late, and those seen before: (tokens of A, of B, groups, groups' text, links), None: bytes differ.
+        self.seen: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
 
     @staticmethod
     def _ends(start: np.ndarray, end: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -103,7 +110,7 @@ class Aligner:
         if b"".join(map(self.a_bytes.__getitem__, a_list)) != whole or b"".join(map(self.b_bytes.__getitem__, b_list)) != whole:
             return None
         a, b = np.array(a_list, np.int64), np.array(b_list, np.int64)
-        spans = np.array(coded.offsets, np.int64)
+        spans = np.fromiter(chain.from_iterable(coded.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
         if len(whole) != len(text):  # characters to bytes
             raw = np.frombuffer(whole, np.uint8)
             spans = np.append(np.flatnonzero(raw & 0xC0 != 0x80), len(raw))[spans]
@@ -114,16 +121,17 @@ class Aligner:
         return a, b, a_end, b_end, np.intersect1d(a_end, b_end, assume_unique=True)
 
     def _learn(self, parts: list[str]) -> None:
-        """Remembers stretches that may lie next to each other."""
-        text = "".join(parts)
-        got = self._align(text)
-        if got is None and len(parts) > 1:
-            self._learn(parts[: len(parts) // 2])
-            self._learn(parts[len(parts) // 2 :])
+        """Remembers stretches that may follow one another; the first begins with a blank."""
+        got = self._align("".join(parts))
+        if got is None and len(parts) > 2:
+            for half in (parts[: len(parts) // 2], parts[len(parts) // 2 :]):
+                self._learn(half if half[0][0] == " " else [_LEAD, *half])
             return
         if got is None:
-            self.seen[text] = len(self.counts)
-            self.counts.append(None); self.texts.append(""); self.links.append(b"")
+            self.seen[parts[-1]] = None
+            if len(parts) == 2 and parts[0] != _LEAD:
+                self._learn(parts[:1])
+                self._learn(parts[1:] if parts[1][0] == " " else [_LEAD, parts[1]])
             return
         a, b, a_end, b_end, shared = got
         at_a, at_b = np.searchsorted(shared, a_end), np.searchsorted(shared, b_end)  # groups
@@ -132,62 +140,54 @@ class Aligner:
         row = np.concatenate([a + len(self.a_bytes) * last_a, 2 * len(self.a_bytes) + b + len(self.b_bytes) * last_b])
         row = row[np.argsort(np.concatenate([2 * at_a, 2 * at_b + 1]), kind="stable")]
         spelt = "".join(map(self.spelt.__getitem__, row.tolist()))
-        if len(parts) == 1:
-            ends = np.array([a_end[-1]])
-        else:
-            ends = np.cumsum([len(p.encode()) for p in parts])
+        ends = np.cumsum([len(p.encode()) for p in parts])
         n_a, n_b, n = (np.searchsorted(x, ends, side="right") for x in (a_end, b_end, shared))
         written = np.append(0, np.cumsum(self.spelt_size[row]))[n_a + n_b].tolist()
         counts = np.diff(np.stack([n_a, n_b, n], axis=1), axis=0, prepend=0).tolist()
         from_text = from_link = 0
         for part, count, upto, to_link in zip(parts, counts, written, (8 * n).tolist()):
-            self.seen[part] = len(self.counts)
-            self.counts.append(count)
-            self.texts.append(spelt[from_text:upto])
-            self.links.append(links[from_link:to_link])
+            self.seen[part] = (*count, spelt[from_text:upto], links[from_link:to_link])
             from_text, from_link = upto, to_link
 
     def _learn_all(self, parts: list[str]) -> None:
-        joined, size = [], 0
+        joined, size = [_LEAD], 0
         for part in parts:
             if not _JOINS.fullmatch(part):
-                self._learn([part])
+                self._learn([part] if part[0] == " " else [_LEAD, part])
                 continue
             joined.append(part)
             size += len(part)
             if size >= _JOINED:
                 self._learn(joined)
-                joined, size = [], 0
-        if joined:
+                joined, size = [_LEAD], 0
+        if size:
             self._learn(joined)
 
     def align(self, values: list[str | None]) -> list[tuple | None]:
         """For each text (tokens of A, tokens of B, groups, groups' text, links' codes); None: no tokens."""
         if len(self.seen) > _REMEMBERED:
-            self.forget()
+            self.seen, self.before = {}, self.seen
+        seen, before = self.seen, self.before
         cut = [(_CUT.split(" " + v) if self.cuts else [" " + v]) if v else [] for v in values]
-        self._learn_all([p for p in dict.fromkeys(p for parts in cut for p in parts) if p not in self.seen])
-        out = []
+        new = [p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in seen]
+        seen |= {p: before[p] for p in new if p in before}
+        self._learn_all([p for p in new if p not in before])
+        out, long = [], [p for p in new if len(p) > 200]  # long ones hardly come again
         for value, parts in zip(values, cut):
-            rows = [self.seen[p] for p in parts]
-            counts = [self.counts[k] for k in rows]
-            if None in counts and len(parts) > 1:  # the stretches differ; the text as a whole decides
+            found = list(map(seen.__getitem__, parts))
+            if None in found and len(parts) > 1:  # the stretches differ; the text as a whole decides
                 whole = " " + value
-                if whole not in self.seen:
+                if whole not in seen:
                     self._learn([whole])
-                rows = [self.seen[whole]]
-                counts = [self.counts[rows[0]]]
-            if not rows or None in counts:
+                    long.append(whole)
+                found = [seen[whole]]
+            if not found or None in found:
                 out.append(None)
                 continue
-            n_a, n_b, n = map(sum, zip(*counts))
-            out.append((n_a, n_b, n, "".join(map(self.texts.__getitem__, rows))[:-1],
-                        np.frombuffer(b"".join(map(self.links.__getitem__, rows)), np.int64)))
-        if any(len(p) > 200 for parts in cut for p in parts):  # long ones hardly come again
-            for p in [p for parts in cut for p in parts if len(p) > 200]:
-                k = self.seen.pop(p, None)
-                if k is not None:
-                    self.counts[k], self.texts[k], self.links[k] = None, "", b""
+            n_a, n_b, n, texts, links = zip(*found)
+            out.append((sum(n_a), sum(n_b), sum(n), "".join(texts)[:-1], np.frombuffer(b"".join(links), np.int64)))
+        for p in long:
+            seen.pop(p, None)
         return out
 
 
