@@ -109,12 +109,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signatures_sql(text: str) -> str:
-    spaced = f"' ' || regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g') || ' '"
-    marked = f"regexp_replace({spaced}, ' ({'|'.join(spotsigs.ANCHORS)}) ', '|\\1', 'g')"
-    chains = f"list_transform(string_split({marked}, '|'), lambda x: regexp_extract(x, '^[^ ]*(?: +[^ ]+){{1,{spotsigs.CHAIN}}}', 0))"
-    hashed = f"list_transform(list_filter({chains}, lambda x: x <> ''), lambda x: substr(md5(x), 1, 8))"
-    whole = f"CASE WHEN trim({spaced}) = '' THEN [] ELSE [substr(md5({spaced}), 1, 8)] END"
-    return f"list_sort(list_distinct(CASE WHEN len({hashed}) = 0 THEN {whole} ELSE {hashed} END))"
+    listed, chosen = (", ".join(f"'{x}'" for x in xs) for xs in (spotsigs.ANCHORS, spotsigs.CHOSEN))
+    words = f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    marked = f"list_transform({words}, lambda w: CASE WHEN w IN ({listed}) OR substr(md5(w), 1, 1) IN ({chosen}) THEN '|' || w ELSE w END)"
+    chains = f"list_transform(string_split(array_to_string({marked}, ' '), '|'), lambda x: rtrim(x, ' '))"
+    return f"list_sort(list_distinct(list_transform(list_filter({chains}, lambda x: x <> ''), lambda x: substr(md5(x), 1, 8))))"
 
 
 _SPOTSIGS_SQL = f"""

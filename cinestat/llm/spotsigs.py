@@ -1,10 +1,12 @@
-"""SpotSigs fingerprints in DataFrame functions: content words that follow common words.
+"""SpotSigs fingerprints in DataFrame functions: content words that follow anchors.
 
-Every common word (anchor) of a text, and its beginning, opens a chain: the next content
-words up to the following anchor, ``chain`` at most.  A signature is the anchor with its
-chain, hashed; a text's fingerprint is the ascending set of its signatures, eight hexadecimal
-digits each.  Anchors are frequent everywhere, so every part of a running text has some,
-while boilerplate made of names and numbers has few.
+An anchor opens a chain: itself and the words up to the next anchor.  A signature is a chain,
+hashed; a text's fingerprint is the ascending set of its signatures, eight hexadecimal digits
+each.  Common words are anchors.  They are frequent in running text and rare in tables, lists
+and languages that the list does not know, so the text itself gives further ones: of all
+words, those whose own hash begins with one of four of the sixteen digits.  Every word lies
+in a chain (what comes before the first anchor is one too), and as anchors depend on words
+alone, a change touches the chains around it only.
 
 Likeness of two fingerprints is the Jaccard index of their sets.  Sets of sizes ``a <= b``
 cannot be more alike than ``a / b``, so a comparison with a threshold skips pairs by size
@@ -27,19 +29,17 @@ ANCHORS = (
     "le la les et de du un une que qui dans pour pas sur est avec par au "
     "el los las y en es por con para se no su al lo como más del"
 ).split()
-CHAIN = 2
+CHOSEN = "0123"  # first digits of the hashes of words that are anchors everywhere
 MOST_RANGES = 100_000
 
 
-def signatures(text: Column, anchors: list[str] | tuple[str, ...] = tuple(ANCHORS), chain: int = CHAIN) -> Column:
-    """Ascending distinct signatures of a text; null counts as empty and has none."""
-    spaced = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
-    marked = F.regexp_replace(spaced, f" ({'|'.join(anchors)}) ", "|$1")
-    chains = F.transform(F.split(marked, r"\|"), lambda x: F.regexp_extract(x, r"^[^ ]*(?: +[^ ]+){1,%d}" % chain, 0))
-    hashed = F.transform(F.filter(chains, lambda x: x != ""), lambda x: F.substring(F.md5(x), 1, 8))
-    # A text of nothing but anchors is its own signature.
-    whole = F.when(F.trim(spaced) == "", F.array().cast("array<string>")).otherwise(F.array(F.substring(F.md5(spaced), 1, 8)))
-    return let(hashed, lambda h: F.array_sort(F.array_distinct(F.when(F.size(h) == 0, whole).otherwise(h))))
+def signatures(text: Column, anchors: list[str] | tuple[str, ...] = tuple(ANCHORS), chosen: str = CHOSEN) -> Column:
+    """Ascending distinct signatures of a text; null counts as empty, and a text without words has none."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    opens = lambda w: w.isin(*anchors) | F.substring(F.md5(w), 1, 1).isin(*chosen)
+    marked = F.array_join(F.transform(words, lambda w: F.when(opens(w), F.concat(F.lit("|"), w)).otherwise(w)), " ")
+    chains = F.filter(F.split(marked, r" ?\|"), lambda x: x != "")
+    return F.array_sort(F.array_distinct(F.transform(chains, lambda x: F.substring(F.md5(x), 1, 8))))
 
 
 def jaccard(a: Column, b: Column, at_least: float = 0.0) -> Column:
