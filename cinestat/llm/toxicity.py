@@ -23,14 +23,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinestat.llm.common import derived
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 _WORD_ROWS, _CHAR_ROWS, _BYTES = 1 << 13, 1 << 15, 24
 _words = re.compile(r"[^\W\d_]+").findall
 _CACHE = 200_000
 
 
+def _pieces(word: str) -> list[str]:
+    """A word in pieces of at most ``_BYTES`` bytes, each overlapping the next by half: none of its bytes goes unread."""
+    size = len(word.encode("utf-8", "surrogatepass"))
+    if size <= _BYTES:
+        return [word]
+    n = _BYTES // max(len(c.encode("utf-8", "surrogatepass")) for c in word)
+    return [word[i : i + n] for i in range(0, max(1, len(word) - n // 2), n // 2)]
+
+
 def words_of(text: str | None) -> list[str]:
-    return _words(text.lower()) if isinstance(text, str) else []
+    """Runs of letters, lower-cased; long ones (in scripts without blanks whole sentences) in pieces."""
+    if not isinstance(text, str):
+        return []
+    words = _words(text.lower())
+    if max(map(len, words), default=0) <= _BYTES // 4:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= _BYTES // 4 else _pieces(w))]
 
 
 def windows(n: int) -> list[int]:
