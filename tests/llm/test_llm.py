@@ -408,10 +408,27 @@ def test_spotsig_pairs(spark):
     assert {(r["a"], r["b"]) for r in spotsigs.near_pairs(df).collect()} == want and want
 
 
-def test_near_dedup_stage_equals_brute_force(spark, sf):
+def near_by_brute_force(rows):
+    """Smallest numbers of the groups that five-word Jaccard >= 0.8 links."""
     def likeness(a, b):
         return len(a & b) / max(1, len(a | b))
 
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {b""})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and likeness(sets[i], sets[j]) >= 0.8:
+                root = [root[j] if x == root[i] else x for x in root]
+    least = defaultdict(list)
+    for (number, _), r in zip(rows, root):
+        least[r].append(number)
+    return sorted(min(x) for x in least.values())
+
+
+def test_near_dedup_stage_equals_brute_force(spark, sf):
     rng = random.Random(17)
     v = [f"n{i:03d}" for i in range(800)]
     base = [prose(rng, 120, v).split() for _ in range(12)]
@@ -425,20 +442,8 @@ def test_near_dedup_stage_equals_brute_force(spark, sf):
             rows.append((10 * i + k, " ".join(other)))
     real = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 5000").select((F.col("doc_id") + 1000).alias("doc_id"), "text")
     rows += [tuple(r) for r in real.collect()]
-    sets = []
-    for _, text in rows:
-        w = (text or "").encode().lower().split()
-        sets.append({b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {b""})
-    root = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if root[i] != root[j] and likeness(sets[i], sets[j]) >= 0.8:
-                root = [root[j] if x == root[i] else x for x in root]
-    least = defaultdict(list)
-    for (number, _), r in zip(rows, root):
-        least[r].append(number)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = sorted(min(x) for x in least.values())
+    want = near_by_brute_force(rows)
     assert sorted(r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, sf).collect()) == want
     assert sorted(r["doc_id"] for r in near_copies.representatives(df, bucket_rows=2).collect()) == want
 
@@ -447,12 +452,45 @@ def test_pipeline(spark, sf):
     assert len(corpus_pipeline.STAGES) == 5
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
-    once = stages["near_dedup"](spark, docs, sf)
-    groups = queries.QUERIES["op9_simhash_groups"](spark, sf).select("component_id").distinct()
-    assert sorted(r["doc_id"] for r in once.collect()) == sorted(r[0] for r in groups.collect())
+    once = sorted(r["doc_id"] for r in stages["near_dedup"](spark, docs, sf).collect())
+    assert once == near_by_brute_force([(r["doc_id"], r["text"]) for r in docs.collect()])
     mixed = stages["mixing"](spark, docs, sf).groupBy("source").agg(F.sum(mixing.words()).alias("words"))
     want = mixing.mix(docs).groupBy("source").agg(F.first("target").alias("target"), F.max("size").alias("longest"))
     for r in mixed.join(want, "source").collect():
         assert abs(r["words"] - r["target"]) <= r["longest"] / 2
     out = corpus_pipeline.run(spark, sf).toPandas()
     assert out.groupby("sequence_id").length.sum().max() <= 4096
+
+
+def test_every_word_counts_in_a_spotsig_fingerprint(spark):
+    rng = random.Random(12)
+    v = [f"q{i:04d}" for i in range(3000)]  # no common word among them
+    a, b = prose(rng, 300, v).split(), prose(rng, 300, v).split()
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(50))
+    texts = [" ".join(["alpha", "beta", *a]), " ".join(["alpha", "beta", *b]), " ".join(["alpha", "beta", *a[:150], *b[150:]]), " ".join(a),
+             " ".join(a[:200] + ["other"] + a[201:]), han, han[:-1] + "x", "the the of", "solo solo", "", None, "!? --"]
+    got = {r["doc_id"]: r["fingerprint"] for r in spotsigs.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = {k: {f[i : i + 8] for i in range(0, len(f), 8)} for k, f in got.items()}
+    like = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
+    assert len(sets[0]) > 50 and like(0, 1) < 0.1 and 0.25 < like(0, 2) < 0.45 and like(0, 3) > 0.9 and like(3, 4) > 0.9
+    assert got[5] != got[6] and got[7] and got[8] and got[9] == got[10] == got[11] == ""
+    for at in range(0, 300, 13):  # a change anywhere shows
+        changed = spark.createDataFrame([(0, " ".join(a[:at] + ["changed"] + a[at + 1 :]))], "doc_id long, text string")
+        assert spotsigs.classes(changed).first()["fingerprint"] != got[3]
+
+
+def test_long_words_are_read_whole():
+    assert toxicity.words_of("Short words, häßliche too") == ["short", "words", "häßliche", "too"]
+    long = "donaudampfschifffahrtsgesellschaftskapitänsmütze"
+    for word in (long, "漢" * 5 + "字" * 40, "ไ" * 33, "x" * 25, "𐐨" * 9):
+        pieces = toxicity.words_of(word)
+        assert len(pieces) > 1 and all(len(p.encode()) <= 24 for p in pieces)
+        held, rest = pieces[0], pieces[1:]
+        for p in rest:  # each goes on where half of the one before lies
+            k = next(k for k in range(len(p), 0, -1) if held.endswith(p[:k]))
+            held += p[k:]
+        assert set(word) == set(held) and len(pieces) * 24 >= len(word.encode())
+    a, b = (toxicity.features(toxicity.words_of("w" * 24 + x)) for x in ("one", "two"))
+    assert any((x != y).any() for x, y in zip(a, b))
+    starts = toxicity.windows(500)
+    assert all(y - x <= toxicity.WINDOW // 2 for x, y in zip(starts, starts[1:])) and starts[-1] == 500 - toxicity.WINDOW
