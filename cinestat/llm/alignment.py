@@ -40,7 +40,7 @@ _LONGS = ArrayType(LongType())
 _PAIRS = ArrayType(StructType().add("code", LongType()).add("times", LongType()))
 _END = attrgetter("end")
 _NONE = np.empty(0, np.int64)
-_REMEMBERED = 300_000  # stretches
+_REMEMBERED = 100_000  # stretches of each of two generations, some 50 MB
 _JOINED = 1 << 16  # characters of stretches that are encoded in one call
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _CUT = re.compile(rf"(?<=[!-~\w])(?=[ \n]\w)|(?<=[{_LATIN}])(?=[.,])")
