@@ -494,3 +494,73 @@ def test_long_words_are_read_whole():
     assert any((x != y).any() for x, y in zip(a, b))
     starts = toxicity.windows(500)
     assert all(y - x <= toxicity.WINDOW // 2 for x, y in zip(starts, starts[1:])) and starts[-1] == 500 - toxicity.WINDOW
+
+
+def lines_by_brute_force(rows):
+    """Every text without the line pairs that another document, or an earlier place, holds; by bytes."""
+    def pairs_of(text):
+        split = (text or "").split("\n")
+        at = [i for i, x in enumerate(split) if x.strip()]
+        return split, [(i, j, split[i] + "\n" + split[j]) for i, j in zip(at, at[1:]) if len(split[i]) + len(split[j]) >= lines.LEAST_CHARS]
+
+    owners, times = defaultdict(list), defaultdict(int)
+    for number, text in rows:
+        for _, _, p in pairs_of(text)[1]:
+            owners[p].append(number)
+            times[p] += 1
+    out = []
+    for number, text in rows:
+        split, found = pairs_of(text)
+        going, staying, seen = set(), set(), set()
+        for i, j, p in found:
+            known = [x for x in owners[p] if x is not None]
+            if times[p] < 2:
+                continue
+            if known and min(known) != number or p in seen:
+                going |= {i, j}
+            else:
+                staying |= {i, j}
+                seen.add(p)
+        going -= staying
+        left = [i for i, x in enumerate(split) if x.strip() and i not in going]
+        body = [i for i, x in enumerate(split) if x.strip()]
+        keep = []
+        for i, x in enumerate(split):
+            if x.strip():
+                if i not in going:
+                    keep.append(x)
+            else:
+                before = max((k for k in body if k < i), default=None)
+                after = min((k for k in body if k > i), default=None)
+                if not going or not ((before is None or before in going) and (after is None or after in going)):
+                    keep.append(x)
+        out.append((number, text if not going else "\n".join(keep)))
+        assert going or len(left) == len(body)
+    return sorted(out, key=str)
+
+
+def test_line_dedup_equals_brute_force(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rng = random.Random(21)
+    v = [f"v{i}" for i in range(400)]
+    p = [prose(rng, 8, v) for _ in range(12)]
+    rows += [(10_000 + i, "\n".join([prose(rng, 8, v), *p[i % 4 : i % 4 + 2 + i % 5], "", prose(rng, 8, v)])) for i in range(40)]
+    rows += [(None, "\n".join(p[:4])), (20_000, f"\n\n{p[0]}\n\n \n{p[1]}\n"), (20_001, f"{p[0]}\n\n{p[1]}\n\nown line of mine"), (20_002, "\n".join([p[5]] * 6)),
+             (20_003, "\n".join([*p[5:8], *p[5:8], "end"])), (20_004, "a\nb\nc"), (20_005, "a\nb\nc"), (20_006, "\n\n"), (20_007, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lines.dedup(df)
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == lines_by_brute_force(rows)
+
+
+def test_short_passages_are_found(spark):
+    rng = random.Random(22)
+    v = [f"v{i}" for i in range(5000)]
+    rows, shared = [], {}
+    for i in range(300):
+        own = [[prose(rng, 9, v) for _ in range(rng.randrange(1, 7))] for _ in range(4)]
+        passage = [prose(rng, 9, v) for _ in range(2 + i % 4)]
+        rows += [(2 * i, "\n".join(own[0] + passage + own[1])), (2 * i + 1, "\n".join(own[2] + passage + own[3]))]
+        shared[2 * i + 1] = passage, own[2] + own[3]
+    out = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert out[i] == (text if i % 2 == 0 else "\n".join(shared[i][1]))
