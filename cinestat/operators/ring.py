@@ -135,3 +135,19 @@ def smoothed_totals(df: DataFrame, frame: str, value: str) -> DataFrame:
     before = F.coalesce(F.lag("total").over(w), F.lead("total").over(w))
     after = F.coalesce(F.lead("total").over(w), F.lag("total").over(w))
     return totals.select(frame, "total", (0.25 * before + 0.5 * F.col("total") + 0.25 * after).alias("smooth"))
+
+
+def smoothed_grid(df: DataFrame, keys: list[str], row: str, frame: str, value: str, out: str = "smooth") -> DataFrame:
+    """``value`` of a (row, frame) grid per key under (1/4, 1/2, 1/4) both ways.
+
+    Frames are cyclic, rows are mirrored at both ends (the first row's neighbour above is the
+    second); a single row or frame stays as it is.  Along frames rows are placed by key and
+    row, along rows by key and frame: no placement gathers a whole grid.  Neighbours are by
+    order, so missing frames and rows close up.
+    """
+    around = 0.25 * previous(value, [*keys, row], frame) + 0.5 * F.col(value) + 0.25 * following(value, [*keys, row], frame)
+    cyclic = df.withColumn("__c", around)
+    w = Window.partitionBy(*keys, frame).orderBy(row)
+    above, below = F.lag("__c").over(w), F.lead("__c").over(w)
+    mirrored = 0.25 * F.coalesce(above, below, "__c") + 0.5 * F.col("__c") + 0.25 * F.coalesce(below, above, "__c")
+    return cyclic.withColumn(out, mirrored).drop("__c")

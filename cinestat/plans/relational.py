@@ -354,6 +354,29 @@ def frame_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("day", F.round("total", 8).alias("total"), F.round("smooth", 8).alias("smooth"))
 
 
+@query(
+    "smoothed_volume_grid",
+    """WITH d AS (SELECT event_type, user_id AS seq, day(ts)::INTEGER AS day, avg(value) AS v FROM events GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY event_type, seq ORDER BY day) - 1 AS i, count(*) OVER (PARTITION BY event_type, seq) AS n FROM d),
+    m AS (SELECT a.event_type, a.seq, a.day, a.i, a.n, list_sort(list(b.v))[3] AS v FROM n a
+      CROSS JOIN (VALUES (-2), (-1), (0), (1), (2)) o(k) JOIN n b ON b.event_type = a.event_type AND b.seq = a.seq AND b.i = (a.i + o.k + 5 * a.n) % a.n
+      GROUP BY a.event_type, a.seq, a.day, a.i, a.n),
+    c AS (SELECT a.event_type, a.seq, a.day, a.v, 0.25e0 * p.v + 0.5e0 * a.v + 0.25e0 * q.v AS c FROM m a
+      JOIN m p ON p.event_type = a.event_type AND p.seq = a.seq AND p.i = (a.i + a.n - 1) % a.n
+      JOIN m q ON q.event_type = a.event_type AND q.seq = a.seq AND q.i = (a.i + 1) % a.n),
+    s AS (SELECT *, 0.25e0 * coalesce(lag(c) OVER w, lead(c) OVER w, c) + 0.5e0 * c + 0.25e0 * coalesce(lead(c) OVER w, lag(c) OVER w, c) AS s
+      FROM c WINDOW w AS (PARTITION BY event_type, day ORDER BY seq))
+    SELECT event_type, day, count(*) AS rows, round(sum(v), 6) AS total, round(sum(s), 6) AS smooth FROM s GROUP BY event_type, day""",
+)
+def smoothed_volume_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running medians of every series, smoothed along days and across series, summed by day."""
+    days = table(spark, sf_dir, "events").groupBy("event_type", F.col("user_id").alias("seq"), F.dayofmonth("ts").alias("day")).agg(F.avg("value").alias("v"))
+    medians = ring.rolling_median(days, ["event_type", "seq"], "day", "v").withColumnRenamed("smooth", "v")
+    grid = ring.smoothed_grid(medians, ["event_type"], "seq", "day", "v", "s")
+    sums = grid.groupBy("event_type", "day").agg(F.count("*").alias("rows"), F.sum("v").alias("total"), F.sum("s").alias("smooth"))
+    return sums.select("event_type", "day", "rows", F.round("total", 6).alias("total"), F.round("smooth", 6).alias("smooth"))
+
+
 @query(
     "area_pivot",
     "WITH " + DAILY_SQL + " SELECT user_id, "
