@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -119,6 +120,15 @@ def slic_distance(nc: float, ns: float) -> Distance:
     return distance
 
 
+def _settled(before: DataFrame, after: DataFrame, id_: str) -> bool:
+    """Whether both rounds have the same centres (means of the same pixels may differ in the last digit)."""
+    values = [c for c in after.columns if c not in (id_, "c")]
+    old = before.select(F.col(id_).alias("id_o"), F.col("c").alias("c_o"), *[F.col(v).alias(f"{v}_o") for v in values])
+    met = after.join(old, (F.col(id_) == F.col("id_o")) & (F.col("c") == F.col("c_o")), "full")
+    far = [F.coalesce(F.abs(F.col(v) - F.col(f"{v}_o")) > 1e-12, F.lit(True)) for v in values]
+    return met.where(reduce(lambda a, b: a | b, far)).isEmpty()
+
+
 def _rounds(
     pixels: DataFrame, centres: DataFrame, id_: str, cell: int, reach: float, distance: Distance,
     update: Callable[[DataFrame, str], DataFrame], iterations: int, cut_every: int,
@@ -127,11 +137,13 @@ def _rounds(
 
     The pixels of a round are cached and the few centres written: writing them fills
     the cache in the same job and keeps the plan from mentioning a round twice.  The
-    pixels themselves are cut every few rounds.
+    pixels themselves are cut every few rounds.  Rounds end early once no centre of any
+    image moves: all further ones would give the same.
     """
     order = [id_, "gx", "gy"]
     state = settle(place_pixels(pixels, id_, cell, centres))
     for i in range(iterations - 1):
+        before = centres
         nxt = assign(state, centres, id_, cell, reach, distance)
         if (i + 1) % cut_every == 0:
             nxt = cut_lineage(nxt).repartition(*order).sortWithinPartitions(*order)
@@ -139,6 +151,8 @@ def _rounds(
         centres = cut_lineage(update(nxt, id_))
         state.unpersist()
         state = nxt
+        if i > 2 and _settled(before, centres, id_):
+            break
     if iterations:
         state = assign(state, centres, id_, cell, reach, distance)
     return state.select(id_, "y", "x", "v", F.coalesce("hit.c", F.lit(-1)).alias("label"))

@@ -44,6 +44,8 @@ def _slic_step(k: int) -> str:
 
 
 SLIC = {"superpixels": 16, "nc": 0.2, "radius": 1}
+ROUNDS, ADAPTIVE_ROUNDS = 25, 10
+SLIC_SQL = ", ".join(_slic_step(k) for k in range(1, ROUNDS + 1))
 
 
 @query("slic_seeds", f"WITH {SEEDS_SQL} SELECT vec_id, c::INTEGER AS c, round(color, 6) AS color, cx, cy FROM c0")
@@ -54,32 +56,32 @@ def slic_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "slic_superpixels",
-    f"WITH {SEEDS_SQL}, {_slic_step(1)}, {_slic_step(2)}, {_slic_step(3)}, {_slic_step(4)} SELECT vec_id, y, x, label FROM l4",
+    f"WITH {SEEDS_SQL}, {SLIC_SQL} SELECT vec_id, y, x, label FROM l{ROUNDS}",
 )
 def slic_superpixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sp.slic(images(spark, sf_dir), "vec_id", "px", 8, 8, iterations=4, **SLIC)
+    out = sp.slic(images(spark, sf_dir), "vec_id", "px", 8, 8, iterations=ROUNDS, **SLIC)
     return out.select("vec_id", "y", "x", "label")
 
 
 @query(
     "superpixel_means",
-    f"""WITH {SEEDS_SQL}, {_slic_step(1)}
-    SELECT vec_id, label, round(avg(v), 6) AS mean, count(*) AS n FROM l1 GROUP BY ALL""",
+    f"""WITH {SEEDS_SQL}, {SLIC_SQL}
+    SELECT vec_id, label, round(avg(v), 6) AS mean, count(*) AS n FROM l{ROUNDS} GROUP BY ALL""",
 )
 def superpixel_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sp.slic(images(spark, sf_dir), "vec_id", "px", 8, 8, iterations=1, **SLIC)
+    out = sp.slic(images(spark, sf_dir), "vec_id", "px", 8, 8, iterations=ROUNDS, **SLIC)
     return sp.cluster_means(out, "vec_id").withColumn("mean", F.round("mean", 6))
 
 
 @query(
     "superpixel_contours",
-    f"""WITH {SEEDS_SQL}, {_slic_step(1)}
-    SELECT a.vec_id, a.x, a.y, count(*) FILTER (a.label != b.label) AS differing FROM l1 a JOIN l1 b
+    f"""WITH {SEEDS_SQL}, {SLIC_SQL}
+    SELECT a.vec_id, a.x, a.y, count(*) FILTER (a.label != b.label) AS differing FROM l{ROUNDS} a JOIN l{ROUNDS} b
     ON a.vec_id = b.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY a.vec_id, a.x, a.y
     HAVING count(*) FILTER (a.label != b.label) >= 2""",
 )
 def superpixel_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sp.slic(images(spark, sf_dir), "vec_id", "px", 8, 8, iterations=1, **SLIC)
+    out = sp.slic(images(spark, sf_dir), "vec_id", "px", 8, 8, iterations=ROUNDS, **SLIC)
     return sp.contour_pixels(out, "vec_id")
 
 
@@ -101,10 +103,10 @@ def _slico_step(k: int) -> str:
     c0 AS (SELECT vec_id, b.i * 3 + a.i AS c, v AS color, a.p::DOUBLE AS cx, b.p::DOUBLE AS cy, 1.1754944e-38 AS maxc
       FROM spot a, spot b JOIN px ON px.x = a.p AND px.y = b.p),
     l0 AS (SELECT vec_id, y, x, v, -1 AS label, NULL::DOUBLE AS color, NULL::DOUBLE AS maxc FROM px),
-    {_slico_step(1)}, {_slico_step(2)}, {_slico_step(3)} SELECT vec_id, y, x, label FROM l3""",
+    {', '.join(_slico_step(k) for k in range(1, ADAPTIVE_ROUNDS + 1))} SELECT vec_id, y, x, label FROM l{ADAPTIVE_ROUNDS}""",
 )
 def slico_superpixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sp.slico(images(spark, sf_dir), "vec_id", "px", 8, 8, region=3, iterations=3)
+    out = sp.slico(images(spark, sf_dir), "vec_id", "px", 8, 8, region=3, iterations=ADAPTIVE_ROUNDS)
     return out.select("vec_id", "y", "x", "label")
 
 
