@@ -101,8 +101,11 @@ def curvature(u: Stack, eta: float = 1e-8) -> Stack:
 def chan_vese(
     a: Stack, init: Stack, *, steps: int = 1000, dt: float = 1.0, mu: float = 0.5, nu: float = 0.0,
     lambda1: float = 1.0, lambda2: float = 1.0, eps: float = 1.0, tol: float = 1e-3,
-) -> Stack:
-    """Two-region level set; every image stops on its own once its update is small."""
+) -> tuple[Stack, np.ndarray]:
+    """Two-region level set; every image stops on its own once its update is small.
+
+    Also tells for each image whether it did so within ``steps``.
+    """
     u = np.broadcast_to(init, a.shape).astype(float).copy()
     stop = tol * np.sqrt((a**2).sum(axis=(1, 2)))
     active = np.arange(len(a))
@@ -118,7 +121,13 @@ def chan_vese(
         active = active[moving]
         if not len(active):
             break
-    return u
+    return u, ~np.isin(np.arange(len(a)), active)
+
+
+def with_flag(result: tuple[Stack, np.ndarray]) -> np.ndarray:
+    """Images and a flag for each as rows: the flag comes last, as 0 or 1."""
+    images, flags = result
+    return np.concatenate([images.reshape(len(images), -1), flags[:, None]], axis=1)
 
 
 def gaussian_kernel(size: int, sigma: float = 2.0) -> np.ndarray:
@@ -135,8 +144,11 @@ def local_contrast(a: Stack, size: int = 9, threshold: float = 1e-4) -> Stack:
     return (a - convolve(a, g)) / np.maximum(np.maximum(floor, norm), threshold)
 
 
-def tv_denoise(a: Stack, weight: float = 0.1, eps: float = 2e-4, max_steps: int = 200) -> Stack:
-    """Total-variation smoothing by dual projection; every image stops on its own."""
+def tv_denoise(a: Stack, weight: float = 0.1, eps: float = 2e-4, max_steps: int = 200) -> tuple[Stack, np.ndarray]:
+    """Total-variation smoothing by dual projection; every image stops on its own.
+
+    Also tells for each image whether it did so within ``max_steps``.
+    """
     out = a.copy()
     p = np.zeros((2, *a.shape))
     first, before = np.zeros(len(a)), np.zeros(len(a))
@@ -165,4 +177,4 @@ def tv_denoise(a: Stack, weight: float = 0.1, eps: float = 2e-4, max_steps: int
         active = active[going]
         if not len(active):
             break
-    return out
+    return out, ~np.isin(np.arange(len(a)), active)

@@ -6,7 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from cinestat.functions.bind import let
+from cinestat.functions.geometry import rotation_about
+from cinestat.operators.pixels import warp_affine
 
 
 def seeded_map(
@@ -109,3 +113,55 @@ def random_crop(w: int, h: int) -> Callable:
         return img[y : y + h, x : x + w]
 
     return kernel
+
+
+def drawn(seed: int, key: Column, k: int) -> Column:
+    """Number in [0, 1) that the seed, a row's key and ``k`` decide."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit(str(k))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def drawn_int(seed: int, key: Column, k: int, low: int, high: int) -> Column:
+    """Whole number from ``low`` up to, not including, ``high``."""
+    return F.floor(drawn(seed, key, k) * (high - low)) + low
+
+
+def affine_of(
+    px: Column, key: Column, width: int, height: int, seed: int, zoom: float = 1.6, stretch: float = 1.3, shear: int = 40, move: int = 10,
+) -> Column:
+    """An image under a zoom, stretch, rotation, shear, shift and mirroring around its centre, drawn by its key."""
+    s = F.exp((2 * drawn(seed, key, 0) - 1) * F.log(F.lit(stretch)))
+    z = F.exp((2 * drawn(seed, key, 1) - 1) * F.log(F.lit(zoom)))
+    r, k = F.radians(drawn_int(seed, key, 2, 0, 360)), F.radians(drawn_int(seed, key, 3, -shear, shear))
+    t = [drawn_int(seed, key, 4 + i, -move, move) for i in range(2)]
+    values = {"s": s, "z": z, "r": r, "k": k, "tx": t[0], "ty": t[1], "mirror": drawn(seed, key, 6) < 0.5}
+
+    def warped(v: Column) -> Column:
+        sx, sy = v["s"] / v["z"], 1 / (v["z"] * v["s"])
+        a, b = sx * F.cos(v["r"]), -sy * F.sin(v["r"] + v["k"])
+        c, d = sx * F.sin(v["r"]), sy * F.cos(v["r"] + v["k"])
+        cx, cy = width / 2 - 0.5, height / 2 - 0.5
+        moved = [v["tx"] + cx - a * cx - b * cy, v["ty"] + cy - c * cx - d * cy]
+        det = a * d - b * c
+        back = [[d / det, -b / det], [-c / det, a / det]]
+        rows = [[m, n, -(m * moved[0] + n * moved[1])] for m, n in back]
+        # Mirrored: pixel x of the result is pixel width - 1 - x.
+        rows = [[F.when(v["mirror"], -m).otherwise(m), n, F.when(v["mirror"], o + m * (width - 1)).otherwise(o)] for m, n, o in rows]
+        named = F.struct(*[e.alias(f"e{i}{j}") for i, row in enumerate(rows) for j, e in enumerate(row)])
+        return let(named, lambda e: warp_affine(px, width, height, [[e[f"e{i}{j}"] for j in range(3)] for i in range(2)], width, height))
+
+    return let(F.struct(*[v.alias(n) for n, v in values.items()]), warped)
+
+
+def rotated_of(px: Column, key: Column, width: int, height: int, seed: int, most: int) -> Column:
+    """An image turned around its centre by whole degrees below ``most`` either way, drawn by its key."""
+    angle = drawn_int(seed, key, 0, -most, most).cast("double")
+    turn = rotation_about(angle, F.lit(width / 2 - 0.5), F.lit(height / 2 - 0.5))
+    return warp_affine(px, width, height, turn, width, height)
+
+
+def shifted_of(px: Column, key: Column, width: int, height: int, seed: int, h_range: float, w_range: float) -> Column:
+    """An image moved by whole pixels, by up to a share of its size, drawn by its key; zero comes in."""
+    dx, dy = (((2 * drawn(seed, key, k) - 1) * share * n).cast("int") for k, share, n in ((0, w_range, width), (1, h_range, height)))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    return warp_affine(px, width, height, [[one, zero, -dx], [zero, one, -dy]], width, height)

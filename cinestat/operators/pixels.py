@@ -156,6 +156,41 @@ def resize_bilinear(px: Column, width: int, height: int, out_w: int, out_h: int)
     return let(px, resampled)
 
 
+def warp_affine(px: Column, width: int, height: int, inverse: list[list[Column]], out_w: int, out_h: int) -> Column:
+    """Image whose pixel (x, y) is the source at ``inverse (x, y, 1)``, bilinear, zero outside.
+
+    The matrix (2x3) is made of columns: every row of the table is warped in its own way,
+    inside the JVM.  A NULL image, or a NULL in the matrix, gives NULL.
+    """
+    names = [f"m{i}{j}" for i in range(2) for j in range(3)]
+    cells = [c.cast("double") for row in inverse for c in row]
+    bound = F.struct(px.alias("px"), *[c.alias(n) for c, n in zip(cells, names)])
+
+    def one(t: Column, i: Column) -> Column:
+        x, y = F.pmod(i, F.lit(out_w)), F.floor(i / out_w)
+        at = F.struct(*[(t[f"m{k}0"] * x + t[f"m{k}1"] * y + t[f"m{k}2"]).alias(n) for k, n in enumerate("xy")])
+
+        def sample(a: Column) -> Column:
+            low = {c: F.floor(a[c]).cast("int") for c in "xy"}
+
+            def tap(dx: int, dy: int) -> Column:
+                u, v = low["x"] + dx, low["y"] + dy
+                inside = (u >= 0) & (u < width) & (v >= 0) & (v < height)
+                wx = a["x"] - low["x"] if dx else 1 - (a["x"] - low["x"])
+                wy = a["y"] - low["y"] if dy else 1 - (a["y"] - low["y"])
+                return F.when(inside, F.get(t["px"], v * width + u) * wx * wy).otherwise(0.0)
+
+            return tap(0, 0) + tap(1, 0) + tap(0, 1) + tap(1, 1)
+
+        return let(at, sample)
+
+    known = cells[0].isNotNull()
+    for c in cells[1:]:
+        known = known & c.isNotNull()
+    return F.when(px.isNotNull() & known, let(bound, lambda t: F.transform(
+        F.sequence(F.lit(0), F.lit(out_w * out_h - 1)), lambda i: one(t, i))))
+
+
 def five_crops(px: Column, width: int, height: int, size: int) -> Column:
     """The four corner crops and the centre crop, as an array of images."""
     right, low = width - size, height - size

@@ -254,17 +254,24 @@ def local_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _filtered(spark, sf_dir, stencils.local_contrast)
 
 
+def _flagged(spark: SparkSession, sf_dir: str, kernel: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Pixels of all images after a filter that ends by itself, and whether it did so within its steps."""
+    out = stencils.map_images(images(spark, sf_dir).select("vec_id", "px"), "px", lambda a: stencils.with_flag(kernel(a)), 8, "out")
+    flag = (F.element_at("out", -1) > 0).alias("converged")
+    one = out.select("vec_id", flag, F.slice("out", 1, 64).alias("out"))
+    return one.select("vec_id", "converged", F.posexplode("out").alias("i", "v")).select(
+        "vec_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), F.round("v", 6).alias("v"), "converged")
+
+
 @query("level_set_regions")
 def level_set_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inside or outside of a level set that starts as a disc and runs until it settles, 1,000 steps at most."""
     yy, xx = np.mgrid[0:8, 0:8]
     disc = 3.0 - np.hypot(yy - 3.5, xx - 3.5)
-    def kernel(a: np.ndarray) -> np.ndarray:
-        return stencils.chan_vese(a, disc, steps=60, mu=0.2, lambda1=4.0, lambda2=4.0)
-
-    p = _filtered(spark, sf_dir, kernel)
-    return p.select("vec_id", "y", "x", (F.col("v") > 0).alias("inside"))
+    p = _flagged(spark, sf_dir, lambda a: stencils.chan_vese(a, disc, mu=0.2, lambda1=4.0, lambda2=4.0))
+    return p.select("vec_id", "y", "x", (F.col("v") > 0).alias("inside"), "converged")
 
 
 @query("tv_denoise")
 def tv_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _filtered(spark, sf_dir, lambda a: stencils.tv_denoise(a, 0.1))
+    return _flagged(spark, sf_dir, lambda a: stencils.tv_denoise(a, 0.1))

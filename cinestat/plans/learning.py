@@ -151,12 +151,6 @@ def shape_regression_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", shapes.polygon_area(F.col("pts")).alias("area"), "pts")
 
 
-@query("augmented_images")
-def augmented_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = augment.seeded_map(images(spark, sf_dir), "vec_id", "px", 8, augment.affine((8, 8)), 42)
-    return px_ops.explode_pixels(a, "vec_id", "px", 8)
-
-
 @query(
     "latest_by_rounded_point",
     """
