@@ -41,6 +41,27 @@ def empirical_cdf(df: DataFrame, keys: list[str], value: str, n_bins: int = cdf.
     return steps.select(*keys, F.inline(emitted))
 
 
+def empirical_cdf_arrays(df: DataFrame, keys: list[str], value: str, n_bins: int = cdf.BINS) -> DataFrame:
+    """The same distribution as one array ``p`` per key, without a row per bin.
+
+    A key sends its occupied bins and their counts (``n_bins + 1`` pairs at most); the array
+    is written stretch by stretch from them.
+    """
+    capped = F.greatest(F.least(F.ceil(value), F.lit(n_bins)), F.lit(0)).cast("int")
+    counts = df.groupBy(*keys, capped.alias("b")).agg(F.count("*").alias("n"))
+    held = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("b", "n"))).alias("steps"), F.sum("n").alias("total"))
+
+    def state(seen: Column, at: Column, out: Column) -> Column:
+        return F.struct(seen.alias("seen"), at.alias("at"), out.alias("out"))
+
+    def upto(acc: Column, b: Column) -> Column:
+        return F.concat(acc["out"], F.array_repeat(acc["seen"] / F.col("total"), b - acc["at"]))
+
+    start = state(F.lit(0).cast("long"), F.lit(0), F.array().cast("array<double>"))
+    step = lambda acc, e: state(acc["seen"] + e["n"], e["b"], upto(acc, e["b"]))
+    return held.select(*keys, F.aggregate("steps", start, step, lambda acc: upto(acc, F.lit(n_bins))).alias("p"))
+
+
 def pmf(long: DataFrame, keys: list[str]) -> DataFrame:
     """First difference along the bins (the first bin has no predecessor and is dropped)."""
     w = Window.partitionBy(*keys).orderBy("bin")

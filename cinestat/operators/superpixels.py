@@ -151,7 +151,7 @@ def _rounds(
         centres = cut_lineage(update(nxt, id_))
         state.unpersist()
         state = nxt
-        if i > 2 and _settled(before, centres, id_):
+        if i % 4 == 3 and _settled(before, centres, id_):
             break
     if iterations:
         state = assign(state, centres, id_, cell, reach, distance)

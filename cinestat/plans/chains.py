@@ -37,10 +37,9 @@ def study_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     studies = days.groupBy("user_id", target.alias("target")).agg(F.collect_list("mu").alias("mus"))
     share = F.transform(cdf.bins(), lambda j: F.size(F.filter("mus", lambda m: m <= j)).cast("double") / F.size("mus"))
     own = studies.where(F.size("mus") >= LEAST_DAYS).select(F.col("user_id").alias("study"), "target", cdf.running_max(share).alias("p"))
-    long = own.select("study", "target", F.posexplode("p").alias("bin", "p"))
-    fallback = long.groupBy("target", "bin").agg(F.avg("p").alias("p"))
+    bins = own.select("target", F.posexplode("p").alias("bin", "p")).groupBy("target", "bin").agg(F.avg("p").alias("p"))
     template = studies.select(F.col("user_id").alias("study"), "target")
-    out = submission.fill_template(template, long, fallback)
+    out = submission.fill_template(template, own, submission.to_arrays(bins, ["target"]))
     return out.select("id", "missed", F.posexplode("p").alias("bin", "p")).select("id", "bin", F.round("p", 5).alias("p"), "missed")
 
 

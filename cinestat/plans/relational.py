@@ -138,13 +138,12 @@ def submission_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     template = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("study"), targets.alias("target"))
     target = F.when(F.col("event_id") % 2 == 0, "Diastole").otherwise("Systole")
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("study"), target.alias("target"), "value")
-    own = histograms.empirical_cdf(ev, ["study", "target"], "value")
-    fallback = histograms.empirical_cdf(ev, ["target"], "value")
+    own = histograms.empirical_cdf_arrays(ev, ["study", "target"], "value")
+    fallback = histograms.empirical_cdf_arrays(ev, ["target"], "value")
     rows = fill_template(template, own, fallback)
-    long = rows.select("id", "missed", F.posexplode("p").alias("bin", "q"))
-    return long.groupBy("id", "missed").agg(
-        F.round(F.sum("q"), 6).alias("total"), F.round(F.sum(F.col("q") * F.col("bin")), 4).alias("weighted")
-    )
+    total = F.aggregate("p", F.lit(0.0), lambda s, q: s + q)
+    weighted = F.aggregate(F.transform("p", lambda q, j: q * j), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("id", "missed", F.round(total, 6).alias("total"), F.round(weighted, 4).alias("weighted"))
 
 
 @query(

@@ -21,14 +21,13 @@ def to_arrays(long: DataFrame, keys: list[str]) -> DataFrame:
 def fill_template(template: DataFrame, own: DataFrame, fallback: DataFrame) -> DataFrame:
     """Left join of the template with predictions; misses take the fallback of their target.
 
-    ``template(study, target)``, ``own(study, target, bin, p)``, ``fallback(target, bin, p)``.
-    The fallback has one array per target and is read as a scalar map.  Values are
-    rounded by the writer only.
+    ``template(study, target)``, ``own(study, target, p)``, ``fallback(target, p)``, with one
+    array per key (``to_arrays`` makes them of long bins).  The fallback has one row per
+    target and is read as a scalar map.  Values are rounded by the writer only.
     """
-    pairs = to_arrays(fallback, ["target"])
-    default = pairs.agg(F.map_from_entries(F.collect_list(F.struct("target", "p"))).alias("m")).scalar()
+    default = fallback.agg(F.map_from_entries(F.collect_list(F.struct("target", "p"))).alias("m")).scalar()
     # Ids are narrow, but each becomes 600 values.
-    joined = spread(template, "study", "target").join(to_arrays(own, ["study", "target"]), ["study", "target"], "left")
+    joined = spread(template, "study", "target").join(own, ["study", "target"], "left")
     return joined.select(
         F.concat_ws("_", F.col("study").cast("string"), "target").alias("id"),
         "study", "target", F.col("p").isNull().alias("missed"),
