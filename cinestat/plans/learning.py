@@ -99,10 +99,34 @@ def _large(spark: SparkSession, sf_dir: str, side: int = 32) -> DataFrame:
     return big.select("vec_id", "label", px_ops.resize_bilinear(F.col("px"), 8, 8, side, side).alias("px"))
 
 
-@query("gradient_histograms")
+_HOG_SQL = f"""{PX_SQL}, mm AS (SELECT *, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS r FROM px WINDOW w AS (PARTITION BY vec_id)),
+    ax AS (SELECT o, greatest((o + 0.5e0) / 4 - 0.5e0, 0) AS c FROM (SELECT unnest(range(32)) AS o)),
+    k AS (SELECT o, floor(c) AS c0, least(floor(c) + 1, 7) AS c1, c - floor(c) AS f FROM ax),
+    wide AS (SELECT vec_id, y, k.o AS x, sum(r * (CASE WHEN mm.x = c0 THEN 1 - f ELSE 0 END + CASE WHEN mm.x = c1 THEN f ELSE 0 END)) AS v
+      FROM mm JOIN k ON mm.x = c0 OR mm.x = c1 GROUP BY vec_id, y, k.o),
+    big AS MATERIALIZED (SELECT vec_id, k.o AS y, x, sum(v * (CASE WHEN wide.y = c0 THEN 1 - f ELSE 0 END + CASE WHEN wide.y = c1 THEN f ELSE 0 END)) AS v
+      FROM wide JOIN k ON wide.y = c0 OR wide.y = c1 GROUP BY vec_id, k.o, x),
+    -- The gradient at an edge is 0: both neighbours are the same pixel, mirrored.
+    gr AS (SELECT vec_id, y, x, CASE WHEN x IN (0, 31) THEN 0 ELSE lead(v) OVER h - lag(v) OVER h END AS gx,
+      CASE WHEN y IN (0, 31) THEN 0 ELSE lead(v) OVER u - lag(v) OVER u END AS gy FROM big
+      WINDOW h AS (PARTITION BY vec_id, y ORDER BY x), u AS (PARTITION BY vec_id, x ORDER BY y)),
+    po AS (SELECT vec_id, y, x, sqrt(gx * gx + gy * gy) AS m, (CASE WHEN atan2(gy, gx) < 0 THEN atan2(gy, gx) + pi() ELSE atan2(gy, gx) END) * 9 / pi() - 0.5e0 AS p FROM gr),
+    vo AS (SELECT vec_id, y, x, (floor(p)::INTEGER + 18 + o.o) % 9 AS bin, m * CASE WHEN o.o = 0 THEN 1 - (p - floor(p)) ELSE p - floor(p) END AS v FROM po, (VALUES (0), (1)) o(o)),
+    bl AS (SELECT vec_id, i, j, y - 8 * i AS ty, x - 8 * j AS tx, bin, v FROM vo, (SELECT unnest(range(3)) AS i) bi, (SELECT unnest(range(3)) AS j) bj
+      WHERE y BETWEEN 8 * i AND 8 * i + 15 AND x BETWEEN 8 * j AND 8 * j + 15),
+    sh AS (SELECT vec_id, i, j, bin, v * exp(-((ty - 7.5e0) * (ty - 7.5e0) + (tx - 7.5e0) * (tx - 7.5e0)) / 32) AS v,
+      least(greatest(1 - ((ty + 0.5e0) / 8 - 0.5e0), 0), 1) AS fy, least(greatest(1 - ((tx + 0.5e0) / 8 - 0.5e0), 0), 1) AS fx FROM bl),
+    ce AS (SELECT vec_id, i, j, a.a * 18 + b.b * 9 + bin AS slot, sum(v * CASE WHEN a.a = 0 THEN fy ELSE 1 - fy END * CASE WHEN b.b = 0 THEN fx ELSE 1 - fx END) AS v
+      FROM sh, (VALUES (0), (1)) a(a), (VALUES (0), (1)) b(b) GROUP BY ALL),
+    n1 AS (SELECT * REPLACE (least(v / (sqrt(sum(v * v) OVER w) + 3.6e0), 0.05e0) AS v) FROM ce WINDOW w AS (PARTITION BY vec_id, i, j)),
+    n2 AS (SELECT * REPLACE (v / (sqrt(sum(v * v) OVER w) + 1e-3) AS v) FROM n1 WINDOW w AS (PARTITION BY vec_id, i, j))
+    SELECT vec_id, ((i * 3 + j) * 36 + slot)::INTEGER AS i, round(v, 6) AS v FROM n2"""
+
+
+@query("gradient_histograms", f"WITH {_HOG_SQL}")
 def gradient_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = hog.descriptors(_large(spark, sf_dir).select("vec_id", "px"), "px", "d")
-    return d.select("vec_id", F.posexplode("d").alias("i", "v"))
+    return d.select("vec_id", F.posexplode("d").alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
 @query("window_detector")
