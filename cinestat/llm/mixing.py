@@ -114,7 +114,8 @@ def mix(
         now = kept(_filled(now, last=k == passes - 1))
         now = now.withColumn("taken_by_chance", F.col("taken_by_chance") | F.col("take"))
         if k < passes - 1:
-            got = now.where("take").groupBy(F.col("group").alias("g")).agg(F.sum("size").alias("got"))
+            # Written first, so that Spark knows it to be small and does not deal the rows by source to join it.
+            got = kept(now.where("take").groupBy(F.col("group").alias("g")).agg(F.sum("size").alias("got")))
             now = now.join(got, F.col("group") == F.col("g"), "left").withColumn(
                 "rest", missing - F.coalesce("got", F.lit(0))).drop("g", "got")
             now = now.withColumn("open", F.col("open") & ~F.col("taken_by_chance") & (

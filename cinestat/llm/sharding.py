@@ -21,19 +21,34 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cinestat.llm.common import gapless
+from cinestat.operators.keyed import attach_group
+from cinestat.operators.ranking import global_row_number
 from cinestat.session import kept
 
 _BINS = 2048
 
 
-def ordinal(df: DataFrame, column: str) -> Column:
-    """A long that orders like the column: numbers by value, anything else by its first bytes; null is -1."""
-    c = F.col(f"`{column}`")
-    if dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint"):
-        bound = 1 << 61  # differences must fit a long
-        return F.coalesce(F.greatest(F.least(c.cast("long"), F.lit(bound)), F.lit(-bound)), F.lit(-1))
-    head = F.rpad(F.hex(F.substring(c.cast("string").cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1)).cast("long")
+_WHOLE = ("tinyint", "smallint", "int", "bigint")
+_BOUND = 1 << 61  # differences must fit a long
+_BROADCAST = 200_000  # ranks of a dimension; beyond, they are joined by value
+
+
+def with_ordinal(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds a long that orders like ``column``, null where it is null.
+
+    Whole numbers stand for themselves.  Anything else (text, fractions, times) is replaced by
+    the rank of its value among all different ones, in the type's own order: common
+    prefixes and magnitudes say nothing then.
+    """
+    if dict(df.dtypes)[column] in _WHOLE:
+        return df.withColumn(out, F.greatest(F.least(F.col(column).cast("long"), F.lit(_BOUND)), F.lit(-_BOUND)))
+    some = df.where(F.col(column).isNotNull())
+    values = some.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("rows_of_value"))
+    ranks = kept(global_row_number(values, ["value"], out).withColumn(out, F.col(out).cast("long")))
+    if ranks.count() <= _BROADCAST:
+        return df.join(F.broadcast(ranks.drop("rows_of_value")), F.col(column) == F.col("value"), "left").drop("value")
+    known = attach_group(some.withColumn("value", F.col(column)), ranks, ["value"], "rows_of_value").drop("value")
+    return known.unionByName(df.where(F.col(column).isNull()).withColumn(out, F.lit(None).cast("long")))
 
 
 def _few(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
@@ -135,14 +150,21 @@ def shard(
 
     ``size`` is the text's UTF-8 bytes plus one (null: none, so one; its checksum is that of
     no bytes).  Copies take the least metadata among them.  Dimensions that the table lacks
-    are left out; without any, the text's hash alone orders.  An empty table gives no rows.
+    are left out; without any, the text's hash alone orders.  A null in a dimension lies
+    before all values.  An empty table gives no rows.
     """
     raw = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     dims = [d for d in dims if d in docs.columns]
+    # A row's own number tells rows apart that have none (it is written, so it stays the same).
     rows = kept(docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-        F.xxhash64(raw).alias("t"), *[ordinal(docs, d).alias(f"d{k}") for k, d in enumerate(dims)]))
+        F.xxhash64(raw).alias("t"), F.monotonically_increasing_id().alias("row"), *[F.col(f"`{d}`").alias(f"v{k}") for k, d in enumerate(dims)]))
+    for k in range(len(dims)):
+        rows = with_ordinal(rows, f"v{k}", f"d{k}").drop(f"v{k}")
     names = [f"d{k}" for k in range(len(dims))] or ["h0"]
+    if dims:
+        least = rows.agg(*[F.min(n).alias(n) for n in names]).first()
+        rows = kept(rows.withColumns({n: F.coalesce(n, F.lit(-1 if least[n] is None else least[n] - 1).cast("long")) for n in names}))
     group = ["t", "size", "text_crc32"]
 
     def units_of(df: DataFrame) -> DataFrame:
@@ -162,7 +184,7 @@ def shard(
             docs.sparkSession, [(*r[:3], math.ceil(2 * r["bytes"] / most), *r[4:]) for r in large],
             ", ".join(["t bigint, size bigint, text_crc32 bigint, parts int", *[f"g_{n} bigint" for n in held]]))
         # Parts share the group's metadata and lie next to each other in hash order: in as few shards as can hold them.
-        part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")
+        part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.col("parts"))).cast("int")
         rows = kept(rows.drop("part").join(F.broadcast(parts), group, "left").withColumns(
             {"part": part} | {n: F.coalesce(f"g_{n}", n) for n in held}).drop("parts", *[f"g_{n}" for n in held]))
         units = kept(units_of(rows))
@@ -172,5 +194,5 @@ def shard(
         units, nodes = _split(units, names, nodes, extent)
     placed = rows.join(units.select(*[F.col(c).alias(f"u_{c}") for c in (*group, "part")], F.col("node").alias("shard")),
         (F.col("t") == F.col("u_t")) & (F.col("size") == F.col("u_size")) & (F.col("text_crc32") == F.col("u_text_crc32")) & (F.col("part") == F.col("u_part")))
-    placed = kept(placed.select("doc_id", "size", "text_crc32", "shard"))
-    return gapless(placed, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot")
+    placed = kept(placed.select("doc_id", "size", "text_crc32", "shard", F.when(F.col("doc_id").isNull(), F.col("row")).alias("row")))
+    return gapless(placed, ["shard"], [F.col(c) for c in ("doc_id", "text_crc32", "size", "row")], "slot").drop("row")
