@@ -181,7 +181,7 @@ def shard(
     large = units.where(F.col("bytes") > most).select(*group, "bytes", *held).collect()
     if large:
         parts = _few(
-            docs.sparkSession, [(*r[:3], math.ceil(2 * r["bytes"] / most), *r[4:]) for r in large],
+            docs.sparkSession, [(*r[:3], math.ceil(8 * r["bytes"] / most), *r[4:]) for r in large],
             ", ".join(["t bigint, size bigint, text_crc32 bigint, parts int", *[f"g_{n} bigint" for n in held]]))
         # Parts share the group's metadata and lie next to each other in hash order: in as few shards as can hold them.
         part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.coalesce("doc_id", "row")), F.col("parts"))).cast("int")
