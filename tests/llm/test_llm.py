@@ -564,3 +564,29 @@ def test_short_passages_are_found(spark):
     out = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i, text in rows:
         assert out[i] == (text if i % 2 == 0 else "\n".join(shared[i][1]))
+
+
+def test_shards_are_even_without_numbers_and_by_typed_order(spark):
+    rng = random.Random(30)
+    v = [f"s{i}" for i in range(500)]
+    copy = prose(rng, 150, v)
+    rows = [(None, copy if i % 2 else prose(rng, 150, v), rng.choice([None, "en", "de"]), f"https://example.org/{i % 40}", rng.choice([10.5, 2.5, 9.0, None])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars double")
+    got = sharding.shard(df).collect()
+    sizes, slots = defaultdict(int), defaultdict(list)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+    mean = sum(sizes.values()) / 16
+    assert len(got) == 3000 and len(sizes) == 16 and all(abs(x - mean) <= 0.05 * mean for x in sizes.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    told = sharding.with_ordinal(df.select("n_chars", "source"), "n_chars", "o").distinct().collect()
+    assert {r["n_chars"]: r["o"] for r in told} == {None: None, 2.5: 1, 9.0: 2, 10.5: 3}
+    many = sharding.with_ordinal(df.select("source"), "source", "o").distinct().collect()
+    assert [r["source"] for r in sorted(many, key=lambda r: r["o"])] == sorted({r[3] for r in rows})
+
+
+def test_ranks_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "_BROADCAST", 2)
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("b",), ("c",)], "x string")
+    assert sorted((str(r["x"]), r["o"]) for r in sharding.with_ordinal(df, "x", "o").collect()) == [("None", None), ("a", 1), ("b", 2), ("b", 2), ("c", 3)]
