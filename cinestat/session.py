@@ -56,7 +56,7 @@ def kept(df: DataFrame) -> DataFrame:
     Files stay as long as the folder's owner keeps them: a later read must find them.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # read once or twice: small beats fast
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
