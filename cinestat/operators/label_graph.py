@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cinestat.session import cut_lineage
+from cinestat.session import cut_lineage, kept
 
 Smooth = list[list[float]]
 
@@ -63,38 +64,14 @@ def propagate(
     edges: DataFrame, graph: str, smooth: Smooth, rounds: int, *, by_vertex: bool = False, cut_every: int = 10
 ) -> DataFrame:
     """``rounds`` of synchronous min-sum messages; adds the incoming message ``m0..``."""
-    n = len(smooth)
     place = [graph, "src"] if by_vertex else [graph]
-    state = edges.select("*", *[F.lit(0.0).alias(f"m{i}") for i in range(n)])
+    state = silent(edges, len(smooth))
     if not by_vertex:
         state = state.repartition(graph)
-    at_source = Window.partitionBy(graph, "src")
     for step in range(rounds):
         if by_vertex:
             state = state.repartition(*place)
-        # All messages into the source except the ones that came from the destination.
-        belief = state.select(
-            "*",
-            *[
-                (F.col(f"s{i}") + F.sum(F.col(f"m{i}") * F.col("times")).over(at_source)
-                 - F.col(f"m{i}") * F.col("times")).alias(f"h{i}")
-                for i in range(n)
-            ],
-        )
-        sent = belief.select(
-            "*",
-            *[
-                F.least(*[F.col(f"h{k}") + F.lit(float(smooth[k][j])) for k in range(n)]).alias(f"o{j}")
-                for j in range(n)
-            ],
-        )
-        low = F.least(*[F.col(f"o{j}") for j in range(n)])
-        state = sent.select(
-            graph, F.col("dst").alias("src"), F.col("src").alias("dst"), "times",
-            *[F.col(f"d{i}").alias(f"s{i}") for i in range(n)],
-            *[F.col(f"s{i}").alias(f"d{i}") for i in range(n)],
-            *[(F.col(f"o{j}") - low).alias(f"m{j}") for j in range(n)],
-        )
+        state = one_round(state, graph, smooth)
         if (step + 1) % cut_every == 0 and step + 1 < rounds:
             state = cut_lineage(state)
             if not by_vertex:
@@ -102,6 +79,40 @@ def propagate(
     return state
 
 
+def silent(edges: DataFrame, n: int) -> DataFrame:
+    """Edges before any message."""
+    return edges.select("*", *[F.lit(0.0).alias(f"m{i}") for i in range(n)])
+
+
+def one_round(state: DataFrame, graph: str, smooth: Smooth) -> DataFrame:
+    """Every edge's next message, from what has arrived at its source."""
+    n = len(smooth)
+    at_source = Window.partitionBy(graph, "src")
+    # All messages into the source except the ones that came from the destination.
+    belief = state.select(
+        "*",
+        *[
+            (F.col(f"s{i}") + F.sum(F.col(f"m{i}") * F.col("times")).over(at_source)
+             - F.col(f"m{i}") * F.col("times")).alias(f"h{i}")
+            for i in range(n)
+        ],
+    )
+    sent = belief.select(
+        "*",
+        *[
+            F.least(*[F.col(f"h{k}") + F.lit(float(smooth[k][j])) for k in range(n)]).alias(f"o{j}")
+            for j in range(n)
+        ],
+    )
+    low = F.least(*[F.col(f"o{j}") for j in range(n)])
+    return sent.select(
+        graph, F.col("dst").alias("src"), F.col("src").alias("dst"), "times",
+        *[F.col(f"d{i}").alias(f"s{i}") for i in range(n)],
+        *[F.col(f"s{i}").alias(f"d{i}") for i in range(n)],
+        *[(F.col(f"o{j}") - low).alias(f"m{j}") for j in range(n)],
+    )
+
+
 def _argmin(values: list[Column], labels: list[int]) -> Column:
     """Label of the smallest value; the label listed first wins ties."""
     best = F.array_min(
@@ -169,12 +180,59 @@ def until_no_gain(step: Callable[[int], tuple[DataFrame, DataFrame]], max_rounds
         best, last = labelled, total
 
 
+SOLVERS = ("belief", "modes")
+
+
+def settle_labels(
+    sites: DataFrame, edges: DataFrame, graph: str, labels: list[int], smooth: Smooth, *, solver: str = "belief", most_rounds: int = 1000,
+) -> DataFrame:
+    """``graph``, ``site``, ``label``, ``data_cost``, ``rounds``, ``converged``: each graph labelled until its energy stops falling.
+
+    A graph ends with the first round that leaves its energy as it was (``converged``) or,
+    from the second round on, raises it; the labels of that round are its result.  ``solver``
+    names what a round is: ``belief`` (one exchange of messages) or ``modes`` (one sweep over the
+    sites).  A graph that still falls after ``most_rounds`` has ``converged`` null.
+
+    What a round needs of the one before is carried along, not worked out again: messages, or
+    labels.  Graphs that ended leave the working set, so a round costs what still moves.
+    """
+    if solver not in SOLVERS:
+        raise ValueError(f"unknown solver {solver!r}; known are {', '.join(SOLVERS)}")
+    n = len(labels)
+    sites, edges = kept(sites), kept(edges)
+    now = initial_labels(sites, graph, labels)
+    last = kept(energy(now, edges, graph, labels, smooth))
+    state = kept(silent(with_costs(edges, sites, graph, n), n)) if solver == "belief" else kept(now)
+    ended: list[DataFrame] = []
+    for r in range(1, most_rounds + 1):
+        if solver == "belief":
+            state = kept(one_round(state.repartition(graph), graph, smooth))
+            now = kept(decide(sites, state, graph, labels))
+        else:
+            begun = sites.join(state.select(graph, "site", F.col("label").alias("start")), [graph, "site"])
+            now = state = kept(iterated_modes(begun, edges, graph, labels, smooth, 1))
+        fresh = energy(now, edges, graph, labels, smooth)
+        falls = last.select(graph, F.col("energy").alias("was")).join(fresh, graph)
+        same = F.col("energy") == F.col("was")
+        stops = same if r == 1 else F.col("energy") >= F.col("was")
+        last = kept(falls.select(graph, "energy", same.alias("converged"), (stops if r < most_rounds else F.lit(True)).alias("stops"), (F.col("energy") >= F.col("was")).alias("rests")))
+        flag = F.when(F.col("rests"), F.col("converged")).alias("converged")
+        ended.append(now.join(last.where("stops").select(graph, flag), graph).withColumn("rounds", F.lit(r)))
+        going = kept(last.where("not stops").select(graph))
+        if going.isEmpty():
+            break
+        last = last.where("not stops")
+        sites, edges, state = (df.join(going, graph, "left_semi") for df in (sites, edges, state))
+    return reduce(DataFrame.unionByName, ended).select(graph, "site", "label", "data_cost", "rounds", "converged")
+
+
 def iterated_modes(
     sites: DataFrame, edges: DataFrame, graph: str, labels: list[int], smooth: Smooth, rounds: int
 ) -> DataFrame:
     """Sequential site-by-site minimisation; its order makes a graph one unit of work.
 
-    A graph holds the pixels of one image.  Start labels are the cheapest ones.  A sweep in
+    A graph holds the pixels of one image.  Start labels are those in a column ``start``, or
+    else the cheapest ones.  A sweep in
     site order depends only on the neighbours before a site, so sites fall into levels (on a
     grid: anti-diagonals) whose members do not touch; all graphs of a batch advance level by
     level together, which gives exactly the result of going site by site.
@@ -183,7 +241,7 @@ def iterated_modes(
         F.collect_list(F.struct("dst", "times")).alias("near")
     )
     whole = sites.join(beside, [graph, "site"], "left").groupBy(graph).agg(
-        F.array_sort(F.collect_list(F.struct("site", "costs", "near"))).alias("sites")
+        F.array_sort(F.collect_list(F.struct("site", "costs", "near", (F.col("start") if "start" in sites.columns else F.lit(None).cast("int")).alias("start")))).alias("sites")
     )
     price_of = np.array(smooth, float)
 
@@ -208,6 +266,9 @@ def iterated_modes(
                 e = np.flatnonzero(level[src] == k)
                 steps.append((mine, np.searchsorted(mine, src[e]), dst[e], times[e, None]))
             cur = cost.argmin(1)
+            for j, (_, r) in enumerate(rows):
+                if r["start"] is not None:
+                    cur[j] = labels.index(r["start"])
             for _ in range(rounds):
                 for mine, of, other, weight in steps:
                     price = cost[mine]

@@ -215,6 +215,39 @@ def mrf_iterated_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mrf.iterated_modes(sites, edges, "vec_id", LABELS, SMOOTH, 3)
 
 
+#: Rounds that the twins lay out; every graph of the given tables ends before.
+MOST = 12
+
+
+def _settled_sql() -> str:
+    """Energies of every round by graph, and for each graph the round that it ends with."""
+    parts = [MRF_SQL, """
+    r0 AS (SELECT vec_id, site, l AS label, c AS data_cost FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, site ORDER BY c, pos) AS rn FROM cost) WHERE rn = 1)"""]
+    for k in range(1, MOST + 1):
+        parts += [_lbp_round(k), f"""
+    r{k} AS MATERIALIZED (SELECT vec_id, site, l AS label, c AS data_cost FROM (SELECT c.*, row_number() OVER (PARTITION BY c.vec_id, c.site ORDER BY c.c + i.m, c.pos) AS rn
+      FROM cost c JOIN (SELECT vec_id, d AS site, l, sum(2 * m) AS m FROM m{k} GROUP BY ALL) i USING (vec_id, site, l)) WHERE rn = 1)"""]
+    energies = " UNION ALL ".join(f"""SELECT vec_id, {k} AS r, sum(data_cost) + (SELECT sum(2 * w) FROM ed JOIN r{k} a ON a.site = ed.s JOIN r{k} b ON b.site = ed.d AND b.vec_id = a.vec_id
+      JOIN sm ON l1 = a.label AND l2 = b.label WHERE a.vec_id = o.vec_id) AS e FROM r{k} o GROUP BY vec_id""" for k in range(MOST + 1))
+    parts += [f"en AS MATERIALIZED ({energies})", """
+    st AS (SELECT vec_id, min(r) AS r FROM (SELECT *, lag(e) OVER (PARTITION BY vec_id ORDER BY r) AS was FROM en) WHERE r > 0 AND (e = was OR (r > 1 AND e >= was)) GROUP BY vec_id),
+    co AS (SELECT st.vec_id, st.r, a.e = b.e AS converged FROM st JOIN en a ON a.vec_id = st.vec_id AND a.r = st.r JOIN en b ON b.vec_id = st.vec_id AND b.r = st.r - 1)""",
+              "al AS (" + " UNION ALL ".join(f"SELECT *, {k} AS r FROM r{k}" for k in range(1, MOST + 1)) + ")"]
+    return ", ".join(parts)
+
+
+@query(
+    "mrf_settled",
+    f"""WITH {_settled_sql()} SELECT al.vec_id, site::INTEGER AS site, label, data_cost::DOUBLE AS data_cost, co.r::INTEGER AS rounds, converged
+    FROM al JOIN co ON co.vec_id = al.vec_id AND co.r = al.r""",
+)
+def mrf_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every image after as many rounds of messages as its energy falls."""
+    sites = _sites(spark, sf_dir)
+    edges = mrf.grid_edges(sites, "vec_id", 8, 8)
+    return mrf.settle_labels(sites, edges, "vec_id", LABELS, SMOOTH)
+
+
 def _filtered(spark: SparkSession, sf_dir: str, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """Pixels of all images after a stencil."""
     out = stencils.map_images(images(spark, sf_dir).select("vec_id", "px"), "px", kernel, 8, "out")

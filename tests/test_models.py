@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cinestat.functions import geometry as g
 from cinestat.models.boosting import Boosted, Tree, huber_boosting
-from cinestat.operators import augment, detections, pixels, ring
+from cinestat.operators import augment, detections, label_graph, pixels, ring
 
 
 def grown(x, y, trees, depth, rate, quantile, bins):
@@ -132,3 +132,38 @@ def test_grid_is_smoothed_both_ways(spark):
     want = 0.25 * p[:-2] + 0.5 * p[1:-1] + 0.25 * p[2:]
     assert all(np.isclose(got["k", i, j], v) for (i, j), v in np.ndenumerate(want))
     assert np.isclose(got["one", 1, 0], 0.25 * 3 + 0.25 * 1) and got["dot", 1, 1] == 2.5
+
+
+@pytest.mark.parametrize("solver", ["belief", "modes"])
+def test_labelling_ends_when_the_energy_rests(spark, solver):
+    labels, smooth = [1, 2, 0], label_graph.potts([1, 2, 0], 7.0, unknown=0)
+    rng = random.Random(5)
+    rows = [(k, s, [float(rng.randrange(40)) for _ in labels]) for k in range(6) for s in range(16)] + [(9, s, [0.0, 50.0, 60.0]) for s in range(16)]
+    sites = spark.createDataFrame(rows, "g int, site int, costs array<double>")
+    edges = label_graph.grid_edges(sites, "g", 4, 4)
+
+    def after(r):
+        if r == 0:
+            return label_graph.initial_labels(sites, "g", labels)
+        run = label_graph.belief_propagation if solver == "belief" else label_graph.iterated_modes
+        return run(sites, edges, "g", labels, smooth, r)
+
+    def energies(r):
+        return {x["g"]: x["energy"] for x in label_graph.energy(after(r), edges, "g", labels, smooth).collect()}
+
+    got = label_graph.settle_labels(sites, edges, "g", labels, smooth, solver=solver)
+    found = got.collect()
+    ends = {r["g"]: (r["rounds"], r["converged"]) for r in found}
+    assert len(found) == 7 * 16 and ends[9] == (1, True)
+    most = max(r for r, _ in ends.values())
+    e = [energies(r) for r in range(most + 1)]
+    for g, (r, converged) in ends.items():
+        want = next(k for k in range(1, most + 1) if e[k][g] == e[k - 1][g] or k > 1 and e[k][g] >= e[k - 1][g])
+        assert r == want and converged == (e[r][g] == e[r - 1][g])
+    for r in set(x for x, _ in ends.values()):
+        held = {(x["g"], x["site"]): x["label"] for x in after(r).collect()}
+        assert all(held[x["g"], x["site"]] == x["label"] for x in found if x["rounds"] == r)
+    cut = label_graph.settle_labels(sites, edges, "g", labels, smooth, solver=solver, most_rounds=1).collect()
+    assert len(cut) == 7 * 16 and {x["rounds"] for x in cut} == {1}
+    with pytest.raises(ValueError, match="unknown solver"):
+        label_graph.settle_labels(sites, edges, "g", labels, smooth, solver="cuts")
