@@ -305,6 +305,31 @@ def level_set_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("vec_id", "y", "x", (F.col("v") > 0).alias("inside"), "converged")
 
 
-@query("tv_denoise")
+def _each(body: str) -> str:
+    """A list over the 64 pixels; ``i`` counts from 0."""
+    return f"list_transform(range(64), lambda i: {body})"
+
+
+#: One step of the dual projection in lists, image by image, until the energy changes little.
+_TV_SQL = f"""
+    im AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS img FROM embeddings),
+    it AS (SELECT vec_id, 0 AS k, {_each('0e0')} AS p, {_each('0e0')} AS q, img AS cur, 0e0 AS e, 0e0 AS first, TRUE AS going FROM im
+      UNION ALL
+      SELECT vec_id, k + 1, {_each('(p[i + 1] - 0.25e0 * gx[i + 1]) / (1 + 2.5e0 * nm[i + 1])')}, {_each('(q[i + 1] - 0.25e0 * gy[i + 1]) / (1 + 2.5e0 * nm[i + 1])')},
+        now, en, CASE WHEN k = 0 THEN en ELSE first END, k = 0 OR abs(e - en) >= 2e-4 * first
+      FROM (SELECT *, (list_sum(list_transform(d, lambda v: v * v)) + 0.1e0 * list_sum(nm)) / 64 AS en
+        FROM (SELECT *, {_each('sqrt(gx[i + 1] * gx[i + 1] + gy[i + 1] * gy[i + 1])')} AS nm
+          FROM (SELECT *, {_each('CASE WHEN i < 56 THEN now[i + 9] - now[i + 1] ELSE 0e0 END')} AS gx, {_each('CASE WHEN i % 8 < 7 THEN now[i + 2] - now[i + 1] ELSE 0e0 END')} AS gy
+            FROM (SELECT *, {_each('img[i + 1] + d[i + 1]')} AS now
+              FROM (SELECT it.*, img, {_each('-p[i + 1] - q[i + 1] + CASE WHEN i >= 8 THEN p[i - 7] ELSE 0e0 END + CASE WHEN i % 8 > 0 THEN q[i] ELSE 0e0 END')} AS d
+                FROM it JOIN im USING (vec_id) WHERE going AND k < 200))))))
+"""
+
+
+@query(
+    "tv_denoise",
+    f"""WITH RECURSIVE {_TV_SQL}, f AS (SELECT vec_id, max_by(cur, k) AS cur, NOT max_by(going, k) AS converged FROM it GROUP BY vec_id)
+    SELECT vec_id, (i // 8)::INTEGER AS y, (i % 8)::INTEGER AS x, round(cur[i + 1], 6) AS v, converged FROM f CROSS JOIN (SELECT unnest(range(64)) AS i)""",
+)
 def tv_denoise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flagged(spark, sf_dir, lambda a: stencils.tv_denoise(a, 0.1))

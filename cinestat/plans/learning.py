@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinestat.functions import hog, shapes
 from cinestat.models import regress
-from cinestat.operators import augment, keyed, pixels as px_ops, ranking, shape_regression
+from cinestat.operators import detections, keyed, pixels as px_ops, ranking, shape_regression
 from cinestat.plans.geometry import PX_SQL, images
 from cinestat.plans.registry import query, table
 from cinestat.plans.tabular import phase_table
-from cinestat.session import cut_lineage
+from cinestat.session import cut_lineage, kept
 
 FOLDS_SQL = """
     k AS (SELECT o_orderkey, o_totalprice / 1000 AS y, o_custkey % 97 + o_totalprice / 2000 AS x FROM orders),
@@ -138,6 +138,15 @@ def window_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hog.detect(_large(spark, sf_dir, 40), "vec_id", "px", 40, weights, float(bias))
 
 
+@query("detected_regions")
+def detected_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows found in each image, overlapping ones grouped, and the group nearest to the image's middle."""
+    boxes = kept(window_detector(spark, sf_dir).withColumn("id", F.monotonically_increasing_id()))
+    all_images = images(spark, sf_dir).select("vec_id")
+    stored = all_images.where(F.lit(False)).select("vec_id", F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"))
+    return detections.locate(all_images, stored, boxes, "vec_id", 40.0, 40.0)
+
+
 @query(
     "ellipse_fit",
     f"""WITH {PX_SQL}, s AS (SELECT *, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) AS r FROM px
