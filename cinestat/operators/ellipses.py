@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cinestat.functions.linalg import solve_spd
 from cinestat.operators.keyed import HOT_ROWS, attach_group
 
-_EPS = 1e-8
+# The right side of the first stage, and what counts as zero in a conic.
+RIGHT, _EPS = 10_000.0, 1e-8
 _ORDERS = [(i, j) for i in range(5) for j in range(5 - i)]
 
 
@@ -78,7 +79,7 @@ def fit_ellipses(
         *_moments(F.col("x") - F.col("mx"), F.col("y") - F.col("my"), F.col("w") / F.col("mw")))
     rows = [(2, 0, -1), (0, 2, -1), (1, 1, -1), (1, 0, 1), (0, 1, 1)]
     matrix = [[F.col(f"m{a + c}{b + d}") * (s * u) for c, d, u in rows] for a, b, s in rows]
-    five = sums.withColumn("five", solve_spd(matrix, [F.col(f"m{a}{b}") * (10000.0 * s) for a, b, s in rows], ridge))
+    five = sums.withColumn("five", solve_spd(matrix, [F.col(f"m{a}{b}") * (RIGHT * s) for a, b, s in rows], ridge))
     a, b, c, d, e = (F.get("five", k) for k in range(5))
     # The centre's own system is not symmetric definite: its normal equations are, ridge included.
     centre = five.withColumn("centre", solve_spd(
