@@ -46,13 +46,18 @@ def grid_edges(sites: DataFrame, graph: str, width: int, height: int, doubled: i
     )
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that never gathers a side at the driver: files of kept rows are far smaller than the rows."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def with_costs(edges: DataFrame, sites: DataFrame, graph: str, n: int) -> DataFrame:
     """Attach the data costs of both ends as flat columns."""
     ends = []
     for end in ("src", "dst"):
         cols = [F.get("costs", i).alias(f"{end[0]}{i}") for i in range(n)]
         ends.append(sites.select(graph, F.col("site").alias(end), *cols))
-    return edges.join(ends[0], [graph, "src"]).join(ends[1], [graph, "dst"])
+    return _met(_met(edges, ends[0], [graph, "src"]), ends[1], [graph, "dst"])
 
 
 def integer_costs(costs: Column) -> Column:
@@ -127,7 +132,7 @@ def decide(sites: DataFrame, state: DataFrame, graph: str, labels: list[int]) ->
     sums = state.groupBy(graph, F.col("src").alias("site")).agg(
         *[F.sum(F.col(f"m{i}") * F.col("times")).alias(f"b{i}") for i in range(n)]
     )
-    joined = sites.join(sums, [graph, "site"], "left")
+    joined = _met(sites, sums, [graph, "site"], "left")
     totals = [F.get("costs", i) + F.coalesce(F.col(f"b{i}"), F.lit(0.0)) for i in range(n)]
     out = joined.select(graph, "site", "costs", _argmin(totals, labels).alias("label"))
     own = F.get("costs", F.array_position(F.array(*[F.lit(l) for l in labels]), F.col("label")).cast("int") - 1)
@@ -148,11 +153,11 @@ def energy(labelled: DataFrame, edges: DataFrame, graph: str, labels: list[int],
     costs = [F.lit(float(v)) for row in smooth for v in row]
     table = F.map_from_arrays(F.array(*entries), F.array(*costs))
     ends = [labelled.select(graph, F.col("site").alias(e), F.col("label").alias(f"l_{e}")) for e in ("src", "dst")]
-    pairs = edges.select(graph, "src", "dst", "times").join(ends[0], [graph, "src"]).join(ends[1], [graph, "dst"])
+    pairs = _met(_met(edges.select(graph, "src", "dst", "times"), ends[0], [graph, "src"]), ends[1], [graph, "dst"])
     price = F.element_at(table, F.struct(F.col("l_src").alias("a"), F.col("l_dst").alias("b")))
     smoothness = pairs.groupBy(graph).agg(F.sum(price * F.col("times")).alias("smoothness"))
     data = labelled.groupBy(graph).agg(F.sum("data_cost").alias("data"))
-    both = data.join(smoothness, graph, "left")
+    both = _met(data, smoothness, graph, "left")
     return both.select(graph, (F.col("data") + F.coalesce("smoothness", F.lit(0.0))).alias("energy"))
 
 
@@ -194,35 +199,41 @@ def settle_labels(
     sites).  A graph that still falls after ``most_rounds`` has ``converged`` null.
 
     What a round needs of the one before is carried along, not worked out again: messages, or
-    labels.  Graphs that ended leave the working set, so a round costs what still moves.
+    labels.  Graphs that ended leave the working set, so a round costs what still moves; sites
+    and edges are written anew once half of the graphs are gone, so that no plan grows by round.
     """
     if solver not in SOLVERS:
         raise ValueError(f"unknown solver {solver!r}; known are {', '.join(SOLVERS)}")
     n = len(labels)
-    sites, edges = kept(sites), kept(edges)
+    all_sites, all_edges = sites, edges = kept(sites), kept(edges)
     now = initial_labels(sites, graph, labels)
     last = kept(energy(now, edges, graph, labels, smooth))
     state = kept(silent(with_costs(edges, sites, graph, n), n)) if solver == "belief" else kept(now)
     ended: list[DataFrame] = []
+    held = last.count()
     for r in range(1, most_rounds + 1):
         if solver == "belief":
             state = kept(one_round(state.repartition(graph), graph, smooth))
             now = kept(decide(sites, state, graph, labels))
         else:
-            begun = sites.join(state.select(graph, "site", F.col("label").alias("start")), [graph, "site"])
+            begun = _met(sites, state.select(graph, "site", F.col("label").alias("start")), [graph, "site"])
             now = state = kept(iterated_modes(begun, edges, graph, labels, smooth, 1))
         fresh = energy(now, edges, graph, labels, smooth)
-        falls = last.select(graph, F.col("energy").alias("was")).join(fresh, graph)
+        falls = _met(last.select(graph, F.col("energy").alias("was")), fresh, graph)
         same = F.col("energy") == F.col("was")
         stops = same if r == 1 else F.col("energy") >= F.col("was")
         last = kept(falls.select(graph, "energy", same.alias("converged"), (stops if r < most_rounds else F.lit(True)).alias("stops"), (F.col("energy") >= F.col("was")).alias("rests")))
         flag = F.when(F.col("rests"), F.col("converged")).alias("converged")
-        ended.append(now.join(last.where("stops").select(graph, flag), graph).withColumn("rounds", F.lit(r)))
+        ended.append(_met(now, last.where("stops").select(graph, flag), graph).withColumn("rounds", F.lit(r)))
         going = kept(last.where("not stops").select(graph))
-        if going.isEmpty():
+        left = going.count()
+        if not left:
             break
         last = last.where("not stops")
-        sites, edges, state = (df.join(going, graph, "left_semi") for df in (sites, edges, state))
+        sites, edges, state = (_met(df, going, graph, "left_semi") for df in (all_sites, all_edges, state))
+        if 2 * left <= held:
+            all_sites, all_edges = sites, edges = kept(sites), kept(edges)
+            held = left
     return reduce(DataFrame.unionByName, ended).select(graph, "site", "label", "data_cost", "rounds", "converged")
 
 
