@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinestat.session import cut_lineage, kept
@@ -238,15 +239,16 @@ def settle_labels(
 
 
 def iterated_modes(
-    sites: DataFrame, edges: DataFrame, graph: str, labels: list[int], smooth: Smooth, rounds: int
+    sites: DataFrame, edges: DataFrame, graph: str, labels: list[int], smooth: Smooth, rounds: int, *, sites_at_once: int = 1 << 16,
 ) -> DataFrame:
     """Sequential site-by-site minimisation; its order makes a graph one unit of work.
 
     A graph holds the pixels of one image.  Start labels are those in a column ``start``, or
     else the cheapest ones.  A sweep in
     site order depends only on the neighbours before a site, so sites fall into levels (on a
-    grid: anti-diagonals) whose members do not touch; all graphs of a batch advance level by
-    level together, which gives exactly the result of going site by site.
+    grid: anti-diagonals) whose members do not touch; graphs of a batch advance level by
+    level together, as many as ``sites_at_once`` allows, which gives exactly the result of going
+    site by site.
     """
     beside = edges.groupBy(graph, F.col("src").alias("site")).agg(
         F.collect_list(F.struct("dst", "times")).alias("near")
@@ -256,40 +258,56 @@ def iterated_modes(
     )
     price_of = np.array(smooth, float)
 
-    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, r) for i, rs in enumerate(pdf["sites"]) for r in rs]
-            at = {(i, r["site"]): j for j, (i, r) in enumerate(rows)}
-            cost = np.array([r["costs"] for _, r in rows], float).reshape(len(rows), len(labels))
-            links = [(j, at[i, e["dst"]], e["times"]) for j, (i, r) in enumerate(rows) for e in (r["near"] if r["near"] is not None else ())]
-            src, dst = np.array([(a, b) for a, b, _ in links], int).reshape(-1, 2).T
-            times = np.array([t for *_, t in links], float)
-            level, before = np.zeros(len(rows), int), dst < src
-            while True:
-                deeper = level.copy()
-                np.maximum.at(deeper, src[before], level[dst[before]] + 1)
-                if (deeper == level).all():
-                    break
-                level = deeper
-            steps = []
-            for k in range(level.max(initial=-1) + 1):
-                mine = np.flatnonzero(level == k)
-                e = np.flatnonzero(level[src] == k)
-                steps.append((mine, np.searchsorted(mine, src[e]), dst[e], times[e, None]))
-            cur = cost.argmin(1)
-            for j, (_, r) in enumerate(rows):
-                if r["start"] is not None:
-                    cur[j] = labels.index(r["start"])
-            for _ in range(rounds):
-                for mine, of, other, weight in steps:
-                    price = cost[mine]
-                    np.add.at(price, of, weight * price_of[:, cur[other]].T)
-                    cur[mine] = price.argmin(1)
-            yield pd.DataFrame({
-                graph: pdf[graph].to_numpy()[[i for i, _ in rows]], "site": [r["site"] for _, r in rows],
-                "label": np.array(labels)[cur], "data_cost": cost[np.arange(len(rows)), cur],
-            })
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum([0, *batch.column("sites").value_lengths().fill_null(0).to_pylist()])
+            at = 0
+            while at < batch.num_rows:  # a bounded number of sites at once, one graph at least
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] + sites_at_once, side="right")) - 1)
+                yield swept(batch.slice(at, to - at))
+                at = to
+
+    def swept(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("sites")
+        of = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+        rows = lists.flatten()
+        site, near, start = rows.field("site"), rows.field("near"), rows.field("start")
+        cost = rows.field("costs").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), len(labels))
+        # Sites are in order within a graph; a row stands for the last one of its number.
+        src = np.repeat(np.arange(len(rows)), near.value_lengths().fill_null(0).to_numpy())
+        links = near.flatten()
+        to, times = links.field("dst"), links.field("times").to_numpy(zero_copy_only=False)
+        places = pd.MultiIndex.from_arrays([of, site.to_pandas()])
+        last = pd.Series(np.arange(len(rows)), places).groupby(level=[0, 1]).last()
+        dst = last.index.get_indexer(pd.MultiIndex.from_arrays([of[src], to.to_pandas()]))
+        if (dst < 0).any():
+            raise KeyError(f"an edge leads to a site that its graph does not have: {to[int(np.flatnonzero(dst < 0)[0])]}")
+        dst = last.to_numpy()[dst]
+        level, before = np.zeros(len(rows), int), dst < src
+        while True:
+            deeper = level.copy()
+            np.maximum.at(deeper, src[before], level[dst[before]] + 1)
+            if (deeper == level).all():
+                break
+            level = deeper
+        steps = []
+        for k in range(level.max(initial=-1) + 1):
+            mine = np.flatnonzero(level == k)
+            e = np.flatnonzero(level[src] == k)
+            steps.append((mine, np.searchsorted(mine, src[e]), dst[e], times[e, None]))
+        cur = cost.argmin(1)
+        begun = start.fill_null(labels[0]).to_numpy()
+        given = np.flatnonzero(start.is_valid().to_numpy(zero_copy_only=False))
+        cur[given] = [labels.index(x) for x in begun[given]]
+        for _ in range(rounds):
+            for mine, here, other, weight in steps:
+                price = cost[mine]
+                np.add.at(price, here, weight * price_of[:, cur[other]].T)
+                cur[mine] = price.argmin(1)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(graph).take(pa.array(of)), site, pa.array(np.array(labels, "int32")[cur]), pa.array(cost[np.arange(len(rows)), cur])],
+            [graph, "site", "label", "data_cost"])
 
     kind = dict(sites.dtypes)
     out = f"{graph} {kind[graph]}, site {kind['site']}, label int, data_cost double"
-    return whole.mapInPandas(sweep, out)
+    return whole.mapInArrow(sweep, out)
