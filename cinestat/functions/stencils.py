@@ -14,13 +14,16 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 Stack = np.ndarray
 
+# Pixels of a stack that a kernel gets at once: what it works out is some ten times as large.
+STACK_PIXELS = 1 << 18
+
 
 def map_images(df: DataFrame, px: str, kernel: Callable[[Stack], Stack], width: int, out: str) -> DataFrame:
     """Append ``out``: a stack kernel applied to row-major images of one width.
 
-    Works on the Arrow buffers: a batch of equal sizes becomes one stack without a copy
-    per row, images of different heights are stacked per size, NULL stays NULL.  The
-    other columns pass through untouched.
+    Works on the Arrow buffers: images of equal sizes become stacks of at most
+    ``STACK_PIXELS`` (one image at least) without a copy per row, images of different heights
+    are stacked per size, NULL stays NULL.  The other columns pass through untouched.
     """
     work = df.withColumn(px, F.col(px).cast("array<double>"))
     schema = T.StructType([*work.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
@@ -33,9 +36,11 @@ def map_images(df: DataFrame, px: str, kernel: Callable[[Stack], Stack], width:
             done: list[np.ndarray | None] = [None] * len(col)
             for n in np.unique(size[size > 0]):
                 at = np.flatnonzero(size == n)
-                stack = flat[start[at][:, None] + np.arange(n)].reshape(len(at), n // width, width)
-                for i, row in zip(at, kernel(stack).reshape(len(at), -1)):
-                    done[i] = row
+                most = max(1, STACK_PIXELS // int(n))
+                for part in (at[k : k + most] for k in range(0, len(at), most)):
+                    stack = flat[start[part][:, None] + np.arange(n)].reshape(len(part), n // width, width)
+                    for i, row in zip(part, kernel(stack).reshape(len(part), -1)):
+                        done[i] = row
             ends = np.cumsum([0, *(0 if r is None else len(r) for r in done)]).astype("int32")
             rows = [r for r in done if r is not None]
             values = pa.array(np.concatenate(rows) if rows else np.empty(0), pa.float64())

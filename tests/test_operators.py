@@ -259,3 +259,38 @@ def test_map_images_handles_sizes_and_nulls(spark):
     df = spark.createDataFrame(rows, "id int, px array<double>").coalesce(1)
     out = {r.id: r.o for r in stencils.map_images(df, "px", lambda a: a * 2, 4, "o").collect()}
     assert out[2] is None and out[1] == [2.0 * i for i in range(12)] and out[3] == [2.0 * i for i in range(8)] and out[4] == [2.0] * 12
+
+
+def test_kernels_get_stacks_of_bounded_size(spark):
+    n = stencils.STACK_PIXELS // 1024 + 9
+    df = spark.range(n).select("id", F.expr("transform(sequence(1, 1024), i -> double(id + i))").alias("px")).coalesce(1)
+    out = stencils.map_images(df, "px", lambda a: np.stack([np.full(len(a), len(a)), a[:, 0, 0]], 1), 32, "o").collect()
+    assert len(out) == n and all(r.o[0] * 1024 <= stencils.STACK_PIXELS and r.o[1] == r.id + 1 for r in out)
+
+
+def test_descriptors_do_not_depend_on_the_stack(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    px = rng.random((5, 32, 32))
+    df = spark.createDataFrame([(i, p.ravel().tolist()) for i, p in enumerate(px)], "id int, px array<double>").coalesce(1)
+    want = hog.descriptor(px)
+    monkeypatch.setattr(stencils, "STACK_PIXELS", 2048)
+    assert np.allclose([r.d for r in hog.descriptors(df, "px", "d").orderBy("id").collect()], want)
+
+
+def test_sweeps_in_parts_equal_one_sweep(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, s, rng.integers(0, 40, 3).astype(float).tolist()) for g in range(7) for s in range(12)] + [(9, 0, [3.0, 1.0, 2.0])]
+    sites = spark.createDataFrame(rows, "g int, site int, costs array<double>").coalesce(1)
+    edges = mrf.grid_edges(sites.where("g < 9"), "g", 4, 3)
+    smooth = mrf.potts([1, 2, 0], 7.0, unknown=0)
+    one, few = (sorted(map(tuple, mrf.iterated_modes(sites, edges, "g", [1, 2, 0], smooth, 3, sites_at_once=k).collect())) for k in (1, 30))
+    assert one == few and len(one) == len(rows)
+
+
+def test_settling_gathers_no_table_at_the_driver(spark):
+    sites = spark.createDataFrame([(g, s, [float((g * s) % 7), 3.0]) for g in range(4) for s in range(9)], "g int, site int, costs array<double>")
+    edges = mrf.grid_edges(sites, "g", 3, 3)
+    for solver in mrf.SOLVERS:
+        out = mrf.settle_labels(sites, edges, "g", [0, 1], mrf.potts([0, 1], 3.0), solver=solver)
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in mrf.energy(mrf.initial_labels(sites, "g", [0, 1]), edges, "g", [0, 1], mrf.potts([0, 1], 3.0))._jdf.queryExecution().executedPlan().toString()
