@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cinestat.operators.keyed import attach_group
-from cinestat.session import cut_lineage
+from cinestat.session import kept
 
 
 def global_row_number(df: DataFrame, order: list[str], out: str = "rn") -> DataFrame:
@@ -13,13 +13,13 @@ def global_row_number(df: DataFrame, order: list[str], out: str = "rn") -> DataF
 
     Range partitions are ordered among each other, so a rank is the position inside
     the partition plus the sizes of the partitions before it.  The placed rows are
-    checkpointed first: partition numbers must not move between the two reads.
+    written first: partition numbers must not move between the two reads.
     """
     placed = (
         df.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("__at", F.monotonically_increasing_id())
     )
-    placed = cut_lineage(placed)
+    placed = kept(placed)
     part = F.shiftright("__at", 33).alias("__part")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per partition: both this window and the broadcast are bounded by that.

@@ -167,3 +167,20 @@ def test_labelling_ends_when_the_energy_rests(spark, solver):
     assert len(cut) == 7 * 16 and {x["rounds"] for x in cut} == {1}
     with pytest.raises(ValueError, match="unknown solver"):
         label_graph.settle_labels(sites, edges, "g", labels, smooth, solver="cuts")
+
+
+def test_boxes_of_small_and_busy_keys_meet_alike(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(3), rng.uniform(0, 40), rng.uniform(0, 40), rng.uniform(5, 30), rng.uniform(5, 30)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, image int, x double, y double, w double, h double")
+    whole, grid, both = (sorted(map(tuple, detections.similar_pairs(df, "image", few=k).collect())) for k in (10**6, 0, 100))
+    assert whole == grid == both and whole
+    plan = detections.similar_pairs(df, "image", few=10**6)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # a box is not sent to cells
+
+
+def test_detections_gather_no_table_at_the_driver(spark):
+    df = spark.createDataFrame([(i, i // 9, 5.0 + i % 3, 5.0, 20.0, 20.0) for i in range(90)], "id long, image int, x double, y double, w double, h double")
+    stored = spark.createDataFrame([(0, 5.0, 5.0)], "image int, cx double, cy double")
+    out = detections.locate(df.select("image").distinct(), stored, df, "image", 40.0, 40.0)
+    assert out.count() == 10 and "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
