@@ -1,8 +1,9 @@
 """Superpixels as a range join between pixels and cluster centres.
 
 Pixels are placed once by (image, grid cell) and never move again; every round
-shuffles only the centres, replicated to the 3x3 cells their window can touch.  The
-same plan serves many small images and single images larger than one executor.
+shuffles only the centres, replicated to the cells their window touches.  Images whose
+centres rest leave the working set.  The same plan serves many small images and single
+images larger than one executor.
 """
 
 from __future__ import annotations
@@ -16,10 +17,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from cinestat.functions.bind import let
 from cinestat.functions.stencils import gradient_magnitude, map_images
 from cinestat.operators.pixels import explode_pixels
-from cinestat.session import cut_lineage, settle
+from cinestat.session import cut_lineage, kept, settle
 
 Distance = Callable[[Column], Column]
 
+RESTS = "__rests"
+
+# Rounds between two looks for images at rest.
+CHECKED = 3
+
 
 def grid_step(width: int, height: int, superpixels: int) -> int:
     return int(math.sqrt(width * height / superpixels))
@@ -65,20 +71,29 @@ def place_pixels(pixels: DataFrame, id_: str, cell: int, centres: DataFrame) ->
     return placed.repartition(id_, "gx", "gy").sortWithinPartitions(id_, "gx", "gy")
 
 
-def assign(pixels: DataFrame, centres: DataFrame, id_: str, cell: int, reach: float, distance: Distance) -> DataFrame:
+def _touched(c: str, cell: int, reach: float, size: int | None) -> Column:
+    """Numbers of the cells of one axis that a centre's window touches (inside the image, if its size is known)."""
+    first = F.greatest(F.floor(F.floor(F.col(c) - reach) / cell), F.lit(0)).cast("int")
+    last = F.floor((F.ceil(F.col(c) + reach) - 1) / cell).cast("int")
+    return F.sequence(first, last if size is None else F.least(last, F.lit((size - 1) // cell)))
+
+
+def assign(
+    pixels: DataFrame, centres: DataFrame, id_: str, cell: int, reach: float, distance: Distance, size: tuple[int, int] | None = None,
+) -> DataFrame:
     """Nearest centre within the square window of half-width ``reach``.
 
     The centres a cell can see form one short array, so the join is many-to-one: the
     pixels stay placed and sorted by cell, and no candidate pair becomes a row.  Ties
-    go to the lowest centre; pixels outside every window keep what they had (``hit``).
+    go to the lowest centre; pixels outside every window keep what they had (``hit``).  A mark
+    ``rests`` of an image's centres is passed on to its pixels.
     """
-    gx, gy = F.floor(F.col("cx") / cell).cast("int"), F.floor(F.col("cy") / cell).cast("int")
-    around = F.sequence(F.lit(-1), F.lit(1))
-    fields = [c for c in centres.columns if c != id_]
+    fields = [c for c in centres.columns if c not in (id_, RESTS)]
+    marks = [F.max(RESTS).alias(RESTS)] if RESTS in centres.columns else []
     near = (
-        centres.select("*", F.explode(F.transform(around, lambda d: gx + d)).alias("gx"))
-        .select("*", F.explode(F.transform(around, lambda d: gy + d)).alias("gy"))
-        .groupBy(id_, "gx", "gy").agg(F.collect_list(F.struct(*fields)).alias("near"))
+        centres.select("*", F.explode(_touched("cx", cell, reach, size and size[0])).alias("gx"))
+        .select("*", F.explode(_touched("cy", cell, reach, size and size[1])).alias("gy"))
+        .groupBy(id_, "gx", "gy").agg(F.collect_list(F.struct(*fields)).alias("near"), *marks)
     )
     joined = pixels.join(near.hint("shuffle_merge"), [id_, "gx", "gy"], "left")
 
@@ -91,14 +106,14 @@ def assign(pixels: DataFrame, centres: DataFrame, id_: str, cell: int, reach: fl
     ranked = F.transform(
         F.filter("near", inside), lambda c: F.struct(distance(c).alias("d"), c["c"].alias("c"), c.alias("centre"))
     )
-    kept = [id_, "gx", "gy", "y", "x", "v"]
-    return joined.select(*kept, F.coalesce(F.array_min(ranked)["centre"], "hit").alias("hit"))
+    carried = [id_, "gx", "gy", "y", "x", "v"]
+    rests = [F.coalesce(RESTS, F.lit(False)).alias(RESTS)] if marks else []
+    return joined.select(*carried, F.coalesce(F.array_min(ranked)["centre"], "hit").alias("hit"), *rests)
 
 
 def update_centres(state: DataFrame, id_: str) -> DataFrame:
     """Mean colour and integer mean position of every non-empty cluster."""
-    kept = state.where(F.col("hit").isNotNull())
-    m = kept.groupBy(id_, F.col("hit.c").alias("c")).agg(
+    m = state.where(F.col("hit").isNotNull()).groupBy(id_, F.col("hit.c").alias("c")).agg(
         F.avg("v").alias("color"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.count("*").alias("n")
     )
     return m.select(
@@ -120,42 +135,55 @@ def slic_distance(nc: float, ns: float) -> Distance:
     return distance
 
 
-def _settled(before: DataFrame, after: DataFrame, id_: str) -> bool:
-    """Whether both rounds have the same centres (means of the same pixels may differ in the last digit)."""
+def _marked(before: DataFrame, after: DataFrame, id_: str) -> DataFrame:
+    """``after`` and whether all centres of the image are those of the round before (means of the same pixels may differ in the last digit)."""
     values = [c for c in after.columns if c not in (id_, "c")]
     old = before.select(F.col(id_).alias("id_o"), F.col("c").alias("c_o"), *[F.col(v).alias(f"{v}_o") for v in values])
     met = after.join(old, (F.col(id_) == F.col("id_o")) & (F.col("c") == F.col("c_o")), "full")
     far = [F.coalesce(F.abs(F.col(v) - F.col(f"{v}_o")) > 1e-12, F.lit(True)) for v in values]
-    return met.where(reduce(lambda a, b: a | b, far)).isEmpty()
+    rests = met.groupBy(F.coalesce(id_, "id_o").alias("id_o")).agg((~F.max(reduce(lambda a, b: a | b, far))).alias(RESTS))
+    return after.join(rests.hint("merge"), F.col(id_) == F.col("id_o")).drop("id_o")
 
 
 def _rounds(
     pixels: DataFrame, centres: DataFrame, id_: str, cell: int, reach: float, distance: Distance,
-    update: Callable[[DataFrame, str], DataFrame], iterations: int, cut_every: int,
+    update: Callable[[DataFrame, str], DataFrame], iterations: int, cut_every: int, size: tuple[int, int],
 ) -> DataFrame:
     """Alternate assignment and update.
 
     The pixels of a round are cached and the few centres written: writing them fills
     the cache in the same job and keeps the plan from mentioning a round twice.  The
-    pixels themselves are cut every few rounds.  Rounds end early once no centre of any
-    image moves: all further ones would give the same.
+    pixels themselves are cut every few rounds.  An image whose centres have not moved is
+    assigned once more, written and left out of the rounds that follow: all further ones
+    would give the same.  An image of few cells is one cell.
     """
+    def labelled(df: DataFrame) -> DataFrame:
+        return df.select(id_, "y", "x", "v", F.coalesce("hit.c", F.lit(-1)).alias("label"))
+
+    cell = max(size) if max(size) <= 4 * cell else cell
     order = [id_, "gx", "gy"]
-    state = settle(place_pixels(pixels, id_, cell, centres))
+    state = held = settle(place_pixels(pixels, id_, cell, centres))
+    done: list[DataFrame] = []
     for i in range(iterations - 1):
-        before = centres
-        nxt = assign(state, centres, id_, cell, reach, distance)
+        before = centres.drop(RESTS)
+        nxt = assign(state, centres, id_, cell, reach, distance, size)
         if (i + 1) % cut_every == 0:
             nxt = cut_lineage(nxt).repartition(*order).sortWithinPartitions(*order)
         nxt = nxt.persist()
-        centres = cut_lineage(update(nxt, id_))
-        state.unpersist()
         state = nxt
-        if i % 4 == 3 and _settled(before, centres, id_):
-            break
+        if RESTS in nxt.columns:
+            done.append(kept(labelled(nxt.where(RESTS))))
+            state = nxt.where(~F.col(RESTS)).drop(RESTS)
+        centres = cut_lineage(update(state, id_))
+        held.unpersist()
+        held = nxt
+        if i % CHECKED == CHECKED - 1:
+            centres = kept(_marked(before, centres, id_))
+            if centres.where(~F.col(RESTS)).isEmpty():
+                break
     if iterations:
-        state = assign(state, centres, id_, cell, reach, distance)
-    return state.select(id_, "y", "x", "v", F.coalesce("hit.c", F.lit(-1)).alias("label"))
+        state = assign(state, centres.drop(RESTS), id_, cell, reach, distance, size)
+    return reduce(DataFrame.unionByName, [*done, labelled(state)])
 
 
 def slic(
@@ -168,7 +196,7 @@ def slic(
     centres = seed_centres(images, id_, px, width, height, step, radius)
     return _rounds(
         explode_pixels(images, id_, px, width), centres, id_, math.ceil(reach) + 1, reach,
-        slic_distance(nc, step), update_centres, iterations, cut_every,
+        slic_distance(nc, step), update_centres, iterations, cut_every, (width, height),
     )
 
 
@@ -206,7 +234,7 @@ def slico(
         )
 
     pixels = explode_pixels(images, id_, px, width)
-    return _rounds(pixels, centres, id_, region + 1, float(region), distance, update, iterations, cut_every)
+    return _rounds(pixels, centres, id_, region + 1, float(region), distance, update, iterations, cut_every, (width, height))
 
 
 def cluster_means(labelled: DataFrame, id_: str) -> DataFrame:
