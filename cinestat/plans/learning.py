@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cinestat.functions import hog, shapes
@@ -76,10 +78,21 @@ def linear_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEATURES = ["v_min", "v_max", "v_min_cpr", "v_max_cpr", "mean_sys", "mean_dias", "is_diastole"]
 
 
+# Rows of a task that grows trees; it holds them in memory.
+TREE_ROWS = 500_000
+
+
+def _phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phase table, in as many parts as its size needs: adaptive execution sizes them by what is shuffled, not by what trees hold."""
+    rows = phase_table(spark, sf_dir)
+    parts = math.ceil(2 * table(spark, sf_dir, "orders").count() / TREE_ROWS)  # two rows an order at most
+    return rows.repartition(parts, "l_orderkey", "is_diastole") if parts > 1 else rows
+
+
 @query("boosted_ensemble")
 def boosted_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of boosted trees and a ridge model, every row predicted by models of the other half of the orders."""
-    rows = cut_lineage(phase_table(spark, sf_dir).withColumn("half", ranking.seeded_below(9, 0.5, "l_orderkey")))
+    rows = cut_lineage(_phases(spark, sf_dir).withColumn("half", ranking.seeded_below(9, 0.5, "l_orderkey")))
     parts = []
     for train, test in (("half", "not half"), ("not half", "half")):
         models = [regress.fit(rows.where(train), FEATURES, f) for f in (regress.boosted_trees(depth=5, trees=10), regress.ridge())]
@@ -89,7 +102,7 @@ def boosted_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("feature_importance")
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = regress.fit(phase_table(spark, sf_dir), FEATURES, regress.boosted_trees(depth=4, trees=5))
+    model = regress.fit(_phases(spark, sf_dir), FEATURES, regress.boosted_trees(depth=4, trees=5))
     return regress.relative_importance(model, FEATURES, spark)
 
 

@@ -294,3 +294,21 @@ def test_settling_gathers_no_table_at_the_driver(spark):
         out = mrf.settle_labels(sites, edges, "g", [0, 1], mrf.potts([0, 1], 3.0), solver=solver)
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in mrf.energy(mrf.initial_labels(sites, "g", [0, 1]), edges, "g", [0, 1], mrf.potts([0, 1], 3.0))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_images_at_rest_leave_the_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    imgs = spark.createDataFrame([(i, rng.random(64).tolist()) for i in range(12)], "id int, px array<double>")
+    sent = []
+    whole = superpixels.assign
+    monkeypatch.setattr(superpixels, "assign", lambda pixels, centres, *rest: (sent.append((pixels.count(), centres.count())), whole(pixels, centres, *rest))[1])
+
+    def run():
+        return sorted(map(tuple, superpixels.slic(imgs, "id", "px", 8, 8, superpixels=16, nc=0.2, radius=1, iterations=16).collect()))
+
+    early = run()
+    assert len(early) == 12 * 64 and sent[-1][0] < 12 * 64 and sent[-1][1] < sent[0][1]
+    monkeypatch.setattr(superpixels, "CHECKED", 100)
+    assert run() == early
+    near = superpixels.seed_centres(imgs, "id", "px", 8, 8, 2, 1).select(F.size(superpixels._touched("cx", 8, 3.0, 8)).alias("n"))
+    assert near.agg(F.max("n")).first()[0] == 1  # a centre is sent to the cells it can reach only
