@@ -448,6 +448,20 @@ def test_near_dedup_stage_equals_brute_force(spark, sf):
     assert sorted(r["doc_id"] for r in near_copies.representatives(df, bucket_rows=2).collect()) == want
 
 
+def test_near_dedup_links_by_simhash_and_checks_them(spark, monkeypatch):
+    rng = random.Random(23)
+    v = [f"s{i:03d}" for i in range(500)]
+    long, rows = prose(rng, 900, v), []
+    rows += [(1, long), (2, long + " end"), (3, "start " + long), (4, prose(rng, 900, v)), (5, "one two"), (6, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    used, found = [], near_copies.simhash_links
+    monkeypatch.setattr(near_copies, "simhash_links", lambda *a: used.append(found(*a)) or used[-1])
+    kept_rows = dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, "").collect()
+    assert sorted(r["doc_id"] for r in kept_rows) == near_by_brute_force(rows)
+    assert len(used) == 1 and used[0].count() >= 1
+    assert near_copies._linked(np.array([1, 2]), [np.arange(9, dtype=np.uint64)] * 2, np.array([0, 0]), 0.8, np.array([7, 7])) == []
+
+
 def test_pipeline(spark, sf):
     assert len(corpus_pipeline.STAGES) == 5
     docs = spark.read.parquet(f"{sf}/documents.parquet")
