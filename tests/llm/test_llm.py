@@ -1,5 +1,6 @@
 """The training-data operators against brute force, round trips and held-out labels."""
 
+import heapq
 import random
 import sys
 import zlib
@@ -16,6 +17,7 @@ import corpus_pipeline
 from cinestat.llm import (
     language_id, lines, mixing, near_copies, nearest, packing, queries, sharding, simhash_groups, spotsigs, substrings, toxicity,
 )
+from cinestat.session import ensure_checkpoint_dir
 from oracle import compare, duck
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -224,6 +226,60 @@ def test_nearest(spark, sf):
     assert nearest.search(two.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def _queue(forest, x, sizes, rows):
+    """The trees' leaves by one priority queue, a node at a time."""
+    full, inner, out = forest.extended(x, query=True), forest.normal.shape[1], []
+    for q in full:
+        queue, got, ahead = [(0.0, t, 0) for t in range(forest.trees)], set(), 0
+        while queue and ahead < rows:
+            far, t, node = heapq.heappop(queue)
+            while node < inner:
+                s = float(forest.normal[t, node] @ q - forest.cut[t, node])
+                near = 2 * node + 1 + (s > 0)
+                heapq.heappush(queue, (far + s * s, t, 4 * node + 3 - near))
+                node = near
+            got.add((t, node - inner))
+            ahead += int(sizes[t, node - inner])
+        out.append(got)
+    return out
+
+
+@pytest.mark.parametrize("shift", [0.0, 3.0])  # 3: clusters, of which a group of queries sees few
+def test_nearest_compares_the_rows_of_the_queue(shift):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3000, 10)) + shift * rng.standard_normal((20, 10))[rng.integers(0, 20, 3000)]
+    x[50:80] = x[50]
+    forest = nearest.Forest(x[:2000], trees=5, leaf_rows=20, rows=len(x))
+    leaf = forest.leaves(x)
+    sizes = np.stack([np.bincount(leaf[:, t], minlength=1 << forest.depth) for t in range(5)])
+    asked, want = np.arange(0, 3000, 5), _queue(forest, x[::5], sizes, 900)
+    bits, _ = forest.reached(x[::5], sizes, 900)
+    got = np.unpackbits(bits, axis=-1, bitorder="little").view(bool)
+    assert [set(zip(*(a.tolist() for a in np.nonzero(g)))) for g in got] == want
+    n = 1 + np.arange(3000) % 3
+    start = np.concatenate([[0], np.cumsum(n)])
+    ids = rng.permutation(start[-1])
+    best = nearest.Asked(forest, sizes, 900, x[::5], 7, float(np.abs(x).max()) * 10**0.5)
+    for a in range(0, 3000, 700):
+        b = min(a + 700, 3000)
+        best.meet(x[a:b], leaf[a:b].T, ids[start[a]:start[b]], start[a:b + 1] - start[a])
+    for i, number, score in best.found():
+        seen = np.flatnonzero(got[i, np.arange(5), leaf].any(axis=1))
+        pairs = sorted((-s, j) for r, s in zip(seen, np.einsum("j,ij->i", x[asked[i]], x[seen])) for j in ids[start[r]:start[r + 1]])[:7]
+        assert np.allclose(score, [-s for s, _ in pairs]) and set(number) == {j for _, j in pairs}
+
+
+def test_nearest_disk_follows_the_rows(spark):
+    folders = [str(f) for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    folders.append(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    used = lambda: sum(f.stat().st_size for d in folders for f in Path(d).rglob("*") if f.is_file())
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.standard_normal((6000, 8)).tolist())], "vec_id long, embedding array<double>")
+    before = used()
+    assert nearest.search(df, F.col("vec_id") % 20 == 0, leaf_rows=16, least_rows=1).count() == 300 * 20
+    assert used() - before < 12 * 6000 * 8 * 8
+
+
 def test_packing_is_best_fit_decreasing(spark, sf):
     rng = random.Random(4)
     for window in (16, 64):
