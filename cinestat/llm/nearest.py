@@ -23,13 +23,15 @@ compared, the square of the table where ``share`` is what ends the queue.
 from __future__ import annotations
 
 import math
-import uuid
+import pickle
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from cinestat.session import ensure_checkpoint_dir, kept
+from cinestat.session import kept
 
 NO_ID = np.iinfo(np.int64).max
 
@@ -164,8 +166,12 @@ class Asked:
         """Places of the products at or above the line; None if they are many and a better line is worth its price."""
         if not whole and np.isneginf(line).any():
             return None
-        hit = rough >= line.astype(np.float32)[:, None]
-        return None if not whole and np.count_nonzero(hit) > self.PAIRS else np.flatnonzero(hit)
+        hit = (rough >= line.astype(np.float32)[:, None]).ravel()
+        if not whole and np.count_nonzero(hit) > self.PAIRS:
+            return None
+        even = len(hit) // 8 * 8  # hits are rare: eight places at once
+        at = (np.flatnonzero(hit[:even].view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+        return np.concatenate([at[hit[at]], even + np.flatnonzero(hit[even:])])
 
     def _first(self, rough: np.ndarray, off: np.ndarray, leaf: np.ndarray, a: int) -> np.ndarray:
         """A line that ``top`` of these rows reach, from the rows of the largest products that the query may see."""
@@ -201,6 +207,13 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
 
 
+def _unpickled(df: DataFrame) -> RDD:
+    """What lies in the only column, binary, of ``df``: pickled lists.  Spark hands the bytes to Python as they are, one row at a time."""
+    sc = df.sparkSession.sparkContext
+    plain = getattr(df._jdf, "as")(sc._jvm.org.apache.spark.sql.Encoders.BINARY())
+    return RDD(plain.javaRDD(), sc, BatchedSerializer(CPickleSerializer()))
+
+
 def usable(vector: str) -> Column:
     """Not null, not empty, not zero, every component finite."""
     c = F.col(vector)
@@ -232,8 +245,8 @@ def search(
     if dims is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, of = dims["d"], np.dtype(np.float32 if single else np.float64)
-    text = F.concat_ws(",", F.transform("v", lambda x: (x.cast("double") + 0.0).cast("string")))
-    rows = rows.where(F.size("v") == d).withColumn("key", F.md5(text))
+    # 128 bits that stand for a vector, the same for either zero.
+    rows = rows.where(F.size("v") == d).withColumn("key", F.concat_ws(":", F.xxhash64(F.lit(1), "v"), F.xxhash64(F.lit(2), "v")))
     # Of equal vectors no result shows more than the k + 1 smallest numbers.
     few = rows.select("key", "id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= k + 1)
     ids = few.groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # k + 1 at most
@@ -257,12 +270,10 @@ def search(
                 x.astype(of), f.leaves(x.astype(np.float64)).T.astype(leaf_of),
                 batch.column("ids").flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(n_ids)]).astype(np.int64),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()) for p in parts], names=["v", "leaf", "ids", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([tuple(p.tobytes() for p in parts)])], pa.binary())], names=["block"])
 
-    placed = index.select("ids", "v").mapInArrow(place, "v binary, leaf binary, ids binary, start binary")
-    path = f"{ensure_checkpoint_dir(spark)}/kept-{uuid.uuid4().hex}"
-    placed.rdd.map(lambda r: tuple(bytes(c) for c in r)).saveAsPickleFile(path, 1)  # tasks take its bytes as they are
-    blocks = spark.sparkContext.pickleFile(path)
+    # Small row groups: a reader holds a whole one.
+    blocks = kept(index.select("ids", "v").mapInArrow(place, "block binary"), **{"parquet.block.size": str(1 << 24)})
 
     def tally(part):
         sizes = np.zeros((trees, leaves), np.int64)
@@ -271,13 +282,13 @@ def search(
                 sizes[t] += np.bincount(at, minlength=leaves)
         yield sizes
 
-    leaf_sizes = blocks.mapPartitions(tally).treeReduce(np.add)
+    leaf_sizes = _unpickled(blocks).mapPartitions(tally).treeReduce(np.add)
     shared_sizes = spark.sparkContext.broadcast(leaf_sizes)
     ahead = max(least_rows, share * n)
     scale = largest * math.sqrt(d)  # no norm is larger
 
     def gathered(batches):
-        held = list(batches)  # about ask_rows queries, or those of one part of the index
+        held = list(batches)
         keys = [x for batch in held for x in batch.column("key").to_pylist()]
         if keys:
             x = np.concatenate([_matrix(batch.column("v"), d) for batch in held]).astype(of)
@@ -285,10 +296,12 @@ def search(
             for at in np.array_split(np.arange(len(keys)), parts):
                 yield pa.RecordBatch.from_arrays([pa.array([",".join(keys[at[0] : at[-1] + 1])]), pa.array([x[at].tobytes()], pa.binary())], names=["keys", "v"])
 
-    of_task = max(1, -(-n_asked // ask_rows))
-    asked = index.where("q").select("key", "v").coalesce(of_task).mapInArrow(gathered, "keys string, v binary").rdd.map(lambda r: (r["keys"], bytes(r["v"])))
-    # With few queries the index is read in several parts, else whole past each block of queries.
-    slices = max(1, -(-2 * spark.sparkContext.defaultParallelism // asked.getNumPartitions()))
+    # Each block of queries reads the whole index; so few queries that they keep no more tasks busy read it in parts.
+    wanted = 2 * spark.sparkContext.defaultParallelism
+    tasks = max(1, -(-n_asked // ask_rows), min(wanted, n_asked // 1024))
+    asked = index.where("q").select("key", "v").repartition(tasks, "key").mapInArrow(gathered, "keys string, v binary")
+    asked = asked.rdd.map(lambda r: (r["keys"], bytes(r["v"])))
+    slices = max(1, -(-wanted // asked.getNumPartitions()))
 
     def compare(pairs):
         f, sizes = shared.value, shared_sizes.value
@@ -304,7 +317,7 @@ def search(
             for i, number, score in block.found():
                 yield names[i], number, score
 
-    met = asked.cartesian(blocks.coalesce(slices)).mapPartitions(compare)
+    met = asked.cartesian(_unpickled(blocks.coalesce(slices))).mapPartitions(compare)
     best = kept(spark.createDataFrame(met, "q string, number array<long>, score array<double>", verifySchema=False))
     each = F.zip_with("number", "score", lambda i, s: F.struct((-s).alias("less"), i.alias("id"), s.alias("score")))
     # One list for each part of the index, k + 1 at most in each.

@@ -50,13 +50,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame, **options: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, pruned by column.
 
-    Files stay as long as the folder's owner keeps them: a later read must find them.
+    ``options`` are the writer's.  Files stay as long as the folder's owner keeps them: a later read must find them.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)  # read once or twice: small beats fast
+    df.write.options(compression="zstd", **options).parquet(path)  # read once or twice: small beats fast
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
