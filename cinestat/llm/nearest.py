@@ -127,6 +127,7 @@ class Asked:
         self.slack = np.linalg.norm(self.x / scale, axis=1) * ((x.shape[1] + 16) * 2.0**-23)
         self.score, self.id = np.full((len(x), top), -np.inf), np.full((len(x), top), NO_ID)
         self.line = np.full(len(x), -np.inf)  # the last of the best, scaled
+        self.most = np.finfo(np.float64).max / scale / scale  # from here on scores are equal, infinite
 
     def sees(self, row: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Whether the queue of query ``row`` came to one of the leaves ``leaf`` (trees x pairs)."""
@@ -152,7 +153,8 @@ class Asked:
             line, off = self.line[g], slack[g]
             at = self._above(rough, line - off)
             if at is None:
-                at = self._above(rough, np.maximum(line, self._first(rough, off, leaf[:, cols], g.start)) - off, whole=True)
+                first = np.minimum(self._first(rough, off, leaf[:, cols], g.start), self.most)
+                at = self._above(rough, np.maximum(line, first) - off, whole=True)
             for a in range(0, len(at), self.PAIRS):
                 row, col = np.divmod(at[a : a + self.PAIRS], len(cols))
                 row, col = row + g.start, cols[col]
@@ -194,7 +196,7 @@ class Asked:
         row, score, number = row[by], score[by], number[by]
         ok = np.arange(len(row)) - np.searchsorted(row, row) < self.top
         self.score[touched], self.id[touched] = score[ok].reshape(-1, self.top), number[ok].reshape(-1, self.top)
-        self.line[touched] = np.minimum(self.score[touched, -1], np.finfo(np.float64).max) / self.scale / self.scale
+        self.line[touched] = np.minimum(self.score[touched, -1] / self.scale / self.scale, self.most)
 
     def found(self):
         """Place of each query in its block, the numbers and the scores of its best rows."""

@@ -269,6 +269,15 @@ def test_nearest_compares_the_rows_of_the_queue(shift):
         assert np.allclose(score, [-s for s, _ in pairs]) and set(number) == {j for _, j in pairs}
 
 
+def test_nearest_infinite_scores_tie():
+    x = np.stack([1e200 * np.arange(1.0, 41.0), np.ones(40)], axis=1)
+    forest = nearest.Forest(x / 1e200, trees=1, leaf_rows=100, rows=40)
+    best = nearest.Asked(forest, np.array([[40]]), 40, x, 2, 40e200 * 2**0.5)
+    with np.errstate(over="ignore"):
+        best.meet(x, np.zeros((1, 40), np.uint8), np.arange(40), np.arange(41))
+    assert all(number == [0, 1] and np.isinf(score).all() for _, number, score in best.found())
+
+
 def test_nearest_disk_follows_the_rows(spark):
     folders = [str(f) for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
     folders.append(ensure_checkpoint_dir(spark).removeprefix("file:"))
